@@ -11,11 +11,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_documents
+from .common import new_path, read_documents
 
 ORACLES: dict[str, str] = {}
 
 
+def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import token_orc
+
+    path = new_path(spark, "token-orc")
+    token_orc.write(read_documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_orc.digest(spark, path)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import packing
+
+    return packing.digest(packing.cut_pieces(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import token_counts
+
+    return token_counts.count_tokens(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
@@ -24,5 +50,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_orc": op1_token_orc,
+    "op5_packing": op5_packing,
+    "op7_token_counts": op7_token_counts,
     "op10_simhash": op10_simhash,
 }
