@@ -26,6 +26,24 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.digest(spark, path)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    return toxicity.classify(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substrings
+
+    return substrings.spans(read_documents(spark, sf_dir))
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licenses
+
+    return licenses.scan(read_documents(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,6 +52,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.cut_pieces(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    return decontaminate.leaks(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,6 +66,20 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language
+
+    return language.identify(read_documents(spark, sf_dir))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import media
+
+    path = new_path(spark, "media")
+    media.write(read_documents(spark, sf_dir), path)
+    return media.features(media.read(spark, path))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
@@ -50,8 +88,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_token_orc": op1_token_orc,
-    "op5_packing": op5_packing,
-    "op7_token_counts": op7_token_counts,
-    "op10_simhash": op10_simhash,
+    f.__name__: f
+    for f in (
+        op1_token_orc, op2_toxicity, op3_substrings, op4_licenses, op5_packing,
+        op6_decontaminate, op7_token_counts, op8_language, op9_media, op10_simhash,
+    )
 }
