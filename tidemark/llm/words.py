@@ -38,6 +38,7 @@ class WordTable(dict):
     def trim(self) -> None:
         """Start anew once the bounds are passed; earlier numbers are void then."""
         if len(self) > WORDS or self.chars > CHARS:
+            self.clear()
             self.__init__(self.describe, self.dtypes)
 
     def codes(self, words: list[str]) -> np.ndarray:
