@@ -14,7 +14,7 @@ def brute_chunks(data):
     proposed, h = [], 0
     for i, b in enumerate(data):
         h = (h << 1 & 0xFFFF) + GEAR[b] & 0xFFFF
-        if i + 1 >= 16 and h < 65536 // 32:
+        if i + 1 >= 16 and h < 65536 // 16:
             proposed.append(i + 1)
     cuts = [c for k, c in enumerate(proposed) if not k or c - proposed[k - 1] >= 8]
     ends = sorted({*cuts, len(data)} - {0})

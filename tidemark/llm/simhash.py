@@ -191,6 +191,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     classes = named.join(smallest, "root").select(F.col("fp").alias("linked_fp"), "smallest")
     classes = lowest.join(classes, F.col("fp") == F.col("linked_fp"), "left").select(
         F.col("fp").alias("class_fp"), F.coalesce("smallest", "low").alias("component_id"))
+    classes = materialize(classes, "class-table")  # a plain scan, so that a fingerprint of very many copies is split in the join
     return prints.join(classes, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id")
 
 

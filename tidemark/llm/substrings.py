@@ -25,7 +25,7 @@ from .common import materialize
 
 WINDOW = 16
 #: One byte in so many is a proposed cut; the bytes that must be free of others before a cut; the longest chunk.
-RATE = 32
+RATE = 16
 LEAST = 8
 MOST = 2048
 #: Shortest span in bytes. A passage loses at most its first and last chunk at either end.
