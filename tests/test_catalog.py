@@ -20,7 +20,7 @@ def db():
 
 
 def cell(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return ""
     if hasattr(v, "year"):
         return str(v)[:10]
