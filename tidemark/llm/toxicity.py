@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .words import WordTable, bare
 
 #: Bound of the labelled rows that the fit uses, words that it may weigh, and strengths.
-TRAIN = 20_000
+TRAIN = 12_000
 FEATURES = 4_096
 RIDGE = 1.0
 FAIR = 10.0
