@@ -4,10 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-TEXT_COLUMNS = ("doc_id", "text")
+T = TypeVar("T")
+
+_held: dict[object, object] = {}
+
+
+def worker_cache(key: object, make: Callable[[], T]) -> T:
+    """The cache of this Python process under ``key``; it outlives a task, but only one lives at a time.
+
+    Workers are reused by all stages, so a stage's cache goes when another stage asks for its own.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, worker_cache
 from .words import MARKS, WordTable, bare, rolling
 
 WINDOW = 5
@@ -86,15 +86,9 @@ class Templates:
         return words, np.where(name, _NAME, hashes), typed | name
 
 
-_held: dict[frozenset[str] | None, Templates] = {}
-
-
 def _windows(batches: Iterator[pa.RecordBatch], sizes: list[int], wanted: np.ndarray | None, vocabulary: frozenset[str] | None, key: bool) -> Iterator[pa.RecordBatch]:
     """Windows of texts: of the given sizes; only wanted hashes; not all placeholders."""
-    if vocabulary not in _held:
-        _held.clear()
-        _held[vocabulary] = Templates(vocabulary)
-    templates, low16 = _held[vocabulary], None
+    templates, low16 = worker_cache(("templates", vocabulary), lambda: Templates(vocabulary)), None
     if wanted is not None:
         low16 = np.zeros(1 << 16, dtype=bool)
         low16[wanted & np.uint64(0xFFFF)] = True

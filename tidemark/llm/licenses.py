@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_cache
 from .words import WordTable, bare, rolling
 
 SHINGLE = 5
@@ -54,14 +55,14 @@ def _describe(word: str) -> tuple:
     return (xxhash.xxh3_64_intdigest(bare(word).encode("utf-8", "surrogatepass"), 5),)
 
 
-_table: list[WordTable] = []
+def _table() -> WordTable:
+    return worker_cache("licenses", lambda: WordTable(_describe, (np.uint64,)))
 
 
 def _hashes(text: str | None) -> np.ndarray:
-    if not _table:
-        _table.append(WordTable(_describe, (np.uint64,)))
-    codes = _table[0].codes((text or "").split())
-    return _table[0].column(0)[codes]
+    table = _table()
+    codes = table.codes((text or "").split())
+    return table.column(0)[codes]
 
 
 class Bands:
@@ -183,7 +184,6 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, contained: floa
                 kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.float64())
                 arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column(0).take(arrays[0]), *arrays[1:]], names=["doc_id", "license", "first_word", "last_word", "containment"])
-            if _table:
-                _table[0].trim()
+            _table().trim()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, FOUND)

@@ -29,6 +29,8 @@ SIZE = 2048
 END_ID = 0
 #: Mean number of pieces in a block.
 BLOCK_PIECES = 4096
+#: So many of the emptiest bins give documents away in a round of the local search; all bins may take them.
+SOURCES = 16
 PIECES = "uid long, doc_id long, piece int, start long, length int, tokens array<int>"
 
 
@@ -135,7 +137,7 @@ def pack(lengths: list[int], size: int) -> list[list[int]]:
             break  # the lower bound
         under = sorted((f, k) for k, f in enumerate(fill) if 0 < f < size)
         others = [k for _, k in reversed(under)]
-        if not any(_improve(sizes, bins, fill, k, others, size) for _, k in under):
+        if not any(_improve(sizes, bins, fill, k, others, size) for _, k in under[:SOURCES]):
             break
     return [b for b in bins if b]
 

@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_cache
 from .tokens import CACHE_CHARS, TieredCounts
 
 LIMIT = 1024
@@ -30,8 +31,6 @@ PER_TASK = 4_096
 #: Words that a summary counts before it drops the rarest.
 HELD = 200_000
 
-_counters: dict[object, TieredCounts] = {}
-
 
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter[str] = Counter()
@@ -60,11 +59,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, most:
     run = uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (tokenizer_path, run)
-        if key not in _counters:
-            _counters.clear()
-            _counters[key] = TieredCounts(tokenizer_path, table.value)
-        counter = _counters[key]
+        counter = worker_cache(("token counts", run), lambda: TieredCounts(tokenizer_path, table.value))
         for batch in batches:
             texts = batch.column(1)
             n = pa.array([counter.count(x) for x in texts.to_pylist()], pa.int64())

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import re
 from array import array
-from functools import lru_cache
 from itertools import chain
 
 from tokenizers import Tokenizer, pre_tokenizers
 
+from .common import worker_cache
+
 #: Entries of a cache before it starts anew, and the longest text cut that it holds.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 CACHE_CHARS = 64
 #: Marks that may end a word and form one pre-token there.
 _TAIL = ".,;:!?"
@@ -141,7 +142,6 @@ class TieredCounts(dict):
         return heads + sum(map(self.__getitem__, rest)) + self.newline * (len(lines) - 1)
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    """This worker's encoder; its caches outlive a task."""
-    return WordIds(path)
+    """This worker's encoder."""
+    return worker_cache(("word ids", path), lambda: WordIds(path))

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_cache
 from .words import WordTable, bare
 
 #: Bound of the labelled rows that the fit uses, words that it may weigh, and strengths.
@@ -46,15 +47,15 @@ def _describe(word: str) -> tuple:
     return (_hash(bare(word)),)
 
 
-_table: list[WordTable] = []
+def _table() -> WordTable:
+    return worker_cache("toxicity", lambda: WordTable(_describe, (np.uint64,)))
 
 
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of a text, ascending, with their weights."""
-    if not _table:
-        _table.append(WordTable(_describe, (np.uint64,)))
-    codes = _table[0].codes((text or "").split())
-    words, counts = np.unique(_table[0].column(0)[codes], return_counts=True)
+    table = _table()
+    codes = table.codes((text or "").split())
+    words, counts = np.unique(table.column(0)[codes], return_counts=True)
     return words, 1 + np.log(counts)
 
 
@@ -64,8 +65,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([w.view(np.int64) for w, _ in found], pa.list_(pa.int64())), pa.array([x.astype(np.float32) for _, x in found], pa.list_(pa.float32()))],
             names=["toxic", "words", "weights"])
-        if _table:
-            _table[0].trim()
+        _table().trim()
 
 
 class Model:
@@ -184,8 +184,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in rows:
             z = np.array([model.logit(*bag(x)) for x in batch.column(1).to_pylist()], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "score"])
-            if _table:
-                _table[0].trim()
+            _table().trim()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, "doc_id long, score double")
 
