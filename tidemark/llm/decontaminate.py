@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, worker_cache
+from .common import materialize, slices, worker_cache
 from .words import MARKS, WordTable, bare, rolling
 
 WINDOW = 5
@@ -92,7 +92,7 @@ def _windows(batches: Iterator[pa.RecordBatch], sizes: list[int], wanted: np.nda
     if wanted is not None:
         low16 = np.zeros(1 << 16, dtype=bool)
         low16[wanted & np.uint64(0xFFFF)] = True
-    for batch in batches:
+    for batch in slices(batches):
         ids, keys, texts = (batch.column(k).to_pylist() for k in range(3))
         out: tuple[list, list, list, list, list] = ([], [], [], [], [])
         for doc, doc_key, text in zip(ids, keys, texts, strict=True):

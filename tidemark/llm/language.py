@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import slices
+
 UNKNOWN = "und"
 #: n-grams of a profile, and the most languages that profiles are broadcast for.
 PROFILE = 400
@@ -78,7 +80,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             keys, counts = both[first], np.add.reduceat(total, first)
         held[lang] = (keys, counts.astype(np.int64))
 
-    for batch in batches:
+    for batch in slices(batches, 2000):
         found: dict[str, list[np.ndarray]] = defaultdict(list)
         sizes: dict[str, int] = defaultdict(int)
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -134,7 +136,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], profile: int = PROF
         return langs[best], float(1 - means[best])
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in slices(rows):
             at = batch.schema.names.index("text")
             found = [one(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(

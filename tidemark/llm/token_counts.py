@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import slices, worker_cache
 from .tokens import CACHE_CHARS, TieredCounts
 
 LIMIT = 1024
@@ -34,7 +34,7 @@ HELD = 200_000
 
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter[str] = Counter()
-    for batch in batches:
+    for batch in slices(batches):
         for text in batch.column(0).to_pylist():
             if text:
                 seen.update(text.split(" "))
@@ -60,7 +60,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, most:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = worker_cache(("token counts", run), lambda: TieredCounts(tokenizer_path, table.value))
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1)
             n = pa.array([counter.count(x) for x in texts.to_pylist()], pa.int64())
             size = pc.fill_null(pc.binary_length(texts).cast(pa.int64()), 0)

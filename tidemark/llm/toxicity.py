@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import slices, worker_cache
 from .words import WordTable, bare
 
 #: Bound of the labelled rows that the fit uses, words that it may weigh, and strengths.
@@ -60,7 +60,7 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = [bag(x) for x in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([w.view(np.int64) for w, _ in found], pa.list_(pa.int64())), pa.array([x.astype(np.float32) for _, x in found], pa.list_(pa.float32()))],
@@ -181,7 +181,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, score)`` of every row of ``docs``."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in slices(rows):
             z = np.array([model.logit(*bag(x)) for x in batch.column(1).to_pylist()], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "score"])
             _table().trim()

@@ -7,8 +7,8 @@ from collections.abc import Callable
 import numpy as np
 
 #: Words and characters that a table holds before it starts anew (between batches).
-WORDS = 400_000
-CHARS = 16_000_000
+WORDS = 200_000
+CHARS = 8_000_000
 MARKS = ".,;:!?\"'()[]{}<>|*#$%&“”‘’«»…-–—_/\\"
 _FACTOR = 0x9E3779B97F4A7C15
 
