@@ -31,11 +31,11 @@ END_ID = 0
 BLOCK_PIECES = 4096
 #: So many of the emptiest bins give documents away in a round of the local search; all bins may take them.
 SOURCES = 16
-PIECES = "uid long, doc_id long, piece int, start long, length int, tokens array<int>"
+PIECES = "uid long, doc_id long, piece int, start long, length int, ids_crc32 long, tokens array<int>"
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
-    """Pieces of every document, with their ids, as a table in the shared folder."""
+    """Pieces of every document, with their ids and the checksum of these, as a table in the shared folder."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,7 +44,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: i
             for k in range(0, batch.num_rows, 500):
                 some = batch.slice(k, 500)
                 ids = [encoder.encode(x) + end for x in some.column(1).to_pylist()]
-                doc, piece, start, length = [], [], [], []
+                doc, piece, start, length, crc = [], [], [], [], []
                 for d, x in enumerate(ids):
                     n = len(x) // 4
                     for p, s in enumerate(range(0, n, size)):
@@ -52,11 +52,12 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: i
                         piece.append(p)
                         start.append(s)
                         length.append(min(size, n - s))
+                        crc.append(zlib.crc32(x[4 * s : 4 * (s + size)]))
                 ends = np.r_[0, np.cumsum(length)].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(uid, uid + len(doc))), some.column(0).take(pa.array(doc, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), lists],
-                    names=["uid", "doc_id", "piece", "start", "length", "tokens"],
+                    [pa.array(np.arange(uid, uid + len(doc))), some.column(0).take(pa.array(doc, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64()), lists],
+                    names=["uid", "doc_id", "piece", "start", "length", "ids_crc32", "tokens"],
                 )
                 uid += len(doc)
 
@@ -166,18 +167,8 @@ def place(pieces: DataFrame, size: int = SIZE, block_pieces: int = BLOCK_PIECES)
     return whole.union(dealt.groupBy("block").applyInArrow(pack_block, "uid long, sequence_id long, offset long"))
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch.column(batch.num_columns - 1)
-        at, data = lists.offsets.to_numpy().tolist(), np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), dtype="<i4")
-        view = memoryview(data).cast("B")
-        crc = np.array([zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(at[:-1], at[1:], strict=True)], dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(crc)], names=[*batch.schema.names[:-1], "ids_crc32"])
-
-
 def digest(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)`` of stored pieces."""
-    sums = pieces.select("uid", "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "tokens").mapInArrow(
-        _sums, "uid long, doc_id long, piece int, start long, length long, ids_crc32 long")
+    sums = pieces.select("uid", "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32")
     placed = place(pieces.select("uid", "length"), size).withColumnRenamed("uid", "of_uid")
     return sums.join(placed, F.col("uid") == F.col("of_uid")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
