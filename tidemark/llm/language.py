@@ -15,14 +15,13 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, worker_cache
 
 UNKNOWN = "und"
 #: n-grams of a profile, and the most languages that profiles are broadcast for.
@@ -32,10 +31,10 @@ LANGUAGES = 1_000
 HELD = 2_000_000
 
 
-@lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     """For each code point, itself if it is a letter, else 0 (a blank)."""
-    return np.fromiter((c if chr(c).isalpha() else 0 for c in range(0x110000)), dtype=np.uint32, count=0x110000)
+    make = lambda: np.fromiter((c if chr(c).isalpha() else 0 for c in range(0x110000)), dtype=np.uint32, count=0x110000)
+    return worker_cache("letters", make)
 
 
 def grams(text: str) -> np.ndarray:
@@ -80,7 +79,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             keys, counts = both[first], np.add.reduceat(total, first)
         held[lang] = (keys, counts.astype(np.int64))
 
-    for batch in slices(batches, 2000):
+    for batch in slices(batches):
         found: dict[str, list[np.ndarray]] = defaultdict(list)
         sizes: dict[str, int] = defaultdict(int)
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -88,7 +87,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if len(g):
                 found[lang].append(g)
                 sizes[lang] += len(g)
-                if sizes[lang] > 4_000_000:
+                if sizes[lang] > 1_000_000:
                     add(lang, found.pop(lang))
                     sizes[lang] = 0
         for lang, x in found.items():
