@@ -14,6 +14,10 @@ T = TypeVar("T")
 #: Bytes of a row group of stored tables; a writing task holds one in memory.
 ROW_GROUP = 32 << 20
 
+#: Most bytes of an Arrow batch of texts; the JVM holds a batch outside its heap, the Python worker a copy.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _held: dict[object, object] = {}
 
 
@@ -36,6 +40,19 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(k, rows)
 
 
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, in a session whose Arrow batches are bounded in bytes.
+
+    By default a batch has 10,000 rows whatever their size. A batch still has one row at least, so
+    whole texts pass. The setting stays, because a plan reads it when it runs.
+    """
+    conf = docs.sparkSession.conf
+    now = int(conf.get(_BATCH_KEY).rstrip("b"))
+    if now <= 0 or now > BATCH_BYTES:
+        conf.set(_BATCH_KEY, str(BATCH_BYTES))
+    return docs
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, worker_cache
+from .common import materialize, slices, small_batches, worker_cache
 from .words import MARKS, WordTable, bare, rolling
 
 WINDOW = 5
@@ -152,7 +152,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, wi
         wanted = np.sort(np.array([r.window for r in rows], dtype=np.int64).view(np.uint64))
         if not len(wanted):
             wanted = np.zeros(1, dtype=np.uint64)
-    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("doc_key"), "text")
+    texts = small_batches(docs).select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("doc_key"), "text")
     found = texts.mapInArrow(lambda b: _windows(b, sizes, wanted, vocabulary, False), HITS).distinct()
     pairs = found.join(items, "window").select(
         "doc_id", "doc_key", "item_id", "item_key", "item_windows", "item_at", (F.col("doc_at") - F.col("item_at")).alias("shift"),

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, worker_cache
+from .common import slices, small_batches, worker_cache
 
 UNKNOWN = "und"
 #: n-grams of a profile, and the most languages that profiles are broadcast for.
@@ -99,7 +99,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def learn(labelled: DataFrame, profile: int = PROFILE) -> dict[str, list[int]]:
     """Profile (n-gram hashes by rank) of each language of the rows ``(text, lang)``."""
-    rows = labelled.select("text", "lang").where("text is not null and lang is not null")
+    rows = small_batches(labelled).select("text", "lang").where("text is not null and lang is not null")
     counts = rows.mapInArrow(_count_batches, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = counts.withColumn("rank", rank).where(F.col("rank") <= profile).select("lang", "gram", "rank")
@@ -111,8 +111,11 @@ def learn(labelled: DataFrame, profile: int = PROFILE) -> dict[str, list[int]]:
     return {lang: [g for _, g in sorted(x)] for lang, x in sorted(found.items())}
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], profile: int = PROFILE) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, 1 less the mean distance by the profile length."""
+def predict(profiles: dict[str, list[int]], profile: int = PROFILE) -> F.Column:
+    """``(lang_pred, score)`` of the column ``text``; score: 1 less the mean distance by the profile length.
+
+    Only texts go to the Python workers and only results come back; other columns stay in the JVM.
+    """
     langs = sorted(profiles)
     keys = np.array(sorted({g for x in profiles.values() for g in x}), dtype=np.uint32)
     ranks = np.full((len(keys) + 1, len(langs)), -1, dtype=np.int32)
@@ -134,18 +137,12 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], profile: int = PROF
         best = int(np.argmin(means))
         return langs[best], float(1 - means[best])
 
-    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(rows):
-            at = batch.schema.names.index("text")
-            found = [one(x) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
-                names=[*batch.schema.names, "lang_pred", "score"])
-
-    from pyspark.sql import types as T
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def nearest(texts: pa.Array) -> pa.Array:
+        found = [one(x.as_py()) for x in texts]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["lang_pred", "score"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(batches, schema)
+    return nearest(F.col("text"))
 
 
 def held_out(doc_id: F.Column, modulus: int = 3, remainder: int = 1) -> F.Column:
@@ -155,14 +152,13 @@ def held_out(doc_id: F.Column, modulus: int = 3, remainder: int = 1) -> F.Column
 
 def identify(docs: DataFrame) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)`` by profiles of the rows that are not held out."""
-    rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     profiles = learn(docs.where(~held_out(F.col("doc_id"))))
-    return predict(rows, profiles).select("doc_id", "held_out", "lang_pred", "score")
+    found = small_batches(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predict(profiles).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
 def keep_identified(docs: DataFrame, least: float) -> DataFrame:
     """Rows of ``docs`` whose language is known with at least this score; columns as they were."""
     profiles = learn(docs.where(~held_out(F.col("doc_id"))))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = predict(rows, profiles).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return found.select("row.*")
+    found = predict(profiles)
+    return small_batches(docs).where((found["lang_pred"] != UNKNOWN) & (found["score"] >= least))

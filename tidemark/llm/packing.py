@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 from .tokens import word_ids
 
 SIZE = 2048
@@ -61,7 +61,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: i
                 )
                 uid += len(doc)
 
-    return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, PIECES), "pieces")
+    return materialize(small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, PIECES), "pieces")
 
 
 def best_fit(lengths: list[int], size: int) -> list[list[int]]:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, slices, small_batches
 from .components import connected_components
 
 SEED = 42
@@ -58,7 +58,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``(doc_id, fp)``: the fingerprint of each document as a signed long."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
 def _keys() -> F.Column:

@@ -20,8 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .common import materialize
+from .common import materialize, small_batches
 
 WINDOW = 16
 #: One byte in so many is a proposed cut; the bytes that must be free of others before a cut; the longest chunk.
@@ -85,7 +86,7 @@ _NO_ID = -(1 << 63)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64("doc_id", "text").alias("doc_key"), "text")
+    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64("doc_id", "text").alias("doc_key"), "text")
 
 
 def _repeated_chunks(docs: DataFrame) -> DataFrame:
@@ -132,8 +133,8 @@ def remove_repeats(docs: DataFrame, least: int = SPAN) -> DataFrame:
     keyed = docs.select(F.struct(*docs.columns).alias("row"),
                         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("key_doc"), F.xxhash64("doc_id", "text").alias("key_text"))
     joined = keyed.join(cuts, (F.col("key_doc") == F.col("cut_doc")) & (F.col("key_text") == F.col("cut_key")), "left")
-    edited = joined.select("row", "cuts", F.col("row.text").alias("text")).mapInArrow(
-        _cut_batches, f"row {docs.schema.simpleString()}, new_text string, changed boolean")
+    changed = F.col("cuts").isNotNull()
+    edited = joined.select("row", changed.alias("changed"), _without(F.when(changed, F.col("row.text")), F.col("cuts")).alias("new_text"))
     columns = {
         "text": F.when(F.col("changed"), F.col("new_text")).otherwise(F.col("row.text")),
         "n_chars": F.when(F.col("changed"), F.length("new_text").cast(dict(docs.dtypes).get("n_chars", "long"))).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None,
@@ -142,17 +143,17 @@ def remove_repeats(docs: DataFrame, least: int = SPAN) -> DataFrame:
     return left.select(*[columns[c].alias(c) if c in columns else F.col("row")[c].alias(c) for c in docs.columns])
 
 
-def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        changed = [bool(x) for x in batch.column(1).to_pylist()]
-        texts = []
-        for text, cuts in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if not cuts:
-                texts.append(None)
-                continue
-            data, at, parts = text.encode("utf-8", "surrogatepass"), 0, []
-            for c in cuts:
-                parts.append(data[at : c["start"]])
-                at = c["start"] + c["length"]
-            texts.append(b"".join([*parts, data[at:]]).decode("utf-8", "ignore"))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(changed)], names=["row", "new_text", "changed"])
+@F.arrow_udf(StringType())
+def _without(texts: pa.Array, cuts: pa.Array) -> pa.Array:
+    """Texts without the bytes of their cuts; null where there is nothing to cut."""
+    out: list[str | None] = []
+    for text, gone in zip(texts, cuts, strict=True):
+        if not text.is_valid or not gone.is_valid:
+            out.append(None)
+            continue
+        data, at, parts = text.as_py().encode("utf-8", "surrogatepass"), 0, []
+        for c in gone.as_py():
+            parts.append(data[at : c["start"]])
+            at = c["start"] + c["length"]
+        out.append(b"".join([*parts, data[at:]]).decode("utf-8", "ignore"))
+    return pa.array(out, pa.string())
