@@ -6,7 +6,9 @@ there, and shifted by the totals of the ranges before, which are at most ``RANGE
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 64
@@ -81,16 +83,28 @@ def welch_t(df: DataFrame, value: str, group: str, one: str, two: str) -> DataFr
                     F.expr("power(va / na + vb / nb, 2) / (power(va / na, 2) / (na - 1) + power(vb / nb, 2) / (nb - 1))").alias("df"))
 
 
-def cluster_bootstrap(clusters: DataFrame, cluster: str, total: str, count: str, reps: int, seed: int) -> DataFrame:
+def mixed_pick(rep: Column, slot: Column, n: Column, seed: int) -> Column:
+    """A draw from 0 to n - 1: the first 15 hex digits of the md5 of 'rep/slot/seed', mod n."""
+    digits = F.substring(F.md5(F.concat_ws("/", rep.cast("string"), slot.cast("string"), F.lit(str(seed)))), 1, 15)
+    return F.conv(digits, 16, 10).cast("long") % n
+
+
+def linear_pick(rep: Column, slot: Column, n: Column, seed: int) -> Column:
+    """(rep * 7919 + slot * 104729 + seed) mod n: no resampling, but a permutation of the clusters
+    unless n is a multiple of 104729. Kept for the SQL that holds this formula."""
+    return (rep * 7919 + slot * 104729 + seed) % n
+
+
+def cluster_bootstrap(clusters: DataFrame, cluster: str, total: str, count: str, reps: int, seed: int, pick: Callable[[Column, Column, Column, int], Column] = mixed_pick) -> DataFrame:
     """Mean and percentile interval of sum(total) / sum(count) over resampled clusters.
 
-    The pick of (rep, slot) is (rep * 7919 + slot * 104729 + seed) mod clusters: any engine draws the
-    same. Clusters are aggregates; reps x clusters rows are made in parallel.
+    ``pick`` draws a cluster for each (rep, slot) with replacement, by a formula that any engine can
+    compute. Clusters are aggregates; reps x clusters rows are made in parallel.
     """
     numbered = clusters.withColumn("idx", F.row_number().over(Window.orderBy(cluster)) - 1)
     n = clusters.agg(F.count("*").alias("n"))
-    draws = clusters.sparkSession.range(reps).withColumnRenamed("id", "rep").crossJoin(F.broadcast(n))
+    draws = clusters.sparkSession.range(reps).withColumnRenamed("id", "rep").crossJoin(F.broadcast(n)).where("n > 0")
     draws = draws.select("rep", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot"))
-    picked = draws.withColumn("idx", (F.col("rep") * 7919 + F.col("slot") * 104729 + seed) % F.col("n")).join(numbered, "idx")
+    picked = draws.withColumn("idx", pick(F.col("rep"), F.col("slot"), F.col("n"), seed)).join(numbered, "idx")
     means = picked.groupBy("rep").agg((F.sum(total) / F.sum(count)).alias("mean"))
     return means.agg(F.count("*").alias("reps"), F.avg("mean").alias("mean"), F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))

@@ -495,7 +495,15 @@ def sign_test_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
  m as (select rep, sum(total) / sum(cnt) as mean from r group by all) select count(*) as reps, round(avg(mean), 3) as mean, round(quantile_cont(mean, 0.025), 3) as low, round(quantile_cont(mean, 0.975), 3) as high from m""")
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     months = table(spark, sf_dir, "orders").groupBy(F.trunc("o_orderdate", "month").alias("month")).agg(F.sum("o_totalprice").alias("total"), F.count("*").alias("cnt"))
-    return rounded(stats.cluster_bootstrap(months, "month", "total", "cnt", 200, 20_260_822), 3)
+    return rounded(stats.cluster_bootstrap(months, "month", "total", "cnt", 200, 20_260_822, stats.linear_pick), 3)
+
+
+@query("""with c as (select date_trunc('month', o_orderdate)::date as month, sum(o_totalprice) as total, count(*) as cnt from orders group by all), i as (select *, row_number() over (order by month) - 1 as idx, count(*) over () as n from c),
+ r as (select rep, i.total, i.cnt from (select unnest(range(0, 1000)) as rep) x, (select unnest(range(0, (select count(*) from c))) as slot) y join i on i.idx = ('0x' || substr(md5(rep::varchar || '/' || slot::varchar || '/20260822'), 1, 15))::bigint % i.n),
+ m as (select rep, sum(total) / sum(cnt) as mean from r group by all) select count(*) as reps, round(avg(mean), 3) as mean, round(quantile_cont(mean, 0.025), 3) as low, round(quantile_cont(mean, 0.975), 3) as high from m""")
+def cluster_bootstrap_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    months = table(spark, sf_dir, "orders").groupBy(F.trunc("o_orderdate", "month").alias("month")).agg(F.sum("o_totalprice").alias("total"), F.count("*").alias("cnt"))
+    return rounded(stats.cluster_bootstrap(months, "month", "total", "cnt", 1000, 20_260_822), 3)
 
 
 @query(f"{_DAILY} select l_returnflag, ship_day, n, round(bias, 6) as bias from daily order by abs(round(bias, 6)) desc, n desc, ship_day, l_returnflag limit 25")
