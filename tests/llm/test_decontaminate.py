@@ -84,3 +84,36 @@ def test_drop_leaks(documents, spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([str(d) for d, _ in docs if d not in gone] + ["20"])
     assert decontaminate.drop_leaks(df.limit(0), benchmark).count() == 0
     assert decontaminate.drop_leaks(df, benchmark.limit(0)).count() == len(docs)
+
+
+def test_names_at_the_beginning_of_sentences(spark):
+    items = [
+        (1, "Tom has 3 apples. Tom buys 4 more. How many apples does Tom have now?"),
+        (2, "Betty sold clips to 48 friends in April. Clara then sold half as many clips in May. Betty keeps 7 clips for later use. Betty and her friends ask how many clips were sold."),
+        (3, "Jane ran 9 laps round the park. Jane then walked 4 laps back."),
+        (4, "Yes please"), (5, "The dog runs"),
+    ]
+    docs = [
+        (10, "Ann has 5 apples. Ann buys 7 more. How many apples does Ann have now?"),
+        (11, "Ann has 5 apples. Ann buys 5 more. How many apples does Ann have now?"),  # 3 and 4 became one number
+        (12, "so we ask. Tom has 5 apples. Ann buys 7 more. How many apples does Eve have now?"),  # three people
+        (20, "First. Maria sold clips to 52 friends in June. Oscar then sold half as many clips in July. Maria keeps 9 clips for later use. Maria and her friends ask how many clips were sold. End"),
+        (30, "Then Paul ran 9 laps round the park. Paul then walked 4 laps back."),  # begins a sentence on one side only
+        (40, "Tom please"), (41, "They said yes please again"), (50, "now the dog runs"), (51, "Tom dog runs"),
+    ]
+    schema = ["doc_id long, text string", "item_id long, text string"]
+    df, benchmark = spark.createDataFrame(docs, schema[0]), spark.createDataFrame(items, schema[1])
+    want = {(10, 1, 1.0), (11, 1, 1.0), (20, 2, 1.0), (30, 3, 1.0), (41, 4, 1.0), (50, 5, 1.0), (51, 5, 1.0)}
+    got = {(r.doc_id, r.item_id, r.share) for r in decontaminate.leaks(df, benchmark).collect()}
+    assert got == want
+    shuffled = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, benchmark, broadcast=0).collect()}
+    assert shuffled == {x[:2] for x in want}
+
+
+def test_one_other_filling_costs_its_windows_alone(spark):
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    item = " ".join(["of", *words[:5], "3", *words[5:30], "3", *words[30:55], "3", *words[55:]])
+    doc = item.replace(" 3 ", " 8 ", 2).replace(" 3 ", " 9 ")
+    df, benchmark = spark.createDataFrame([(1, doc)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    n = len(item.split()) - 4
+    assert [(r.matched, r.item_windows) for r in decontaminate.leaks(df, benchmark).collect()] == [(n - 5, n)]

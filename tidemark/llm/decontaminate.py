@@ -2,11 +2,15 @@
 
 Numbers, units and names of a text become the placeholders ``<num>``, ``<unit>`` and ``<name>`` (a
 name: a capitalised word that does not begin a sentence); other words are lower-cased without marks.
-Windows of five template words are hashed. Windows of documents meet windows of benchmark items by a
-hash join; hits that lie on one alignment must fill the item's placeholders consistently, one value
-for each of the item's values and back, so a re-parameterised question is found and a chance
-pattern is not. A document is contaminated by an item if consistent hits cover at least 0.8 of the
-item's windows; items shorter than a window are one window of their own.
+A capitalised word that begins a sentence may be a name or not: it has both readings. Windows of five
+template words are hashed, once for each of their readings. Windows of documents meet windows of
+benchmark items by a hash join; hits that lie on one alignment must fill the item's placeholders
+consistently, one value for each of the item's values, so a re-parameterised question is found and a
+chance pattern is not. Where a value is filled differently, the filling of most windows holds (of
+equals, the first in order), and windows with another one are no hits; two values may get the same
+filling. A document is contaminated by an item if consistent hits cover at least 0.8 of the item's
+windows. Items shorter than a window are one window of their own; a reading of it that takes the
+beginning of a sentence for a name must leave two literal words.
 
 The item windows and words are put into the tasks while there are at most ``BROADCAST`` windows, so
 that only hits leave them; beyond that all windows of documents are joined through a shuffle.
@@ -19,6 +23,7 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, slices, small_batches, worker_cache
-from .words import MARKS, WordTable, bare, rolling
+from .words import MARKS, WordTable, bare
 
 WINDOW = 5
 SHARE = 0.8
@@ -53,6 +58,7 @@ def _hash(word: str) -> int:
 
 _NAME = np.uint64(_hash("<name>"))
 _NONE = np.uint64(0)
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Templates:
@@ -77,17 +83,75 @@ class Templates:
         literal = _hash(low) if self.vocabulary is None or low in self.vocabulary else 0
         return literal, False, core[:1].isupper() and core[1:].islower(), ends
 
-    def of(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Words, template hashes and which of them are placeholders."""
+    def of(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Words, template hashes, which of them are placeholders and which may also be names."""
         words = text.split()
         codes = self.table.codes(words)
         hashes, typed, capital, ends = (self.table.column(k)[codes] for k in range(4))
-        name = capital & ~np.r_[True, ends[:-1]] & ~typed
-        return words, np.where(name, _NAME, hashes), typed | name
+        begins = np.r_[True, ends[:-1]]
+        name = capital & ~begins & ~typed
+        return words, np.where(name, _NAME, hashes), typed | name, capital & begins & ~typed
+
+
+def _bits(flags: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """For each window that starts ``at``, the number whose bit j is the flag of its word j."""
+    out = np.zeros(len(at), dtype=np.int64)
+    for j in range(size):
+        out |= flags[at + j].astype(np.int64) << j
+    return out
+
+
+def _readings(template: np.ndarray, slot: np.ndarray, either: np.ndarray, size: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(starts, hashes) of the windows of each reading, without unknown words, not all placeholders.
+
+    Readings with a name at the beginning of a sentence leave ``least`` literal words.
+    """
+    n = len(template) - size + 1
+    if n <= 0:
+        return
+    hard = np.r_[0, np.cumsum((template == _NONE) & ~either)]
+    at = np.flatnonzero(hard[size:] == hard[:-size])
+    if not len(at):
+        return
+    rolled = np.zeros(len(at), dtype=np.uint64)
+    for j in range(size):
+        rolled = rolled * _FACTOR + template[at + j]
+    unknown, slots, names = _bits(template == _NONE, at, size), _bits(slot, at, size), _bits(either, at, size)
+    present = np.unique(names).tolist()
+    literal = size - np.bitwise_count(slots).astype(np.int64)
+    for mask in sorted({m for whole in present for m in _submasks(whole)}):
+        used = np.flatnonzero((names & mask == mask) & (unknown & ~mask == 0) & (literal - mask.bit_count() >= (least if mask else 1)))
+        if not len(used):
+            continue
+        hashes = rolled[used]
+        for j in range(size):
+            if mask >> j & 1:
+                hashes = hashes + (_NAME - template[at[used] + j]) * _FACTOR ** np.uint64(size - 1 - j)
+        yield at[used], (hashes ^ (hashes >> np.uint64(29))) * _FACTOR ^ np.uint64(size)
+
+
+def _submasks(whole: int) -> Iterator[int]:
+    part = whole
+    while part:
+        yield part
+        part = (part - 1) & whole
+    yield 0
+
+
+def _consistent(windows: list) -> list[int]:
+    """Starts of the windows ``(start, fills)`` that agree with the filling of most, value by value."""
+    votes = Counter(pair for _, fills in windows for pair in {(f[0], f[1]) for f in fills})
+    chosen: dict[str, str] = {}
+    for value, filling in sorted(votes, key=lambda pair: (-votes[pair], pair)):
+        chosen.setdefault(value, filling)
+    return [at for at, fills in windows if all(chosen[f[0]] == f[1] for f in fills)]
 
 
 def _windows(batches: Iterator[pa.RecordBatch], sizes: list[int], wanted: np.ndarray | None, vocabulary: frozenset[str] | None, key: bool) -> Iterator[pa.RecordBatch]:
-    """Windows of texts: of the given sizes; only wanted hashes; not all placeholders."""
+    """Windows of texts: of the given sizes, the first of them the full one; only wanted hashes; not all placeholders.
+
+    ``slots`` has a value for each word of the window that is or may be a placeholder.
+    """
     templates, low16 = worker_cache(("templates", vocabulary), lambda: Templates(vocabulary)), None
     if wanted is not None:
         low16 = np.zeros(1 << 16, dtype=bool)
@@ -98,30 +162,26 @@ def _windows(batches: Iterator[pa.RecordBatch], sizes: list[int], wanted: np.nda
         for doc, doc_key, text in zip(ids, keys, texts, strict=True):
             if not text:
                 continue
-            words, template, slot = templates.of(text)
+            words, template, slot, either = templates.of(text)
             if not words:
                 continue
+            valued = slot | either
             for size in sizes if not key else [min(len(words), sizes[0])]:
-                hashes = rolling(template, size) ^ np.uint64(size)
-                if not len(hashes):
-                    continue
-                if wanted is None:
-                    at = np.arange(len(hashes))
-                else:
-                    known = np.r_[0, np.cumsum(template == _NONE)]
-                    at = np.flatnonzero(low16[hashes & np.uint64(0xFFFF)] & (known[size:] == known[:-size]))
-                    place = np.minimum(np.searchsorted(wanted, hashes[at]), len(wanted) - 1)
-                    at = at[wanted[place] == hashes[at]]
-                if not len(at):
-                    continue
-                slots = np.r_[0, np.cumsum(slot)]
-                at = at[slots[at + size] - slots[at] < size]
-                for p in at.tolist():
-                    out[2].append(p)
-                    out[3].append(int(hashes[p].view(np.int64)))
-                    out[4].append([bare(words[j]) for j in range(p, p + size) if slot[j]])
-                out[0].extend([doc] * len(at))
-                out[1].extend([doc_key] * len(at))
+                with np.errstate(over="ignore"):
+                    found = list(_readings(template, slot, either, size, 2 if size < sizes[0] else 1))
+                for at, hashes in found:
+                    if wanted is not None:
+                        maybe = np.flatnonzero(low16[hashes & np.uint64(0xFFFF)])
+                        at, hashes = at[maybe], hashes[maybe]
+                        place = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
+                        hit = wanted[place] == hashes
+                        at, hashes = at[hit], hashes[hit]
+                    for p in at.tolist():
+                        out[2].append(p)
+                        out[4].append([bare(words[j]) if valued[j] else None for j in range(p, p + size)])
+                    out[3].extend(hashes.view(np.int64).tolist())
+                    out[0].extend([doc] * len(at))
+                    out[1].extend([doc_key] * len(at))
         yield pa.RecordBatch.from_arrays(
             [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.list_(pa.string()))],
             names=["doc_id", "doc_key", "doc_at", "window", "slots"])
@@ -132,7 +192,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(item_id, item_at, window, item_slots, item_size, item_windows)`` as a table."""
     rows = benchmark.select(F.col("item_id").cast("long"), F.xxhash64("item_id", "text").alias("key"), "text").distinct()
     found = rows.mapInArrow(lambda b: _windows(b, [window], None, None, True), HITS)
-    sizes = found.groupBy(F.col("doc_id").alias("i"), F.col("doc_key").alias("k")).agg(F.count("*").alias("item_windows"))
+    sizes = found.groupBy(F.col("doc_id").alias("i"), F.col("doc_key").alias("k")).agg(F.count_distinct("doc_at").alias("item_windows"))
     named = found.join(sizes, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("doc_key") == F.col("k")))
     return materialize(named.select(
         F.col("doc_id").alias("item_id"), F.col("doc_key").alias("item_key"), F.col("doc_at").alias("item_at"),
@@ -154,13 +214,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, wi
             wanted = np.zeros(1, dtype=np.uint64)
     texts = small_batches(docs).select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("doc_key"), "text")
     found = texts.mapInArrow(lambda b: _windows(b, sizes, wanted, vocabulary, False), HITS).distinct()
+    fills = F.filter(F.arrays_zip("item_slots", "slots"), lambda x: x.item_slots.isNotNull())
     pairs = found.join(items, "window").select(
-        "doc_id", "doc_key", "item_id", "item_key", "item_windows", "item_at", (F.col("doc_at") - F.col("item_at")).alias("shift"),
-        F.arrays_zip("item_slots", "slots").alias("fills"))
-    aligned = pairs.groupBy("doc_id", "doc_key", "item_id", "item_key", "item_windows", "shift").agg(
-        F.collect_set("item_at").alias("at"), F.array_distinct(F.flatten(F.collect_list("fills"))).alias("fills"))
-    one_to_one = (F.size("fills") == F.size(F.array_distinct("fills.item_slots"))) & (F.size("fills") == F.size(F.array_distinct("fills.slots")))
-    hits = aligned.where(one_to_one).withColumn("hit", F.explode("at"))
+        "doc_id", "doc_key", "item_id", "item_key", "item_windows", (F.col("doc_at") - F.col("item_at")).alias("shift"),
+        F.struct("item_at", F.transform(fills, lambda x: F.struct(x.item_slots, F.coalesce(x.slots, x.item_slots))).alias("fills")).alias("window"))
+    aligned = pairs.groupBy("doc_id", "doc_key", "item_id", "item_key", "item_windows", "shift").agg(F.collect_set("window").alias("windows"))
+    hits = aligned.withColumn("hit", F.explode(F.udf(_consistent, "array<int>", useArrow=False)("windows")))
     scored = hits.groupBy("doc_id", "doc_key", "item_id", "item_key", "item_windows").agg(F.count_distinct("hit").alias("matched"))
     return scored.where(F.col("matched") >= share * F.col("item_windows")).select("doc_id", "doc_key", "item_id", "matched", "item_windows")
 
