@@ -39,3 +39,32 @@ def test_edited_notice_and_bad_templates(documents):
     got = licenses.scan(df, {**licenses.NOTICES, "empty": "", "blank": " "}).collect()
     assert [(r.doc_id, r.license) for r in got] == [(1, "mit-grant")] and 0.8 <= got[0].containment < 1
     assert licenses.scan(df.limit(0)).count() == 0 and licenses.scan(df, {"e": ""}).count() == 0
+
+
+def test_common_licenses_are_known(documents):
+    lines = {
+        "mit-notice": "Licensed under the MIT License", "lgpl-2.1": "Released under the GNU Lesser General Public License v2.1",
+        "agpl-3.0": "SPDX-License-Identifier: AGPL-3.0-or-later", "gpl-2.0": "Licensed under the GNU General Public License, version 2.",
+        "mpl-2.0": "Licensed under the Mozilla Public License 2.0.", "epl-2.0": "Distributed under the Eclipse Public License v2.0",
+        "isc": "Licensed under the ISC License.", "unlicense": "Released under the Unlicense", "bsd-3-clause": "Licensed under the BSD 3-Clause License",
+        "cc0-1.0": "Licensed under CC0 1.0.", "cc-by-nd-4.0": "Licensed under CC BY-ND 4.0.",
+    }
+    bodies = {k: v for k, v in licenses.catalogue().items() if k.endswith(("-body", "-warranty"))}
+    docs = list(enumerate([f"some text before. {x} and some text after" for x in [*lines.values(), *bodies.values()]]))
+    folder, df = documents(docs)
+    got = {}
+    for r in queries.op4_licenses(df.sparkSession, folder).collect():
+        got.setdefault(r.doc_id, {})[r.license] = r.containment
+    for k, name in enumerate(lines):
+        assert got[k] and all(x.startswith(name) for x in got[k]), (name, got[k])
+    for k, name in enumerate(bodies, len(lines)):
+        assert got[k][name] == 1.0
+    assert len(bodies) >= 20
+
+
+def test_headers_tell_versions_and_kinds(documents):
+    header = "you can redistribute it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or any later version"
+    cases = [("", "2", "gpl-2.0"), ("", "3", "gpl-3.0"), ("Lesser ", "2.1", "lgpl-2.1"), ("Lesser ", "3", "lgpl-3.0"), ("Affero ", "3", "agpl-3.0")]
+    folder, df = documents([(k, header.format(a, b)) for k, (a, b, _) in enumerate(cases)])
+    got = {(r.doc_id, r.license) for r in licenses.scan(df).collect() if r.license.endswith("-or-later-header")}
+    assert got == {(k, f"{name}-or-later-header") for k, (_, _, name) in enumerate(cases)}

@@ -7,7 +7,8 @@ value; a class has so many bands that such a window shares a band with chance at
 those windows are verified: the share of the template's shingles that the window holds must reach
 ``CONTAINED``. Shingles have five words, or all words of a shorter template.
 
-The templates are a parameter; their bands are held by the tasks, behind a bound of ``TEMPLATES``.
+The templates are a parameter; by default they are ``NOTICES`` and the bodies, headers, usual notices and
+SPDX tags of ``license_templates.json``. Their bands are held by the tasks, behind a bound of ``TEMPLATES``.
 Documents are not shuffled.
 
 Defined results: null and empty texts give no rows, repeated rows repeat theirs, a template without
@@ -16,8 +17,10 @@ a word is ignored, an empty table gives no rows, other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,7 @@ NOTICES = {
     "mit": "Released under the MIT License.",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "gpl-3.0-plain": "under the GNU General Public License, version 3",
     "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-4.0": "Licensed under CC BY 4.0.",
@@ -48,6 +52,8 @@ NOTICES = {
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "all-rights-reserved": "All rights reserved.",
 }
+#: Templates of the common licenses by name, besides ``NOTICES``.
+TABLE = Path(__file__).with_name("license_templates.json")
 FOUND = "doc_id long, license string, first_word long, last_word long, containment double"
 
 
@@ -65,6 +71,11 @@ def _hashes(text: str | None) -> np.ndarray:
     return table.column(0)[codes]
 
 
+def catalogue() -> dict[str, str]:
+    """All templates of the production scan, read where the query is planned."""
+    return {**json.loads(TABLE.read_text(encoding="utf-8")), **NOTICES}
+
+
 class Bands:
     """Band values of the templates of one shingle length and one class."""
 
@@ -173,7 +184,7 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, contained: floa
 
     Overlapping occurrences of a template are one row, with the largest containment.
     """
-    bands = templates(NOTICES if notices is None else notices)
+    bands = templates(catalogue() if notices is None else notices)
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
