@@ -6,6 +6,8 @@ into its own and the neighbouring buckets, so no side is broadcast and no cross
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,17 +34,31 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
-def nearest_cell(points: DataFrame, cells: DataFrame, key: str, cell: str, limit_km: float, most_lat: float = 60.0) -> DataFrame:
+def nearest_cell(points: DataFrame, cells: DataFrame, key: str, cell: str, limit_km: float) -> DataFrame:
     """The nearest of ``cells`` within ``limit_km`` of each of ``points``; both have ``lat`` and ``lon``.
 
-    Equal distances go to the smaller latitude, then longitude. ``most_lat`` bounds latitudes. Points
-    without a cell in reach are left out.
+    Equal distances go to the smaller latitude, then longitude. Longitudes are taken round the circle, in
+    equal buckets of each latitude band, as wide as the limit reaches at the band's or its neighbours'
+    least cosine; near a pole a band is one bucket. Points without a cell in reach are left out.
     """
     step = limit_km / 111.0
-    wide = F.lit(step) / F.cos(F.radians(F.lit(most_lat)))
-    around = lambda c, s: F.explode(F.array(*[F.floor(F.col(c) / s) + k for k in (-1, 0, 1)]))
-    spread = cells.select(F.col(cell), F.col("lat").alias("cell_lat"), F.col("lon").alias("cell_lon")).withColumn("by", around("cell_lat", F.lit(step))).withColumn("bx", around("cell_lon", wide))
-    own = points.withColumn("by", F.floor(F.col("lat") / step)).withColumn("bx", F.floor(F.col("lon") / wide))
+    half = math.sin(min(limit_km / (2 * EARTH_KM), math.pi / 2))
+
+    def buckets(band: Column) -> Column:
+        most = F.least(F.lit(90.0), F.greatest(F.abs((band - 1) * step), F.abs((band + 2) * step)))
+        reach = F.degrees(2 * F.asin(F.least(F.lit(1.0), half / F.greatest(F.cos(F.radians(most)), F.lit(1e-12))))) * (1 + 1e-9)
+        return F.greatest(F.lit(1), F.floor(360 / reach)).cast("long")
+
+    def bucket(lon: Column, n: Column) -> Column:
+        return F.least(F.floor(F.pmod(lon, F.lit(360.0)) * n / 360), n - 1)
+
+    spread = cells.select(F.col(cell), F.col("lat").alias("cell_lat"), F.col("lon").alias("cell_lon"))
+    spread = spread.withColumn("by", F.explode(F.array(*[F.floor(F.col("cell_lat") / step) + k for k in (-1, 0, 1)])))
+    n = buckets(F.col("by"))
+    around = F.array_distinct(F.array(*[F.pmod(bucket(F.col("cell_lon"), n) + k, n) for k in (-1, 0, 1)]))
+    spread = spread.withColumn("bx", F.explode(around))
+    own = points.withColumn("by", F.floor(F.col("lat") / step))
+    own = own.withColumn("bx", bucket(F.col("lon"), buckets(F.col("by"))))
     pairs = own.join(spread, ["by", "bx"]).withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon")))
     best = pairs.where(F.col("km") <= limit_km).groupBy(key).agg(F.min(F.struct("km", "cell_lat", "cell_lon", cell)).alias("best"))
     return best.select(key, F.col(f"best.{cell}").alias(cell), F.col("best.km").alias("km"))
