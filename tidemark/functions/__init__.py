@@ -1 +1 @@
-
+"""Scalar functions: geodesy, satellite bands, dates and tail probabilities."""

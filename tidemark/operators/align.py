@@ -1,32 +1,53 @@
 """Alignment: nearest time within a tolerance, nearest place, grid lookup, calendar lag and spines.
 
-Every near match is an equality join on buckets as wide as the tolerance, with the right side put
-into its own and the neighbouring buckets, so no side is broadcast and no cross join is made.
+Near places are an equality join on buckets as wide as the limit, with the cells put into their own
+and the neighbouring buckets; near times are windows over both sides in one order. No side is
+broadcast and no cross join is made.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import finite
+
 EARTH_KM = 6371.0
+#: Most nodes of a grid axis; a grid's axes are part of the plan.
+AXIS = 10_000
+
+
+#: A bucket of the nearest-time match is so many tolerances wide.
+BUCKET = 64
 
 
 def nearest_time(left: DataFrame, right: DataFrame, time: str, tolerance: int, by: list[str], value: str) -> DataFrame:
     """``left`` with the ``value`` and ``matched_time`` of the nearest right row within ``tolerance``.
 
     Times are integers of one unit. Equal distances go to the earlier right row, then to the smaller
-    value; left rows must be distinct; those without a match have nulls.
+    value; those without a match have nulls. Both sides stand in one order in each time bucket of a
+    key, and the right rows before and after a left row come from running windows: rows are never
+    paired, and a dense series is split by its buckets. Right rows near a bucket's end stand in the
+    next one too.
     """
-    b = F.floor(F.col(time) / tolerance)
-    cells = right.select(*by, F.col(time).alias("matched_time"), F.col(value), F.explode(F.array(b - 1, b, b + 1)).alias("bucket"))
-    near = F.abs(F.col("matched_time") - F.col(time))
-    joined = left.withColumn("bucket", b).join(cells, [*by, "bucket"], "left").where(F.col("matched_time").isNull() | (near <= tolerance))
-    best = F.min(F.when(F.col("matched_time").isNotNull(), F.struct(near.alias("gap"), "matched_time", value)))
-    found = joined.groupBy(*by, time).agg(best.alias("best")).select(*by, time, F.col("best.matched_time").alias("matched_time"), F.col(f"best.{value}").alias(value), F.col("best.gap").alias("gap"))
-    return left.join(found, [*by, time], "left")
+    width = BUCKET * tolerance
+    t = F.col(time)
+    rights = right.where(F.expr(" and ".join(f"`{c}` is not null" for c in [*by, time]))).groupBy(*by, time).agg(F.min(value).alias(value))
+    near = F.sequence(F.floor((t - tolerance) / width), F.floor((t + tolerance) / width))
+    rights = rights.select(*by, t.alias("_t"), F.explode(near).alias("_bucket"), F.struct(t.alias("matched_time"), F.col(value).alias("value")).alias("_right"))
+    lefts = left.select(*by, t.alias("_t"), F.floor(t / width).alias("_bucket"), F.struct(*left.columns).alias("_left"))
+    both = lefts.unionByName(rights, allowMissingColumns=True)
+    order = Window.partitionBy(*by, "_bucket").orderBy("_t", F.col("_left").isNotNull())
+    before = F.last("_right", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_right", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    met = both.withColumn("_before", before).withColumn("_after", after).where("_left is not null")
+    gap = lambda c: F.abs(F.col(f"{c}.matched_time") - F.col("_t"))
+    candidates = [F.when(gap(c) <= tolerance, F.struct(gap(c).alias("gap"), F.col(f"{c}.matched_time"), F.col(f"{c}.value"))) for c in ("_before", "_after")]
+    best = met.withColumn("_best", F.least(*candidates))
+    return best.select(*[F.col(f"_left.{c}").alias(c) for c in left.columns], F.col("_best.matched_time").alias("matched_time"), F.col("_best.value").alias(value), F.col("_best.gap").alias("gap"))
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -34,32 +55,50 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
-def nearest_cell(points: DataFrame, cells: DataFrame, key: str, cell: str, limit_km: float) -> DataFrame:
-    """The nearest of ``cells`` within ``limit_km`` of each of ``points``; both have ``lat`` and ``lon``.
+def flat_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Local flat distance: 111.32 km a degree, longitudes by the cosine of the mean latitude and round the circle."""
+    dlon = F.pmod(lon2 - lon1 + 180.0, F.lit(360.0)) - 180.0
+    return F.sqrt(F.pow(111.32 * (lat2 - lat1), 2) + F.pow(111.32 * F.cos(F.radians((lat1 + lat2) / 2)) * dlon, 2))
+
+
+def nearest_cell(points: DataFrame, cells: DataFrame, key: str, cell: str, limit_km: float, by: list[str] | None = None) -> DataFrame:
+    """The nearest of ``cells`` by great circle within ``limit_km`` of each of ``points``; both have ``lat`` and ``lon``."""
+    half = math.sin(min(limit_km / (2 * EARTH_KM), math.pi / 2))
+    reach = lambda cos: F.degrees(2 * F.asin(F.least(F.lit(1.0), half / cos)))
+    return _nearest_place(points, cells, key, cell, limit_km, by or [], limit_km / 111.0, reach, haversine_km)
+
+
+def nearest_cell_flat(points: DataFrame, cells: DataFrame, key: str, cell: str, limit_km: float, by: list[str] | None = None) -> DataFrame:
+    """The same by the local flat distance, of cells with equal ``by`` (an epoch)."""
+    reach = lambda cos: limit_km / 111.32 / cos
+    return _nearest_place(points, cells, key, cell, limit_km, by or [], limit_km / 111.0, reach, flat_km)
 
-    Equal distances go to the smaller latitude, then longitude. Longitudes are taken round the circle, in
+
+def _nearest_place(
+    points: DataFrame, cells: DataFrame, key: str, cell: str, limit_km: float, by: list[str], step: float,
+    reach: Callable[[Column], Column], distance: Callable[[Column, Column, Column, Column], Column],
+) -> DataFrame:
+    """Equal distances go to the smaller latitude, then longitude. Longitudes are taken round the circle, in
     equal buckets of each latitude band, as wide as the limit reaches at the band's or its neighbours'
     least cosine; near a pole a band is one bucket. Points without a cell in reach are left out.
     """
-    step = limit_km / 111.0
-    half = math.sin(min(limit_km / (2 * EARTH_KM), math.pi / 2))
 
     def buckets(band: Column) -> Column:
         most = F.least(F.lit(90.0), F.greatest(F.abs((band - 1) * step), F.abs((band + 2) * step)))
-        reach = F.degrees(2 * F.asin(F.least(F.lit(1.0), half / F.greatest(F.cos(F.radians(most)), F.lit(1e-12))))) * (1 + 1e-9)
-        return F.greatest(F.lit(1), F.floor(360 / reach)).cast("long")
+        width = reach(F.greatest(F.cos(F.radians(most)), F.lit(1e-12))) * (1 + 1e-9)
+        return F.greatest(F.lit(1), F.floor(360 / width)).cast("long")
 
     def bucket(lon: Column, n: Column) -> Column:
         return F.least(F.floor(F.pmod(lon, F.lit(360.0)) * n / 360), n - 1)
 
-    spread = cells.select(F.col(cell), F.col("lat").alias("cell_lat"), F.col("lon").alias("cell_lon"))
-    spread = spread.withColumn("by", F.explode(F.array(*[F.floor(F.col("cell_lat") / step) + k for k in (-1, 0, 1)])))
-    n = buckets(F.col("by"))
+    spread = cells.select(*by, F.col(cell), F.col("lat").alias("cell_lat"), F.col("lon").alias("cell_lon"))
+    spread = spread.withColumn("_by", F.explode(F.array(*[F.floor(F.col("cell_lat") / step) + k for k in (-1, 0, 1)])))
+    n = buckets(F.col("_by"))
     around = F.array_distinct(F.array(*[F.pmod(bucket(F.col("cell_lon"), n) + k, n) for k in (-1, 0, 1)]))
-    spread = spread.withColumn("bx", F.explode(around))
-    own = points.withColumn("by", F.floor(F.col("lat") / step))
-    own = own.withColumn("bx", bucket(F.col("lon"), buckets(F.col("by"))))
-    pairs = own.join(spread, ["by", "bx"]).withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon")))
+    spread = spread.withColumn("_bx", F.explode(around))
+    own = points.withColumn("_by", F.floor(F.col("lat") / step))
+    own = own.withColumn("_bx", bucket(F.col("lon"), buckets(F.col("_by"))))
+    pairs = own.join(spread, [*by, "_by", "_bx"]).withColumn("km", distance(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon")))
     best = pairs.where(F.col("km") <= limit_km).groupBy(key).agg(F.min(F.struct("km", "cell_lat", "cell_lon", cell)).alias("best"))
     return best.select(key, F.col(f"best.{cell}").alias(cell), F.col("best.km").alias("km"))
 
@@ -89,6 +128,41 @@ def grid_interpolate(points: DataFrame, grid: DataFrame, key: str, lat: tuple[fl
     return met.groupBy(key).agg(F.when(F.count("node_value") == 8, F.sum(F.col("w") * F.col("node_value"))).alias("value"))
 
 
+def bracket(q: Column, axis: list[float]) -> Column:
+    """Interval of an ascending axis with any steps: the last node at or below ``q``, the last node in the last interval; null outside."""
+    if len(axis) > AXIS:
+        raise ValueError(f"more than {AXIS} nodes")
+    nodes = F.array(*map(F.lit, axis))
+    at = F.least(F.size(F.filter(nodes, lambda x: x <= q)) - 1, F.lit(len(axis) - 2))
+    return F.when((q >= axis[0]) & (q <= axis[-1]), at)
+
+
+def grid_interpolate_finite(points: DataFrame, grid: DataFrame, key: str, lat: list[float], lon: list[float], time: list[float]) -> DataFrame:
+    """``(key, value)``: bilinear on the finite corners of the two maps round a point, then linear in time.
+
+    The weights of a map's finite corners are brought to sum one; a map whose finite corners have no
+    weight has no value, and then the other map's value stands. Outside an axis the value is null.
+    ``grid`` has ``(i, j, k, node_value)``; the axes may have any steps.
+    """
+    parts = points
+    for name, axis in (("lat", lat), ("lon", lon), ("t", time)):
+        nodes = F.array(*map(F.lit, axis))
+        parts = parts.withColumn(f"{name}_at", bracket(F.col(name), axis))
+        low, high = (F.element_at(nodes, (F.col(f"{name}_at") + n).cast("int")) for n in (1, 2))
+        parts = parts.withColumn(f"{name}_f", F.try_divide(F.col(name) - low, high - low))
+    corners = F.array(*[
+        F.struct(
+            (F.col("lat_at") + a).alias("i"), (F.col("lon_at") + b).alias("j"), (F.col("t_at") + c).alias("k"), F.lit(c).alias("side"),
+            ((F.col("lat_f") if a else 1 - F.col("lat_f")) * (F.col("lon_f") if b else 1 - F.col("lon_f"))).alias("w"),
+        ) for a in (0, 1) for b in (0, 1) for c in (0, 1)])
+    wide = parts.select(key, F.col("t_f").alias("f"), F.explode(corners).alias("c")).select(key, "f", "c.*")
+    met = wide.join(grid, ["i", "j", "k"], "left").withColumn("node_value", F.when(finite(F.col("node_value")), F.col("node_value")))
+    value, known = F.col("node_value"), F.when(F.col("node_value").isNotNull(), F.col("w"))
+    of = lambda side: F.try_divide(F.sum(F.when(F.col("side") == side, F.col("w") * value)), F.nullif(F.sum(F.when(F.col("side") == side, known)), F.lit(0.0)))
+    maps = met.groupBy(key).agg(of(0).alias("v0"), of(1).alias("v1"), F.first("f", ignorenulls=True).alias("f"))
+    return maps.select(key, F.coalesce((1 - F.col("f")) * F.col("v0") + F.col("f") * F.col("v1"), "v0", "v1").alias("value"))
+
+
 def calendar_lag(df: DataFrame, date: str, value: str, lags: list[int]) -> DataFrame:
     """The value of the date so many days before; a missing date gives null, not the previous row."""
     out = df

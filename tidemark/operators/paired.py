@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+from .selection import finite
+
+QUANTILES = {"median": 0.5, "p05": 0.05, "p95": 0.95}
 METRICS = ("bias", "mae", "rmse", "std", "median", "p05", "p95", "r")
 
 
 def bundle(method: Column, reference: Column) -> list[Column]:
     """n, bias, MAE, RMSE, population deviation, median, 5th and 95th percentile of the residual, and r.
 
-    Rows without either value don't count; without any the metrics are null; r is null where a side
+    Rows without two finite values don't count; without any the metrics are null; r is null where a side
     is constant or there are fewer than two rows.
     """
-    both = method.isNotNull() & reference.isNotNull()
+    both = finite(method) & finite(reference)
     m, r = F.when(both, method), F.when(both, reference)
     res = m - r
     spread = F.stddev_pop(m) * F.stddev_pop(r)
@@ -26,10 +30,26 @@ def bundle(method: Column, reference: Column) -> list[Column]:
 
 
 def paired_stats(df: DataFrame, keys: list[str], method: str, reference: str) -> DataFrame:
-    """The bundle for each group of ``keys``: one shuffle with partial aggregation."""
+    """The bundle for each group of ``keys``: one shuffle with partial aggregation.
+
+    A task holds the distinct residuals of a group, as days and satellites have them.
+    """
     return df.groupBy(*keys).agg(*bundle(F.col(method), F.col(reference)))
 
 
+def pooled_stats(df: DataFrame, keys: list[str], method: str, reference: str) -> DataFrame:
+    """The same for groups that grow with the data, as years: the quantiles are found without holding a group."""
+    both = finite(F.col(method)) & finite(F.col(reference))
+    residual = df.select(*keys, F.when(both, F.col(method) - F.col(reference)).alias("_res"))
+    moments = [c for c in bundle(F.col(method), F.col(reference)) if "percentile" not in str(c)]
+    found = df.groupBy(*keys).agg(*moments).withColumnsRenamed({k: f"_m{i}" for i, k in enumerate(keys)})
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(f"_m{i}").eqNullSafe(F.col(k))
+    joined = found.join(exact_quantiles(residual, keys, "_res", QUANTILES), same, "left")
+    return joined.select(*[F.col(f"_m{i}").alias(k) for i, k in enumerate(keys)], "n", *METRICS)
+
+
 def equal_day(daily: DataFrame, keys: list[str], metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """Mean and median over days of each daily metric; a day without pairs does not count."""
     aggs = [f for m in metrics for f in (F.avg(m).alias(f"mean_{m}"), F.percentile(m, 0.5).alias(f"median_{m}"))]

@@ -6,12 +6,12 @@ there, and shifted by the totals of the ranges before, which are at most ``RANGE
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 64
+#: Most clusters (years, months) that a bootstrap numbers in one task.
+CLUSTERS = 1_000_000
 
 
 def _ranged(df: DataFrame, value: str) -> DataFrame:
@@ -20,24 +20,39 @@ def _ranged(df: DataFrame, value: str) -> DataFrame:
     return df.crossJoin(F.broadcast(cuts)).withColumn("range_id", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
 
 
-def average_ranks(df: DataFrame, value: str, rank: str) -> DataFrame:
-    """Adds the rank of ``value`` from 1, ties at their mean; null values have none."""
+def rank_table(df: DataFrame, value: str) -> DataFrame:
+    """``(of_value, ties, rank)`` of each distinct value: the rank from 1, ties at their mean."""
     counts = _ranged(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("ties")), value)
     totals = counts.groupBy("range_id").agg(F.sum("ties").alias("total"))
     before = Window.orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)
     shift = totals.select("range_id", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("shift"))
     own = Window.partitionBy("range_id").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.withColumn("upto", F.sum("ties").over(own)).join(F.broadcast(shift), "range_id")
-    ranked = ranked.select(F.col(value).alias("of_value"), (F.col("shift") + F.col("upto") - (F.col("ties") - 1) / 2).alias(rank))
+    return ranked.select(F.col(value).alias("of_value"), "ties", (F.col("shift") + F.col("upto") - (F.col("ties") - 1) / 2).alias("rank"))
+
+
+def average_ranks(df: DataFrame, value: str, rank: str) -> DataFrame:
+    """Adds the rank of ``value`` from 1, ties at their mean; null values have none."""
+    ranked = rank_table(df, value).select("of_value", F.col("rank").alias(rank))
     return df.join(ranked, F.col(value) == F.col("of_value"), "left").drop("of_value")
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """(n, rho) of the rows that have both."""
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
-    ranked = average_ranks(average_ranks(both, x, "rx"), y, "ry")
-    spread = F.stddev_pop("rx") * F.stddev_pop("ry")
-    return ranked.agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("rx", "ry"), F.nullif(spread, F.lit(0.0))).alias("rho"))
+    """(n, rho) of the rows that have both.
+
+    Each side is ranked by itself from the base table, and rows equal in both values are one row with
+    a count, so the base is read three times and neither ranking contains the other.
+    """
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
+    ranks = [rank_table(both.select(c), c).select(F.col("of_value").alias(f"of_{c}"), F.col("rank").alias(f"r{c}")) for c in ("x", "y")]
+    counted = both.groupBy("x", "y").agg(F.count("*").alias("n"))
+    ranked = counted.join(ranks[0], F.col("x") == F.col("of_x")).join(ranks[1], F.col("y") == F.col("of_y"))
+    mean = lambda e: F.sum(F.col("n") * e) / F.sum("n")
+    rx, ry = F.col("rx"), F.col("ry")
+    middle = (F.sum("n") + 1) / 2
+    sums = ranked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), mean(rx * ry).alias("xy"), mean(rx * rx).alias("xx"), mean(ry * ry).alias("yy"), (middle * middle).alias("m"))
+    spread = F.sqrt((F.col("xx") - F.col("m")) * (F.col("yy") - F.col("m")))
+    return sums.select("n", F.try_divide(F.col("xy") - F.col("m"), F.nullif(spread, F.lit(0.0))).alias("rho"))
 
 
 def benjamini_hochberg(df: DataFrame, p: str, key: str) -> DataFrame:
@@ -89,22 +104,17 @@ def mixed_pick(rep: Column, slot: Column, n: Column, seed: int) -> Column:
     return F.conv(digits, 16, 10).cast("long") % n
 
 
-def linear_pick(rep: Column, slot: Column, n: Column, seed: int) -> Column:
-    """(rep * 7919 + slot * 104729 + seed) mod n: no resampling, but a permutation of the clusters
-    unless n is a multiple of 104729. Kept for the SQL that holds this formula."""
-    return (rep * 7919 + slot * 104729 + seed) % n
-
-
-def cluster_bootstrap(clusters: DataFrame, cluster: str, total: str, count: str, reps: int, seed: int, pick: Callable[[Column, Column, Column, int], Column] = mixed_pick) -> DataFrame:
+def cluster_bootstrap(clusters: DataFrame, cluster: str, total: str, count: str, reps: int, seed: int) -> DataFrame:
     """Mean and percentile interval of sum(total) / sum(count) over resampled clusters.
 
-    ``pick`` draws a cluster for each (rep, slot) with replacement, by a formula that any engine can
-    compute. Clusters are aggregates; reps x clusters rows are made in parallel.
+    Each (rep, slot) draws a cluster with replacement, by a hash that any engine can compute. Clusters
+    are aggregates, ``CLUSTERS`` of them at most; reps x clusters rows are made in parallel.
     """
     numbered = clusters.withColumn("idx", F.row_number().over(Window.orderBy(cluster)) - 1)
+    numbered = numbered.where(F.assert_true(F.col("idx") < CLUSTERS, F.lit("too many clusters")).isNull())
     n = clusters.agg(F.count("*").alias("n"))
     draws = clusters.sparkSession.range(reps).withColumnRenamed("id", "rep").crossJoin(F.broadcast(n)).where("n > 0")
     draws = draws.select("rep", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot"))
-    picked = draws.withColumn("idx", pick(F.col("rep"), F.col("slot"), F.col("n"), seed)).join(numbered, "idx")
+    picked = draws.withColumn("idx", mixed_pick(F.col("rep"), F.col("slot"), F.col("n"), seed)).join(numbered, "idx")
     means = picked.groupBy("rep").agg((F.sum(total) / F.sum(count)).alias("mean"))
     return means.agg(F.count("*").alias("reps"), F.avg("mean").alias("mean"), F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))

@@ -6,39 +6,13 @@ price), days are dates of orders. Floats are rounded once, in the last projectio
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import align, paired, segments, stats
+from tidemark.operators.quantiles import exact_quantiles
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
-def micros(ts: str) -> Column:
-    """Microseconds since 2024-01-01, whatever the session's zone."""
-    return F.timestamp_diff("MICROSECOND", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts))
-
+from .registry import ORACLES, QUERIES, micros, query, rounded, table
 
 # --- paired statistics --------------------------------------------------------------------------
 
@@ -63,7 +37,7 @@ NUDGE = 1.3e-8
 
 @query(f"{_PAIRS} select l_returnflag, ship_year, {_ROUND} from pairs group by all")
 def paired_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(paired.paired_stats(pairs(spark, sf_dir), ["l_returnflag", "ship_year"], "method", "reference"))
+    return rounded(paired.pooled_stats(pairs(spark, sf_dir), ["l_returnflag", "ship_year"], "method", "reference"))
 
 
 @query(f"{_PAIRS} select ship_day, {_BUNDLE.format(r='round(', e=f' + {NUDGE}, 6)')} from pairs group by all")
@@ -74,7 +48,7 @@ def paired_stats_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_PAIRS} select ship_year, {_ROUND} from pairs group by all")
 def point_weighted_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(paired.paired_stats(pairs(spark, sf_dir), ["ship_year"], "method", "reference"))
+    return rounded(paired.pooled_stats(pairs(spark, sf_dir), ["ship_year"], "method", "reference"))
 
 
 _DAILY = f"{_PAIRS}, daily as (select l_returnflag, ship_day, {_RAW} from pairs group by all)"
@@ -178,7 +152,8 @@ def coverage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select event_type, (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) // 7200000000 as bin, count(*) as n, round(median(value), 6) as median from events group by all""")
 def bin_median_2h(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("bin", F.floor(micros("ts") / 7_200_000_000))
-    return rounded(events.groupBy("event_type", "bin").agg(F.count("*").alias("n"), F.percentile("value", 0.5).alias("median")))
+    counts = events.groupBy("event_type", "bin").agg(F.count("*").alias("n"))
+    return rounded(counts.join(exact_quantiles(events, ["event_type", "bin"], "value", {"median": 0.5}), ["event_type", "bin"], "left"))
 
 
 @query("""select ts::date as day, round(max(value), 6) as most, round(min(value), 6) as least, round(avg(value), 6) as mean, round(median(value), 6) as median,
@@ -490,18 +465,10 @@ def sign_test_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).groupBy("ship_year").agg(F.count_if(res > 0).alias("n_pos"), F.count_if(res < 0).alias("n_neg"), F.count("*").alias("n"))
 
 
-@query("""with c as (select date_trunc('month', o_orderdate)::date as month, sum(o_totalprice) as total, count(*) as cnt from orders group by all), i as (select *, row_number() over (order by month) - 1 as idx, count(*) over () as n from c),
- r as (select rep, i.total, i.cnt from (select unnest(range(0, 200)) as rep) x, (select unnest(range(0, (select count(*) from c))) as slot) y join i on i.idx = (rep * 7919 + slot * 104729 + 20260822) % i.n),
- m as (select rep, sum(total) / sum(cnt) as mean from r group by all) select count(*) as reps, round(avg(mean), 3) as mean, round(quantile_cont(mean, 0.025), 3) as low, round(quantile_cont(mean, 0.975), 3) as high from m""")
-def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    months = table(spark, sf_dir, "orders").groupBy(F.trunc("o_orderdate", "month").alias("month")).agg(F.sum("o_totalprice").alias("total"), F.count("*").alias("cnt"))
-    return rounded(stats.cluster_bootstrap(months, "month", "total", "cnt", 200, 20_260_822, stats.linear_pick), 3)
-
-
 @query("""with c as (select date_trunc('month', o_orderdate)::date as month, sum(o_totalprice) as total, count(*) as cnt from orders group by all), i as (select *, row_number() over (order by month) - 1 as idx, count(*) over () as n from c),
  r as (select rep, i.total, i.cnt from (select unnest(range(0, 1000)) as rep) x, (select unnest(range(0, (select count(*) from c))) as slot) y join i on i.idx = ('0x' || substr(md5(rep::varchar || '/' || slot::varchar || '/20260822'), 1, 15))::bigint % i.n),
  m as (select rep, sum(total) / sum(cnt) as mean from r group by all) select count(*) as reps, round(avg(mean), 3) as mean, round(quantile_cont(mean, 0.025), 3) as low, round(quantile_cont(mean, 0.975), 3) as high from m""")
-def cluster_bootstrap_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     months = table(spark, sf_dir, "orders").groupBy(F.trunc("o_orderdate", "month").alias("month")).agg(F.sum("o_totalprice").alias("total"), F.count("*").alias("cnt"))
     return rounded(stats.cluster_bootstrap(months, "month", "total", "cnt", 1000, 20_260_822), 3)
 
@@ -510,3 +477,9 @@ def cluster_bootstrap_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topk_abs(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = paired.paired_stats(pairs(spark, sf_dir), ["l_returnflag", "ship_day"], "method", "reference").select("l_returnflag", "ship_day", "n", F.round("bias", 6).alias("bias"))
     return daily.orderBy(F.desc(F.abs("bias")), F.desc("n"), "ship_day", "l_returnflag").limit(25)
+
+
+# the other query modules register theirs
+from . import events, highrate, regression, selection, streams, summaries, windows  # noqa: E402,F401
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -1 +1 @@
-
+"""Structured Streaming forms of the reference's windows, arcs and hourly files."""
