@@ -6,7 +6,7 @@ the counts of its pre-token runs from that table; misses go through a bounded ca
 and are encoded there. Pre-tokens are never shuffled: what leaves a task of the first pass is
 ``per_task`` rows at most.
 
-Defined results: a null text counts as empty; repeated rows and ids all get a row; an empty table
+Defined results: a null text counts as empty; a null ``doc_id`` stays null; repeated rows and ids all get a row; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, worker_cache
+from .common import slices, small_batches, worker_cache
 from .tokens import CACHE_CHARS, TieredCounts
 
 LIMIT = 1024
@@ -46,7 +46,7 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequent_words(docs: DataFrame, most: int = FREQUENT) -> list[str]:
     """At most ``most`` words that are frequent over all documents."""
-    summaries = docs.select("text").mapInArrow(_summary, "word string, n long")
+    summaries = small_batches(docs).select("text").mapInArrow(_summary, "word string, n long")
     top = summaries.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
     return [r.word for r in top.collect()]
 
@@ -66,4 +66,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, most:
             size = pc.fill_null(pc.binary_length(texts).cast(pa.int64()), 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), size, n, pc.greater(n, limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

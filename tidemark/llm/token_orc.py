@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import slices, small_batches
 from .tokens import word_ids
 
 END_ID = 2
@@ -42,27 +43,25 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, begun = word_ids(tokenizer_path), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                some = batch.slice(k, 500)
-                ids = [encoder.encode(x) + end for x in some.column(1).to_pylist()]
-                sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-                ends = np.cumsum(sizes)
-                values = np.frombuffer(b"".join(ids), dtype="<i4")
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(values))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), part, dtype=np.int32)), pa.array(begun + ends - sizes), some.column(0), pa.array(sizes.astype(np.int32)), lists],
-                    names=["part", "local_start", "doc_id", "n_tokens", "tokens"],
-                )
-                begun += int(ends[-1])
-
-    ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+        for some in slices(batches):
+            ids = [encoder.encode(x) + end for x in some.column(1).to_pylist()]
+            sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            ends = np.cumsum(sizes)
+            values = np.frombuffer(b"".join(ids), dtype="<i4")
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(values))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(ids), part, dtype=np.int32)), pa.array(begun + ends - sizes), some.column(0), pa.array(sizes.astype(np.int32)), lists],
+                names=["part", "local_start", "doc_id", "n_tokens", "tokens"],
+            )
+            begun += int(ends[-1])
+
+    ranged = small_batches(docs).select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ranged.mapInArrow(encode, SCHEMA).write.options(**ORC).orc(path)
 
 
 def read(spark: SparkSession, path: str, doc_ids: Iterable[int] | None = None) -> DataFrame:
     """The stored rows, or those of some documents by a filter that reaches ORC's indexes."""
-    rows = spark.read.schema(SCHEMA).orc(path)
+    rows = small_batches(spark.read.schema(SCHEMA).orc(path))
     return rows if doc_ids is None else rows.where(F.col("doc_id").isin(list(doc_ids)))
 
 

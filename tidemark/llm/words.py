@@ -24,14 +24,13 @@ class WordTable(dict):
     def __init__(self, describe: Callable[[str], tuple], dtypes: tuple):
         super().__init__()
         self.describe, self.dtypes = describe, dtypes
-        self.rows: list[tuple] = []
-        self.chars = 0
+        self.pending: list[tuple] = []
+        self.chars = self.filled = 0
         self.columns = [np.empty(1024, dtype=d) for d in dtypes]
-        self.filled = [0] * len(dtypes)
 
     def __missing__(self, word: str) -> int:
-        k = self[word] = len(self.rows)
-        self.rows.append(self.describe(word))
+        k = self[word] = self.filled + len(self.pending)
+        self.pending.append(self.describe(word))
         self.chars += len(word)
         return k
 
@@ -45,12 +44,14 @@ class WordTable(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
     def column(self, k: int) -> np.ndarray:
-        done, n = self.filled[k], len(self.rows)
-        if done < n:
-            if n > len(self.columns[k]):
-                self.columns[k] = np.resize(self.columns[k], 2 * n)
-            self.columns[k][done:n] = [r[k] for r in self.rows[done:]]
-            self.filled[k] = n
+        if self.pending:
+            upto = self.filled + len(self.pending)
+            for n, values in enumerate(zip(*self.pending, strict=True)):
+                if upto > len(self.columns[n]):
+                    self.columns[n] = np.resize(self.columns[n], 2 * upto)
+                self.columns[n][self.filled : upto] = values
+            self.filled = upto
+            self.pending.clear()
         return self.columns[k]
 
 
