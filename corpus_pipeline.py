@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, language, packing, simhash, substrings
-from tidemark.llm.common import materialize, read_documents
+from tidemark.llm.common import materialize, new_path, read_documents
 
 #: Least language score; below it lies what resembles none of the languages.
 LEAST_SCORE = 0.3
@@ -34,7 +34,9 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.digest(packing.cut_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+    path = new_path(spark, "sequences")
+    packing.write_sequences(docs, path, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.digest(spark, path)
 
 
 STAGES = [

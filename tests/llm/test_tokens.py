@@ -73,6 +73,28 @@ def test_orc_query_and_round_trip(documents, tmp_path):
     assert "PushedFilters: [In(doc_id" in found._jdf.queryExecution().toString() or "EqualTo(doc_id" in found._jdf.queryExecution().toString()
 
 
+def test_a_small_cache_changes_no_id(monkeypatch):
+    monkeypatch.setattr(tokens, "CUT_BYTES", 4_000)
+    monkeypatch.setattr(tokens, "WORD_BYTES", 4_000)
+    encoder, counter = tokens.WordIds(WORD), tokens.TieredCounts(BYTE)
+    for t in texts():
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == ids(WORD, t) and counter.count(t) == len(ids(BYTE, t))
+    for cache in (encoder, encoder.words, counter.cold):
+        assert cache.bytes <= cache.half + 1_000 and cache.old
+
+
+def test_clashing_columns_null_ids_and_long_texts(documents, tmp_path):
+    rows = [(2, "long text, " * 40_000), (None, "no id"), (1, None), (1, "b"), (1, "a")]
+    folder, df = documents(rows)
+    clash = df.withColumn("n_tokens", F.lit("clash")).withColumn("tokens", F.lit(0)).withColumn("local_start", F.lit("x"))
+    path = f"{tmp_path}/orc"
+    token_orc.write(clash, path, WORD)
+    got = [(r.doc_id, r.tokens) for r in token_orc.read(df.sparkSession, path).orderBy("part", "local_start").collect()]
+    assert got == [(d, ids(WORD, t) + [2]) for d, t in [rows[1], rows[2], rows[4], rows[3], rows[0]]]
+    counts = token_counts.count_tokens(clash, BYTE).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in counts) == sorted((str(d), len(ids(BYTE, t))) for d, t in rows)
+
+
 def test_counts_query(documents):
     rows = table() + [(3, ODD[3]), (None, "no id")]
     folder, df = documents(rows)
@@ -103,6 +125,87 @@ def test_packing_query(documents):
     assert len(bins) <= -(-sum(r.length for r in got) // 2048) + 1
 
 
+def test_stored_sequences_hold_the_tokens_in_order(documents, tmp_path):
+    rng = random.Random(5)
+    rows = [(k, "some words here " * rng.randint(0, 900)) for k in range(40)] + [(None, "no id"), (3, None)]
+    folder, df = documents(rows)
+    clash = df.withColumn("uid", F.lit("clash")).withColumn("block", F.lit(-1)).withColumn("tokens", F.lit("x"))
+    path = f"{tmp_path}/sequences"
+    packing.write_sequences(clash, path, WORD)
+    whole = {}
+    for r in packing.read_sequences(df.sparkSession, path).collect():
+        at = 0
+        for p in r.pieces:
+            assert p.offset == at and p.length > 0
+            whole.setdefault((p.doc_id, p.piece, p.start), []).append(tuple(r.tokens[at : at + p.length]))
+            at += p.length
+        assert at == len(r.tokens) <= packing.SIZE
+    want = {}
+    for doc, text in rows:
+        x = ids(WORD, text) + [0]
+        for p, s in enumerate(range(0, len(x), 2048)):
+            want.setdefault((doc, p, s), []).append(tuple(x[s : s + 2048]))
+    assert {k: sorted(v) for k, v in whole.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def least_bins(lengths, size):
+    """The fewest bins, by trying all ways."""
+    best = [len(lengths)]
+
+    def put(k, bins):
+        if len(bins) >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = len(bins)
+            return
+        for n in range(len(bins)):
+            if bins[n] + lengths[k] <= size:
+                put(k + 1, [*bins[:n], bins[n] + lengths[k], *bins[n + 1 :]])
+        put(k + 1, [*bins, lengths[k]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_packing_of_few_pieces_against_all_ways():
+    rng = random.Random(13)
+    worse = first = 0
+    for _ in range(150):
+        lengths = [rng.randint(10, 70) for _ in range(rng.randint(1, 9))]
+        least, bins = least_bins(lengths, 100), packing.pack(lengths, 100)
+        assert least <= len(bins) <= least + 1
+        worse += len(bins) > least
+        first += len(packing.best_fit(lengths, 100)) > least
+    assert worse <= first and worse <= 7
+
+
+def brute_steps(lengths, bins, size):
+    """Whether some move or exchange of one for one or two for one between underfull bins raises the sum of squares."""
+    fill = lambda b: sum(lengths[i] for i in b)
+    under = [b for b in bins if fill(b) < size]
+    for a in under:
+        for b in under:
+            if a is b or fill(b) < fill(a):
+                continue
+            outs = [(i,) for i in a] + [(i, j) for i in a for j in a if i < j]
+            backs = [()] + [(i,) for i in b] + [(i, j) for i in b for j in b if i < j]
+            for out in outs:
+                for back in backs:
+                    gain = fill(out) - fill(back)
+                    if gain > 0 and fill(b) + gain <= size and not (len(out) == 2 == len(back)):
+                        return True
+    return False
+
+
+def test_local_search_ends_where_no_step_is_left():
+    rng = random.Random(17)
+    for n in range(25):
+        lengths = [rng.randint(1, 70) for _ in range(rng.randint(2, 40))]
+        bins = packing.pack(lengths, 100)
+        assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+        assert len(bins) == -(-sum(lengths) // 100) or not brute_steps(lengths, bins, 100)
+
+
 def test_local_search_beats_best_fit():
     rng = random.Random(7)
     better = 0

@@ -1,13 +1,20 @@
 """Best-fit packing of token sequences with a swap-based local search.
 
 Documents become pieces of at most ``size`` tokens. Pieces of full length are sequences already.
-The others are dealt into blocks of a few thousand by a hash; a block is packed by best fit in
-descending order, and then a local search moves a document, or exchanges one for one or two for one
-between underfull bins, whenever the sum of squared fills grows, until bins empty. A block wastes at
-most about one bin, so blocks of thousands of pieces keep close to the lower bound at any size.
+The others, at most one of a document, are dealt into blocks of a few thousand by a hash; a block is
+packed by best fit in descending order, and then a local search moves a document, or exchanges one
+for one or two for one between underfull bins, as long as any such step raises the sum of squared
+fills. It starts from the emptiest bins, so that they empty, and ends at the least possible number of
+bins or where no bin can give anything. A block wastes about one bin at most, so blocks of thousands
+of pieces keep close to the lower bound at any size.
 
-Defined results: a null or empty text is one piece of the end id; repeated rows are packed each;
-an empty table gives no rows; other columns are ignored.
+A block is packed with its tokens: ``write_sequences`` stores whole sequences, each with its tokens
+in order and the list of its pieces, and ``digest`` reads them back.
+
+Defined results: a null or empty text is one piece of the end id; repeated rows are packed each; a
+null ``doc_id`` stays null; of steps that move equally many tokens the first in order of bins is
+taken, so equal pieces give equal packings; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -19,49 +26,48 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import ROW_GROUP, slices, small_batches
 from .tokens import word_ids
 
 SIZE = 2048
 END_ID = 0
-#: Mean number of pieces in a block.
+#: Mean number of pieces in a block; full pieces come in groups of 512.
 BLOCK_PIECES = 4096
-#: So many of the emptiest bins give documents away in a round of the local search; all bins may take them.
-SOURCES = 16
-PIECES = "uid long, doc_id long, piece int, start long, length int, ids_crc32 long, tokens array<int>"
+FULL_SHIFT = 9
+#: Sequences of an Arrow batch that leaves a block.
+OUT_ROWS = 256
+PIECES = "uid long, doc_id long, piece int, start long, tokens array<int>"
+SEQUENCES = "sequence_id long, tokens array<int>, pieces array<struct<doc_id: long, piece: int, start: long, offset: int, length: int>>"
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
-    """Pieces of every document, with their ids and the checksum of these, as a table in the shared folder."""
+    """``(uid, doc_id, piece, start, tokens)``: the pieces of every document with their ids."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, uid = word_ids(tokenizer_path), TaskContext.get().partitionId() << 36
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                some = batch.slice(k, 500)
-                ids = [encoder.encode(x) + end for x in some.column(1).to_pylist()]
-                doc, piece, start, length, crc = [], [], [], [], []
-                for d, x in enumerate(ids):
-                    n = len(x) // 4
-                    for p, s in enumerate(range(0, n, size)):
-                        doc.append(d)
-                        piece.append(p)
-                        start.append(s)
-                        length.append(min(size, n - s))
-                        crc.append(zlib.crc32(x[4 * s : 4 * (s + size)]))
-                ends = np.r_[0, np.cumsum(length)].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(uid, uid + len(doc))), some.column(0).take(pa.array(doc, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64()), lists],
-                    names=["uid", "doc_id", "piece", "start", "length", "ids_crc32", "tokens"],
-                )
-                uid += len(doc)
-
-    return materialize(small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, PIECES), "pieces")
+        for some in slices(batches):
+            ids = [encoder.encode(x) + end for x in some.column(1).to_pylist()]
+            doc, piece, start, length = [], [], [], []
+            for d, x in enumerate(ids):
+                n = len(x) // 4
+                for p, s in enumerate(range(0, n, size)):
+                    doc.append(d)
+                    piece.append(p)
+                    start.append(s)
+                    length.append(min(size, n - s))
+            ends = np.r_[0, np.cumsum(length)].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(uid, uid + len(doc))), some.column(0).take(pa.array(doc, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), lists],
+                names=["uid", "doc_id", "piece", "start", "tokens"],
+            )
+            uid += len(doc)
+
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, PIECES)
 
 
 def best_fit(lengths: list[int], size: int) -> list[list[int]]:
@@ -82,93 +88,186 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def _improve(lengths: np.ndarray, bins: list[list[int]], fill: list[int], a: int, others: list[int], size: int) -> bool:
-    """One step that takes tokens from bin ``a`` to a fuller or equal bin, if there is any.
+class _Bin:
+    """One bin's distinct lengths and distinct sums of two, each with pieces that have it."""
 
-    Moving ``t`` tokens from a bin of fill f to one of fill g >= f raises the sum of squares by
-    2t(g - f + t) > 0.
-    """
-    own = sorted(bins[a], key=lambda i: -lengths[i])
-    singles = [((i,), int(lengths[i])) for i in own]
-    pairs = [((i, j), int(lengths[i] + lengths[j])) for n, i in enumerate(own) for j in own[n + 1 :]]
-    best: tuple[int, int, tuple[int, ...], tuple[int, ...]] | None = None
-    for b in others:
-        if b == a or not bins[b] or fill[b] < fill[a] or fill[b] == size:
-            continue
-        room = size - fill[b]
-        theirs = sorted((int(lengths[j]), j) for j in bins[b])
-        keys = [x for x, _ in theirs]
-        for out, out_len in singles + pairs:
-            if out_len <= room:  # a move
-                if best is None or out_len > best[0]:
-                    best = (out_len, b, out, ())
-                continue
-            # one of theirs comes back: the smallest that makes room
-            at = bisect_left(keys, out_len - room)
-            if at < len(keys) and keys[at] < out_len and (best is None or out_len - keys[at] > best[0]):
-                best = (out_len - keys[at], b, out, (theirs[at][1],))
-        for i in own:  # two of theirs come back for one
-            need, x, y = int(lengths[i]) - room, 0, len(keys) - 1
-            while x < y:
-                back = keys[x] + keys[y]
-                if back < need:
-                    x += 1
-                    continue
-                if back < lengths[i] and (best is None or int(lengths[i]) - back > best[0]):
-                    best = (int(lengths[i]) - back, b, (i,), (theirs[x][1], theirs[y][1]))
-                y -= 1
-    if best is None:
-        return False
-    gain, b, out, back = best
-    bins[a] = [i for i in bins[a] if i not in out] + list(back)
-    bins[b] = [i for i in bins[b] if i not in back] + list(out)
-    fill[a] -= gain
-    fill[b] += gain
-    return True
+    def __init__(self, members: list[int], lengths: list[int]):
+        self.members = members
+        self.ones: dict[int, tuple[int, ...]] = {}
+        self.twos: dict[int, tuple[int, ...]] = {}
+        groups: dict[int, list[int]] = {}
+        for i in sorted(members):
+            self.ones.setdefault(lengths[i], (i,))
+            groups.setdefault(lengths[i], []).append(i)
+        first = sorted(groups)
+        for n, a in enumerate(first):
+            if len(groups[a]) > 1:
+                self.twos.setdefault(2 * a, tuple(groups[a][:2]))
+            for b in first[n + 1 :]:
+                self.twos.setdefault(a + b, (groups[a][0], groups[b][0]))
+        self.arrays = np.array([*self.ones], dtype=np.int32), np.array([*self.twos], dtype=np.int32)
+
+
+class _Search:
+    """The bins of a block and what the steps between them need, kept up to date in slots of bins."""
+
+    SLOT = 64
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], size: int):
+        self.lengths, self.size = lengths, size
+        self.bins = [_Bin(b, lengths) for b in bins]
+        self.fill = np.array([sum(lengths[i] for i in b) for b in bins], dtype=np.int32)
+        self.now = 1
+        self.changed, self.checked = np.ones(len(bins), dtype=np.int64), np.zeros(len(bins), dtype=np.int64)
+        self.slots: list[tuple[np.ndarray, ...] | None] = [None] * -(-len(bins) // self.SLOT)
+
+    def flat(self) -> list[np.ndarray]:
+        """(lengths, their bins, sums of two, their bins) of all bins."""
+        for k, slot in enumerate(self.slots):
+            if slot is None:
+                some = [b.arrays for b in self.bins[k * self.SLOT : (k + 1) * self.SLOT]]
+                self.slots[k] = tuple(
+                    x for n in (0, 1) for x in (np.concatenate([a[n] for a in some]), k * self.SLOT + np.repeat(np.arange(len(some)), [len(a[n]) for a in some])))
+        return [np.concatenate(x) for x in zip(*self.slots, strict=True)]
+
+    def put(self, k: int, members: list[int], gain: int) -> None:
+        self.bins[k] = _Bin(members, self.lengths)
+        self.fill[k] += gain
+        self.changed[k] = self.now
+        self.slots[k // self.SLOT] = None
+
+    def step(self, at: int) -> bool:
+        """Take the most tokens that one step can from bin ``at`` to a fuller or equal bin, if there is any.
+
+        Moving ``t`` tokens from a bin of fill f to one of fill g >= f raises the sum of squares by
+        2t(g - f + t) > 0. If this bin had none before, only bins changed since are looked at.
+        """
+        source, f = self.bins[at], self.fill[at]
+        usable = (self.fill >= f) & (self.fill < self.size)
+        if self.changed[at] <= self.checked[at]:
+            usable &= self.changed > self.checked[at]
+        usable[at] = False
+        self.checked[at] = self.now
+        if not usable.any():
+            return False
+        room = np.where(usable, self.size - self.fill, -1)
+        one, one_bin, two, two_bin = self.flat()
+        singles, pairs = source.arrays
+        out = np.concatenate([singles, pairs])
+        found = [_best(out, np.zeros(len(room), dtype=np.int32), room), _best(out, one, room[one_bin]), _best(singles, two, room[two_bin])]
+        kind = max((0, 1, 2), key=lambda k: found[k][0])
+        gain, o, b = found[kind]
+        if not gain:
+            return False
+        k = int((np.arange(len(room)), one_bin, two_bin)[kind][b])
+        given = (source.ones if o < len(singles) else source.twos)[int(out[o])]
+        taken = () if not kind else self.bins[k].ones[int(one[b])] if kind == 1 else self.bins[k].twos[int(two[b])]
+        self.now += 1
+        target = self.bins[k]
+        self.put(at, [i for i in source.members if i not in given] + list(taken), -gain)
+        self.put(k, [i for i in target.members if i not in taken] + list(given), gain)
+        return True
+
+
+def _best(out: np.ndarray, back: np.ndarray, room: np.ndarray) -> tuple[int, int, int]:
+    """(gain, place of out, place of back) of the largest positive out - back that has room; gain 0: none."""
+    if not len(out) or not len(back):
+        return 0, 0, 0
+    gain = out[:, None] - back
+    gain[gain > room] = 0
+    o, b = divmod(int(gain.argmax()), len(back))
+    return max(int(gain[o, b]), 0), o, b
 
 
 def pack(lengths: list[int], size: int) -> list[list[int]]:
-    """Bins of indices: best fit, then local search from the emptiest bins."""
-    bins = best_fit(lengths, size)
-    sizes = np.asarray(lengths, dtype=np.int64)
-    fill = [int(sizes[b].sum()) for b in bins]
-    while True:
-        live = sum(1 for b in bins if b)
-        if live <= -(-sum(fill) // size):
-            break  # the lower bound
-        under = sorted((f, k) for k, f in enumerate(fill) if 0 < f < size)
-        others = [k for _, k in reversed(under)]
-        if not any(_improve(sizes, bins, fill, k, others, size) for _, k in under[:SOURCES]):
-            break
-    return [b for b in bins if b]
-
-
-def place(pieces: DataFrame, size: int = SIZE, block_pieces: int = BLOCK_PIECES) -> DataFrame:
-    """``(uid, sequence_id, offset)`` of the pieces ``(uid, length)``."""
-    whole = pieces.where(F.col("length") >= size).select("uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = pieces.where(F.col("length") < size).select("uid", "length")
-    blocks = max(1, round(rest.count() / block_pieces))
-
-    def pack_block(table: pa.Table) -> pa.Table:
-        order = np.argsort(table["uid"].to_numpy())
-        uid, length = table["uid"].to_numpy()[order], table["length"].to_numpy()[order].tolist()
-        block = table["block"][0].as_py()
-        at, sequence, offset = [], [], []
-        for k, members in enumerate(pack(length, size)):
-            here = 0
-            for i in members:
-                at.append(i)
-                sequence.append(block << 32 | k)
-                offset.append(here)
-                here += length[i]
-        return pa.table({"uid": uid[at], "sequence_id": pa.array(sequence, pa.int64()), "offset": pa.array(offset, pa.int64())})
-
-    dealt = rest.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(blocks)))
-    return whole.union(dealt.groupBy("block").applyInArrow(pack_block, "uid long, sequence_id long, offset long"))
-
-
-def digest(pieces: DataFrame, size: int = SIZE) -> DataFrame:
-    """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)`` of stored pieces."""
-    sums = pieces.select("uid", "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32")
-    placed = place(pieces.select("uid", "length"), size).withColumnRenamed("uid", "of_uid")
-    return sums.join(placed, F.col("uid") == F.col("of_uid")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    """Bins of indices: best fit, then local search.
+
+    In each round every underfull bin, the emptiest first, gives what it can; rounds end when no bin
+    gave anything, or at the lower bound.
+    """
+    first = best_fit(lengths, size)
+    least = -(-sum(lengths) // size)
+    if len(first) <= least:
+        return first
+    search = _Search(first, lengths, size)
+    live, gave = len(first), True
+    while gave and live > least:
+        gave = False
+        for at in np.argsort(search.fill, kind="stable").tolist():
+            while 0 < search.fill[at] < size and search.step(at):
+                gave = True
+            if not search.fill[at]:
+                live = int((search.fill > 0).sum())
+                if live <= least:
+                    break
+    return [b.members for b in search.bins if b.members]
+
+
+def _pack_block(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The sequences of one block of pieces, in batches of few rows."""
+    table = pa.Table.from_batches(list(batches))
+    table = table.take(np.argsort(table["uid"].to_numpy(), kind="stable")).combine_chunks()
+    tokens, block, uid = table["tokens"].combine_chunks(), int(table["block"][0].as_py()), table["uid"].to_numpy()
+    lengths = np.diff(tokens.offsets.to_numpy()).astype(np.int64)
+    if block < 0:
+        bins, names = [[k] for k in range(len(uid))], -1 - uid
+    else:
+        bins = pack(lengths.tolist(), size)
+        names = np.arange(len(bins), dtype=np.int64) + (block << 32)
+    for k in range(0, len(bins), OUT_ROWS):
+        some = bins[k : k + OUT_ROWS]
+        members = np.array([i for b in some for i in b], dtype=np.int64)
+        counts = np.r_[0, np.cumsum([len(b) for b in some])]
+        sizes = lengths[members]
+        upto = np.r_[0, np.cumsum(sizes)]
+        offset = upto[:-1] - np.repeat(upto[counts[:-1]], np.diff(counts))
+        part = table.take(members)
+        pieces = pa.StructArray.from_arrays(
+            [part["doc_id"].combine_chunks(), part["piece"].combine_chunks(), part["start"].combine_chunks(), pa.array(offset.astype(np.int32)), pa.array(sizes.astype(np.int32))],
+            names=["doc_id", "piece", "start", "offset", "length"])
+        values = part["tokens"].combine_chunks().flatten()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names[k : k + OUT_ROWS]), pa.ListArray.from_arrays(pa.array(upto[counts].astype(np.int32)), values), pa.ListArray.from_arrays(pa.array(counts.astype(np.int32)), pieces)],
+            names=["sequence_id", "tokens", "pieces"])
+
+
+def sequences(pieces: DataFrame, rows: int, size: int = SIZE, block_pieces: int = BLOCK_PIECES) -> DataFrame:
+    """``(sequence_id, tokens, pieces)`` of the pieces of ``rows`` documents, packed block by block."""
+    blocks = max(1, round(rows / block_pieces))
+    short = F.size("tokens") < size
+    dealt = pieces.withColumn("block", F.when(short, F.pmod(F.xxhash64("uid"), F.lit(blocks))).otherwise(-1 - F.shiftright("uid", FULL_SHIFT)))
+
+    def pack_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _pack_block(batches, size)
+
+    return dealt.groupBy("block").applyInArrow(pack_block, SEQUENCES)
+
+
+def write_sequences(docs: DataFrame, path: str, tokenizer_path: str, size: int = SIZE, end_id: int = END_ID) -> None:
+    """Pack the whole texts of ``docs`` and store the sequences with their tokens at ``path``."""
+    packed = sequences(cut_pieces(docs, tokenizer_path, size, end_id), docs.count(), size)
+    packed.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
+
+
+def read_sequences(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SEQUENCES).parquet(path)
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        tokens, pieces = batch.column(1), batch.column(2)
+        base = tokens.offsets.to_numpy()[:-1].astype(np.int64)
+        counts = np.diff(pieces.offsets.to_numpy())
+        view = memoryview(np.ascontiguousarray(tokens.values.to_numpy(zero_copy_only=False), dtype="<i4")).cast("B")
+        doc, piece, start, offset, length = pieces.flatten().flatten()
+        begin = np.repeat(base, counts) + offset.to_numpy()
+        crc = [zlib.crc32(view[4 * a : 4 * (a + n)]) for a, n in zip(begin.tolist(), length.to_numpy().tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [doc, piece, start, length.cast(pa.int64()), pa.array(crc, pa.int64()), batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), counts))), offset.cast(pa.int64())],
+            names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+
+def digest(spark: SparkSession, path: str) -> DataFrame:
+    """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)`` of stored sequences, from their tokens."""
+    return small_batches(read_sequences(spark, path)).mapInArrow(
+        _sums, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -49,7 +49,9 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from . import packing
 
-    return packing.digest(packing.cut_pieces(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+    path = new_path(spark, "sequences")
+    packing.write_sequences(read_documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.digest(spark, path)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
