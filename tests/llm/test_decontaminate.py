@@ -58,7 +58,7 @@ def tables(spark):
         (40, "Then. A train of 5 wagons leaves Oslo at 7 with 5 crates and meets Bern after 60 km of slow track. End"),  # re-parameterised
         (41, "Then. A train of 5 wagons leaves Oslo at 7 with 6 crates and meets Bern after 60 km of slow track. End"),  # 3 became 5 and 6
         (42, "it is a short one here today"), (43, None), (44, ""), (45, "1 2 3 4 5 6 7 8"), (46, " ".join(items[2][1].split()[:8])),
-        (47, prose(40_000)), (20, docs[0][1]), (None, items[3][1].upper()),
+        (47, prose(40_000)), (20, docs[0][1]), (None, items[3][1].upper()), (48, prose(1500) + ". " + items[6][1] + " " + prose(1500)),
     ]
     return docs, items, spark.createDataFrame(items, "item_id long, text string")
 
@@ -117,3 +117,27 @@ def test_one_other_filling_costs_its_windows_alone(spark):
     df, benchmark = spark.createDataFrame([(1, doc)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
     n = len(item.split()) - 4
     assert [(r.matched, r.item_windows) for r in decontaminate.leaks(df, benchmark).collect()] == [(n - 5, n)]
+
+
+def test_any_white_space_parts_words_on_both_paths(spark):
+    items = [(1, "why\u00a0do seven\u3000old bridges never meet any slow trains?"), (2, "\nwhat is dna"), (3, "\t one\x1cpart two\u2028parts three\x85parts "), (4, "12 13 14 15 16")]
+    docs = [
+        (10, "so why do seven old bridges never meet any slow trains? because"), (11, "tell me what is dna now"), (12, "here one part two parts three parts end"),
+        (13, "x why\u2003do seven old\nbridges never meet any\u00a0slow trains? y"), (14, "nothing of this"), (15, "what\u3000is\tdna"), (16, "12 13 14 15 16"), (17, "\u3000\n\t"),
+    ]
+    df, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(10, 1), (13, 1), (11, 2), (15, 2), (12, 3)}
+    for extra in ({}, {"broadcast": 0}, {"broadcast": 0, "bitmap": 64}):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, benchmark, **extra).collect()} == want
+
+
+def test_rare_windows_lose_no_pair(spark):
+    rng = random.Random(11)
+    common = "how many of these things are there in all of the boxes now".split()
+    items = [(k, " ".join([*common, *(f"w{rng.randrange(4)}" for _ in range(rng.randint(0, 6)))])) for k in range(30)]
+    docs = [(100 + k, " ".join(["so", *common, *(f"w{rng.randrange(4)}" for _ in range(6))])) for k in range(30)] + [(7, None)]
+    df, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    clash = df.withColumn("item_id", F.lit("clash")).withColumn("window", F.lit(3)).withColumn("slots", F.lit("x"))
+    got = {(r.doc_id, r.item_id, r.matched, r.item_windows) for r in decontaminate.leaks(clash, benchmark.withColumn("doc_id", F.lit(1))).collect()}
+    assert got == brute(docs, items)
+    assert len(got) > 100

@@ -12,8 +12,15 @@ filling. A document is contaminated by an item if consistent hits cover at least
 windows. Items shorter than a window are one window of their own; a reading of it that takes the
 beginning of a sentence for a name must leave two literal words.
 
-The item windows and words are put into the tasks while there are at most ``BROADCAST`` windows, so
-that only hits leave them; beyond that all windows of documents are joined through a shuffle.
+The rarest starts of an item are those whose windows fewest items have. A document that reaches the
+share holds one of the ``n - ceil(0.8 n) + 1`` rarest of the ``n`` starts, so pairs are made of these
+alone, and only those pairs are checked in all windows: a window that many items and many documents
+have makes no pairs unless an item has nothing rarer.
+
+Tasks hold the hashes of the item windows and of their literal words while there are at most
+``BROADCAST`` windows, and beyond that a bitmap of the windows of ``BITMAP`` bits, so that hits leave
+the tasks, with few others; the joins are the same either way. Words are what ``str.split`` gives,
+for items and documents alike.
 
 Defined results: null and empty texts match nothing, whether document or item; repeated rows give
 their pairs once; rows with a null id are searched and kept under a null id; empty tables give no
@@ -23,22 +30,26 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, small_batches, worker_cache
+from .common import fresh, materialize, slices, small_batches, worker_cache
 from .words import MARKS, WordTable, bare
 
 WINDOW = 5
 SHARE = 0.8
-#: Most item windows that tasks hold, 8 bytes each.
-BROADCAST = 4_000_000
+#: Most item windows that tasks hold, 8 bytes each and as much for each of their literal words.
+BROADCAST = 1_000_000
+#: Bits of the bitmap of item windows beyond that, a power of two.
+BITMAP = 1 << 27
 #: Unit words.
 UNITS = frozenset(
     "mm cm dm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres "
@@ -62,9 +73,9 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Templates:
-    """Templates of texts; with a vocabulary, other literal words are all one word that matches none."""
+    """Templates of texts; with a vocabulary (ascending hashes), other literal words are all one word that matches none."""
 
-    def __init__(self, vocabulary: frozenset[str] | None = None):
+    def __init__(self, vocabulary: array | None = None):
         self.vocabulary = vocabulary
         self.table = WordTable(self.describe, (np.uint64, bool, bool, bool))
 
@@ -80,7 +91,11 @@ class Templates:
                 return _hash("<num>"), True, False, ends
             if (m := _MEASURE.fullmatch(low)) and m[2] in UNITS:
                 return _hash("<num><unit>"), True, False, ends
-        literal = _hash(low) if self.vocabulary is None or low in self.vocabulary else 0
+        literal = _hash(low)
+        if self.vocabulary is not None:
+            at = bisect_left(self.vocabulary, literal)
+            if at == len(self.vocabulary) or self.vocabulary[at] != literal:
+                literal = 0
         return literal, False, core[:1].isupper() and core[1:].islower(), ends
 
     def of(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -147,15 +162,35 @@ def _consistent(windows: list) -> list[int]:
     return [at for at, fills in windows if all(chosen[f[0]] == f[1] for f in fills)]
 
 
-def _windows(batches: Iterator[pa.RecordBatch], sizes: list[int], wanted: np.ndarray | None, vocabulary: frozenset[str] | None, key: bool) -> Iterator[pa.RecordBatch]:
+class Wanted:
+    """The item windows as tasks hold them: all their hashes, or a bitmap of some bits of each."""
+
+    def __init__(self, hashes: np.ndarray | None, bitmap: np.ndarray | None):
+        self.hashes, self.bitmap = hashes, bitmap
+        if hashes is not None:
+            self.bitmap = np.zeros(1 << 13, dtype=np.uint8)
+            np.bitwise_or.at(self.bitmap, (hashes & np.uint64(0xFFFF)) >> np.uint64(3), np.uint8(1) << (hashes & np.uint64(7)).astype(np.uint8))
+        self.mask = np.uint64(8 * len(self.bitmap) - 1)
+
+    def among(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes that may be item windows; exactly those, if all hashes are held."""
+        low = hashes & self.mask
+        at = np.flatnonzero(self.bitmap[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
+        if self.hashes is None:
+            return at
+        if not len(self.hashes):
+            return at[:0]
+        place = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
+        return at[self.hashes[place] == hashes[at]]
+
+
+def _windows(batches: Iterator[pa.RecordBatch], sizes: list[int], wanted: Wanted | None, vocabulary: array | None, item: bool) -> Iterator[pa.RecordBatch]:
     """Windows of texts: of the given sizes, the first of them the full one; only wanted hashes; not all placeholders.
 
-    ``slots`` has a value for each word of the window that is or may be a placeholder.
+    An item that is shorter than the full size is one window of its own size. ``slots`` has a value
+    for each word of the window that is or may be a placeholder.
     """
-    templates, low16 = worker_cache(("templates", vocabulary), lambda: Templates(vocabulary)), None
-    if wanted is not None:
-        low16 = np.zeros(1 << 16, dtype=bool)
-        low16[wanted & np.uint64(0xFFFF)] = True
+    templates = worker_cache(("templates", None if vocabulary is None else vocabulary.tobytes()), lambda: Templates(vocabulary))
     for batch in slices(batches):
         ids, keys, texts = (batch.column(k).to_pylist() for k in range(3))
         out: tuple[list, list, list, list, list] = ([], [], [], [], [])
@@ -166,15 +201,12 @@ def _windows(batches: Iterator[pa.RecordBatch], sizes: list[int], wanted: np.nda
             if not words:
                 continue
             valued = slot | either
-            for size in sizes if not key else [min(len(words), sizes[0])]:
+            for size in [min(len(words), sizes[0])] if item else sizes:
                 with np.errstate(over="ignore"):
                     found = list(_readings(template, slot, either, size, 2 if size < sizes[0] else 1))
                 for at, hashes in found:
                     if wanted is not None:
-                        maybe = np.flatnonzero(low16[hashes & np.uint64(0xFFFF)])
-                        at, hashes = at[maybe], hashes[maybe]
-                        place = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
-                        hit = wanted[place] == hashes
+                        hit = wanted.among(hashes)
                         at, hashes = at[hit], hashes[hit]
                     for p in at.tolist():
                         out[2].append(p)
@@ -188,34 +220,68 @@ def _windows(batches: Iterator[pa.RecordBatch], sizes: list[int], wanted: np.nda
         templates.table.trim()
 
 
-def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(item_id, item_at, window, item_slots, item_size, item_windows)`` as a table."""
-    rows = benchmark.select(F.col("item_id").cast("long"), F.xxhash64("item_id", "text").alias("key"), "text").distinct()
-    found = rows.mapInArrow(lambda b: _windows(b, [window], None, None, True), HITS)
-    sizes = found.groupBy(F.col("doc_id").alias("i"), F.col("doc_key").alias("k")).agg(F.count_distinct("doc_at").alias("item_windows"))
-    named = found.join(sizes, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("doc_key") == F.col("k")))
-    return materialize(named.select(
-        F.col("doc_id").alias("item_id"), F.col("doc_key").alias("item_key"), F.col("doc_at").alias("item_at"),
-        "window", F.col("slots").alias("item_slots"), "item_windows"), "item-windows")
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, window: int = WINDOW, broadcast: int = BROADCAST) -> DataFrame:
+def _literals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(number of words, hash of a literal word) of each item, null for an item without one."""
+    for batch in slices(batches):
+        templates = Templates()
+        rows: set[tuple[int, int | None]] = set()
+        for text in batch.column(0).to_pylist():
+            if text and (words := text.split()):
+                hashes = {h for h, typed, _, _ in map(templates.describe, set(words)) if not typed}
+                rows.update((len(words), h) for h in hashes or {None})
+        n, literal = zip(*rows, strict=True) if rows else ((), ())
+        signed = [None if h is None else h - (h >> 63 << 64) for h in literal]
+        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(signed, pa.int64())], names=["n", "literal"])
+
+
+def item_windows(benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
+    """``(item_id, item_key, item_at, window, item_slots, item_windows, rare)`` as a table."""
+    rows = small_batches(benchmark).select(F.col("item_id").cast("long"), F.xxhash64("item_id", "text").alias("key"), "text").distinct()
+    found = materialize(rows.mapInArrow(lambda b: _windows(b, [window], None, None, True), HITS).withColumnsRenamed(
+        {"doc_id": "item_id", "doc_key": "item_key", "doc_at": "item_at", "slots": "item_slots"}), "item-readings")
+    common = found.groupBy("window").agg(F.count_distinct("item_key").alias("items"))
+    starts = found.join(common, "window").groupBy("item_id", "item_key", "item_at").agg(F.max("items").alias("items"))
+    item = Window.partitionBy("item_id", "item_key")
+    starts = starts.withColumn("item_windows", F.count("*").over(item)).withColumn("place", F.row_number().over(item.orderBy("items", "item_at")))
+    needed = F.ceil(share * F.col("item_windows"))
+    starts = starts.select(
+        F.col("item_id").alias("i"), F.col("item_key").alias("k"), F.col("item_at").alias("at"), "item_windows",
+        (F.col("place") <= F.col("item_windows") - needed + 1).alias("rare"))
+    same = F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_key") == F.col("k")) & (F.col("item_at") == F.col("at"))
+    return materialize(found.join(starts, same).select("item_id", "item_key", "item_at", "window", "item_slots", "item_windows", "rare"), "item-windows")
+
+
+def _bitmap(items: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap of the item windows: at most ``bits`` / 64 rows leave the executors."""
+    low = F.col("window").bitwiseAND(F.lit(bits - 1))
+    words = items.groupBy(F.shiftright(low, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(window & {bits - 1} & 63))")).alias("word"))
+    table = words.toArrow()
+    out = np.zeros(bits // 64, dtype="<i8")
+    out[table["at"].to_numpy()] = table["word"].to_numpy()
+    return out.view(np.uint8)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, window: int = WINDOW, broadcast: int = BROADCAST, bitmap: int = BITMAP) -> DataFrame:
     """``(doc_id, doc_key, item_id, matched, item_windows)`` of documents that hold an item."""
-    items = item_windows(benchmark, window)
-    short = benchmark.select(F.size(F.split(F.trim("text"), r"\s+")).alias("n")).where(f"n < {window}").distinct()
-    sizes = [window, *sorted(r.n for r in short.collect() if r.n)]
-    wanted = vocabulary = None
+    items = item_windows(benchmark, window, share)
+    literals = materialize(small_batches(benchmark).select("text").mapInArrow(_literals, "n int, literal long").distinct(), "item-words")
+    sizes = [window, *sorted(r.n for r in literals.where(F.col("n") < window).select("n").distinct().collect())]
+    vocabulary = None
     if items.count() <= broadcast:
-        words = benchmark.select(F.explode(F.split("text", r"\s+")).alias("w")).distinct().collect()
-        vocabulary = frozenset(bare(r.w) for r in words)
-        rows = items.select("window").distinct().collect()
-        wanted = np.sort(np.array([r.window for r in rows], dtype=np.int64).view(np.uint64))
-        if not len(wanted):
-            wanted = np.zeros(1, dtype=np.uint64)
+        known = literals.where("literal is not null").select("literal").distinct().toArrow()["literal"].to_numpy()
+        vocabulary = array("Q", np.sort(known.view(np.uint64)).tobytes())
+        wanted = Wanted(np.sort(items.select("window").distinct().toArrow()["window"].to_numpy().view(np.uint64)), None)
+    else:
+        wanted = Wanted(None, _bitmap(items, bitmap))
     texts = small_batches(docs).select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("doc_key"), "text")
-    found = texts.mapInArrow(lambda b: _windows(b, sizes, wanted, vocabulary, False), HITS).distinct()
+    found = materialize(texts.mapInArrow(lambda b: _windows(b, sizes, wanted, vocabulary, False), HITS).distinct(), "document-hits")
+    candidates = found.join(items.where("rare").select("window", F.col("item_id").alias("i"), F.col("item_key").alias("k")), "window")
+    candidates = candidates.select(F.col("doc_id").alias("d"), F.col("doc_key").alias("dk"), "i", "k").distinct()
+    named = found.join(candidates, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("doc_key") == F.col("dk"))).drop("d", "dk")
+    of = items.withColumnRenamed("window", "item_window").drop("rare")
+    same = F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_key") == F.col("k")) & (F.col("item_window") == F.col("window"))
     fills = F.filter(F.arrays_zip("item_slots", "slots"), lambda x: x.item_slots.isNotNull())
-    pairs = found.join(items, "window").select(
+    pairs = named.join(of, same).select(
         "doc_id", "doc_key", "item_id", "item_key", "item_windows", (F.col("doc_at") - F.col("item_at")).alias("shift"),
         F.struct("item_at", F.transform(fills, lambda x: F.struct(x.item_slots, F.coalesce(x.slots, x.item_slots))).alias("fills")).alias("window"))
     aligned = pairs.groupBy("doc_id", "doc_key", "item_id", "item_key", "item_windows", "shift").agg(F.collect_set("window").alias("windows"))
@@ -233,5 +299,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` that hold no benchmark item; columns as they were."""
-    gone = materialize(contaminated(docs, benchmark).select("doc_key").distinct(), "leaks").withColumnRenamed("doc_key", "gone_key")
-    return docs.join(gone, F.xxhash64("doc_id", "text") == F.col("gone_key"), "left_anti")
+    name = fresh(docs, "gone_key")
+    gone = materialize(contaminated(docs, benchmark).select(F.col("doc_key").alias(name)).distinct(), "leaks")
+    return docs.join(gone, F.xxhash64("doc_id", "text") == F.col(name), "left_anti")
