@@ -2,6 +2,7 @@ import hashlib
 import tarfile
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyarrow import fs
 
@@ -68,6 +69,57 @@ def test_members_are_retried_by_offset(documents, tmp_path, monkeypatch):
         list(reader.read(part))
 
 
+def contents(spark, path):
+    return sorted((r.doc_id, media.decode_png(r.media)[0]) for r in media.read(spark, path).collect())
+
+
+def test_append_and_overwrite(documents, tmp_path):
+    folder, df = documents([(k, f"text {k}") for k in range(6)])
+    path, spark = f"file://{tmp_path}/media", df.sparkSession
+    payload = lambda ks: [(k, media.payload_of(f"text {k}")[0]) for k in ks]
+    media.write(df.where("doc_id < 2"), path)
+    media.write(df.where("doc_id = 2"), path)
+    assert contents(spark, path) == payload(range(3))
+    media.write(df.where("doc_id >= 4").withColumn("media", df.text), path, "overwrite")
+    assert contents(spark, path) == payload((4, 5))
+    media.write(df.where("doc_id = 0"), path)
+    assert contents(spark, path) == payload((0, 4, 5))
+    media.write(df.limit(0), path, "overwrite")
+    assert contents(spark, path) == []
+    writer = media.MediaWriter(path, False)
+    message = writer.write(iter(df.select("doc_id", "text").toArrow().to_batches()))
+    writer.abort([message, None])
+    assert not list(tmp_path.glob(f"media/{message.name}*")) and contents(spark, path) == []
+
+
+def test_a_damaged_member_is_read_again(documents, tmp_path, monkeypatch):
+    folder, df = documents([(k, f"text {k}") for k in range(5)])
+    path = f"file://{tmp_path}/media"
+    media.write(df.coalesce(1), path)
+    reader = media.MediaReader(path, media.RANGE_BYTES)
+    (part,) = reader.partitions()
+    store, at = fs.FileSystem.from_uri(path)
+    damaged = [1]
+
+    class Flipping:
+        def open_input_file(self, name):
+            f = store.open_input_file(name)
+            if not name.endswith(".tar") or not damaged[0]:
+                return f
+            damaged[0] -= 1
+            data = bytearray(f.read())
+            data[560] ^= 4  # in the first member, and in the second
+            data[1580] ^= 4
+            return pa.BufferReader(bytes(data))
+
+    monkeypatch.setattr(media, "_store", lambda p: (Flipping(), at))
+    got = [x for b in reader.read(part) for x in b.column(1).to_pylist()]
+    assert sorted(media.decode_png(x) for x in got) == [media.payload_of(f"text {k}") for k in range(5)] and damaged == [0]
+    damaged[0] = 100
+    with pytest.raises(OSError, match="member at"):
+        list(reader.read(part))
+
+
 def test_damage_and_empty_table(documents):
     data = media.encode_png(*media.payload_of("some text"))
     with pytest.raises(OSError):

@@ -1,10 +1,12 @@
 """A data source for archives of media members: byte-range partitions, Arrow streams, retried members.
 
 A dataset is a folder of tar archives, one for each writing task, each with an index of its members
-(number, offset, bytes) beside it and a manifest of the committed archives. A reader plans byte
-ranges from the archives' sizes alone; a task looks up the members that begin in its range, streams
-them in Arrow batches of bounded bytes, and reopens the archive at a member's offset when reading
-that member fails. Paths go through Arrow's file systems, so any store that Arrow opens will do.
+(number, offset, bytes) beside it, and a manifest for each commit, which names the archives that it
+adds and, if it overwrites, the manifests that it replaces. A reader plans byte ranges from the
+archives' sizes alone; a task looks up the members that begin in its range and streams them in Arrow
+batches of bounded bytes. A member that is short or fails its checksums is read again on its own, by
+its offset from the archive opened anew, ``TRIES`` times; if that fails too, the error names archive
+and offset and the task fails, to be run again by Spark; no member is left out. Paths go through Arrow's file systems, so any store that Arrow opens will do.
 
 The members are PNG images, 64 grey samples of 8 bits in a row, whose samples are the payload: a
 text's UTF-8 bytes and zeros up to a positive multiple of 64. The unpadded size is in a text chunk.
@@ -32,6 +34,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from .common import small_batches
+
 WIDTH = 64
 #: Bytes of a reading task's range and of one Arrow batch; tries of a member.
 RANGE_BYTES = 32 << 20
@@ -79,6 +83,21 @@ def decode_png(data: bytes) -> tuple[bytes, int]:
     return np.ascontiguousarray(rows[:, 1:]).tobytes(), size
 
 
+def check_png(data: bytes) -> None:
+    """Raise ``OSError`` unless the chunks' checksums hold and the last one ends the image and the bytes."""
+    at, kind = 8, b""
+    if data[:8] != _PNG:
+        raise OSError("not a PNG member")
+    while at + 12 <= len(data):
+        n, kind = struct.unpack_from(">I4s", data, at)
+        end = at + 8 + n
+        if end + 4 > len(data) or struct.unpack_from(">I", data, end)[0] != zlib.crc32(memoryview(data)[at + 4 : end]):
+            raise OSError("damaged PNG member")
+        at = end + 4
+    if kind != b"IEND" or at != len(data):
+        raise OSError("incomplete PNG member")
+
+
 def _store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}" if path.startswith("/") else path.replace("file:/", "file:///", 1))
 
@@ -88,9 +107,24 @@ class Archived(WriterCommitMessage):
         self.name, self.size = name, size
 
 
+_MANIFEST = "_manifest-"
+
+
+def _manifests(store: fs.FileSystem, folder: str) -> dict[str, tuple[list[str], list[tuple[str, int]]]]:
+    """Manifests in force by name, each with the names it replaces and its archives with their sizes."""
+    found: dict[str, tuple[list[str], list[tuple[str, int]]]] = {}
+    for info in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+        if info.base_name.startswith(_MANIFEST):
+            with store.open_input_file(info.path) as f:
+                read = json.loads(f.read())
+            found[info.base_name] = read["replaces"], [tuple(x) for x in read["archives"]]
+    gone = {name for replaces, _ in found.values() for name in replaces}
+    return {name: found[name] for name in sorted(found) if name not in gone}
+
+
 class MediaWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite = path, overwrite
         store, folder = _store(path)
         store.create_dir(folder, recursive=True)
 
@@ -116,15 +150,24 @@ class MediaWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Archived | None]) -> None:
         store, folder = _store(self.path)
-        lines = [json.dumps([m.name, m.size]) for m in messages if m is not None]
-        with store.open_output_stream(f"{folder}/_manifest") as out:
-            out.write("\n".join(lines).encode())
+        old = _manifests(store, folder) if self.overwrite else {}
+        whole = {"replaces": sorted(old), "archives": [[m.name, m.size] for m in messages if m is not None]}
+        with store.open_output_stream(f"{folder}/{_MANIFEST}{uuid.uuid4().hex}") as out:
+            out.write(json.dumps(whole).encode())
+        for _, archives in old.values():  # readers no longer see them
+            for name, _ in archives:
+                self._delete(store, folder, name)
 
     def abort(self, messages: list[Archived | None]) -> None:
         store, folder = _store(self.path)
         for m in messages:
             if m is not None:
-                store.delete_file(f"{folder}/{m.name}.tar")
+                self._delete(store, folder, m.name)
+
+    @staticmethod
+    def _delete(store: fs.FileSystem, folder: str, name: str) -> None:
+        for end in ("tar", "idx"):
+            store.delete_file(f"{folder}/{name}.{end}")
 
 
 class Range(InputPartition):
@@ -139,12 +182,12 @@ def read_member(store: fs.FileSystem, path: str, offset: int, size: int, tries:
             with store.open_input_file(path) as f:
                 data = f.read_at(size, offset)
             if len(data) != size:
-                raise OSError(f"{len(data)} of {size} bytes at {offset}")
-            decode_png(data)
+                raise OSError(f"{len(data)} of {size} bytes")
+            check_png(data)
             return data
-        except (OSError, zlib.error, struct.error):
+        except OSError as e:
             if not left:
-                raise
+                raise OSError(f"member at {offset} of {path}: {e}") from e
             time.sleep(0.2)
     raise AssertionError
 
@@ -154,9 +197,7 @@ class MediaReader(DataSourceReader):
         self.path, self.range_bytes = path, range_bytes
 
     def partitions(self) -> list[Range]:
-        store, folder = _store(self.path)
-        with store.open_input_file(f"{folder}/_manifest") as f:
-            archives = [json.loads(x) for x in f.read().decode().splitlines()]
+        archives = [x for _, found in _manifests(*_store(self.path)).values() for x in found]
         return [Range(name, k, min(k + self.range_bytes, size)) for name, size in archives for k in range(0, size, self.range_bytes)] or [Range("", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
@@ -179,7 +220,11 @@ class MediaReader(DataSourceReader):
             members = []
             for offset, size in zip(some["offset"].tolist(), some["size"].tolist(), strict=True):
                 data = block[offset - first : offset - first + size]
-                members.append(data if len(data) == size else read_member(store, path, offset, size))
+                try:
+                    check_png(data)
+                except OSError:
+                    data = read_member(store, path, offset, size)
+                members.append(data)
             ids = pa.array(some["doc_id"], mask=some["known"] == 0)
             yield pa.RecordBatch.from_arrays([ids, pa.array(members, pa.binary())], names=["doc_id", "media"])
             lo = upto
@@ -199,13 +244,13 @@ class MediaArchive(DataSource):
         return MediaReader(self.options["path"], int(self.options.get("range_bytes", RANGE_BYTES)))
 
     def writer(self, schema: object, overwrite: bool) -> MediaWriter:
-        return MediaWriter(self.options["path"])
+        return MediaWriter(self.options["path"], overwrite)
 
 
-def write(docs: DataFrame, path: str) -> None:
-    """Store the whole texts of ``docs`` as members of archives under ``path``."""
+def write(docs: DataFrame, path: str, mode: str = "append") -> None:
+    """Store the whole texts of ``docs`` as members of archives under ``path``, beside or (``overwrite``) instead of others."""
     docs.sparkSession.dataSource.register(MediaArchive)
-    docs.select(F.col("doc_id").cast("long"), "text").write.format("media_archive").mode("append").save(path)
+    small_batches(docs).select(F.col("doc_id").cast("long"), "text").write.format("media_archive").mode(mode).save(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -236,5 +281,5 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def features(media: DataFrame) -> DataFrame:
     """Digests and a feature of each member, from the stored bytes."""
-    return media.select("doc_id", "media").mapInArrow(
+    return small_batches(media).select("doc_id", "media").mapInArrow(
         _feature_batches, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
