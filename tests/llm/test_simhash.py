@@ -93,7 +93,27 @@ def test_keep_one_per_class(documents):
     extra = df.withColumn("fp", F.lit("clash")).withColumn("root", F.lit(1))
     kept = simhash.keep_one_per_class(extra)
     assert kept.columns == extra.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2"]
+
+
+def test_one_of_each_class_whatever_the_ids(documents):
+    """Ids that repeat on other texts and rows without an id: each class keeps one row, no clean text goes."""
+    texts = ["one two three four five six seven eight", "nine ten eleven twelve thirteen", "all alone in this table of words", "without any id but twice here"]
+    folder, df = documents([(1, texts[0]), (1, texts[1]), (5, texts[0]), (5, texts[1]), (5, texts[2]), (None, texts[3]), (None, texts[3]), (None, texts[0]), (9, texts[2]), (9, texts[2])])
+    clash = df.withColumn("row_key", F.lit("clash")).withColumn("n", F.lit(2)).withColumn("_row_key", F.lit(1))
+    kept = simhash.keep_one_per_class(clash)
+    assert kept.columns == clash.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("1", texts[0]), ("1", texts[1]), ("5", texts[2]), ("None", texts[3])])
+
+
+def test_large_buckets_are_cut_until_they_are_small(spark):
+    """Fingerprints that share all but a few bits, so that cut buckets are large again."""
+    rng = np.random.default_rng(9)
+    values = sorted({int(x) for x in rng.integers(0, 1 << 14, 600)} | {int(x) << 40 for x in rng.integers(1, 1 << 9, 60)})
+    df = spark.createDataFrame([(v,) for v in values], "fp long")
+    want = dict(zip(values, brute_classes([(v, v) for v in values])))
+    got = {v: v for v in values} | {r.node: r.root for r in connected_components(simhash.links(df, 8)).collect()}
+    assert got == want
 
 
 def test_empty_table(documents):

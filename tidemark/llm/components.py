@@ -1,22 +1,23 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Every round is a pair of aggregations and joins on node ids; a node with very many neighbours is
-combined before its shuffle in the aggregations and split by adaptive execution in the joins.
+Every round is a pair of aggregations and joins on node ids. A node with very many neighbours is
+combined before its shuffle in the aggregations; in the joins its edges stay where they are and meet
+a broadcast table of such nodes, of which there are ``HUBS`` at most, as each has more than its share
+of all edges.
 Nothing is collected but one checksum row for each round.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-_EDGE = "a long, b long"
+#: Most nodes of the broadcast table, and the fewest edges of a node in it.
+HUBS = 100_000
+LEAST_HUB = 64
 
 
 def forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,22 +41,24 @@ def forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return nodes[moved], nodes[top[moved]]
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        node, top = forest(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(top)], names=["a", "b"])
+def _joined(edges: DataFrame, low: DataFrame, most: int) -> DataFrame:
+    """``edges`` with the ``low`` of their ``a``; ``low``: ``(a, n, low)``, n edges of each node."""
+    hubs = low.where(F.col("n") > most).select(F.col("a").alias("hub"), F.col("low").alias("hub_low"))
+    known = edges.join(F.broadcast(hubs), F.col("a") == F.col("hub"), "left")
+    rest = known.where("hub is null").select("a", "b").join(low.where(F.col("n") <= most).select("a", "low"), "a")
+    return known.where("hub is not null").select("a", "b", F.col("hub_low").alias("low")).union(rest.select("a", "b", "low"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, most: int) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-    return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    low = both.groupBy("a").agg(F.count("*").alias("n"), F.least(F.min("b"), F.col("a")).alias("low"))
+    return _joined(both, low, most).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, most: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    low = down.groupBy("a").agg(F.min("b").alias("low"))
-    moved = down.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    low = down.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("low"))
+    moved = _joined(down, low, most).where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
     return moved.union(low.select("a", F.col("low").alias("b"))).distinct()
 
 
@@ -66,10 +69,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     loops and both directions are welcome; an edge with a null end is ignored.
     """
     edges = edges.select("a", "b").where("a <> b")
-    stars = materialize(edges.mapInArrow(_contract, _EDGE).distinct(), "edges")
+    stars = materialize(edges.distinct(), "edges")
     before = None
     while True:
-        stars = materialize(_small_star(_large_star(stars)), "stars")
+        most = max(LEAST_HUB, -(-2 * stars.count() // HUBS))
+        large = materialize(_large_star(stars, most), "large-stars")
+        stars = materialize(_small_star(large, most), "stars")
         row = stars.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if (row.n, row.x) == before or not row.n:
             break

@@ -6,12 +6,14 @@ some segment starts a chain in which every run of ``l`` consecutive segments dif
 of the next three, at least two are: each fingerprint gets 8 x 3 keys of 32 equal bits. Only
 fingerprints that share a key meet; there the chain budgets prune a pair before its full Hamming
 check. Equal fingerprints are one row throughout, so copies never form pairs, and what leaves a
-bucket is a spanning forest of its links, never all pairs.
+batch of buckets is a spanning forest of its links, never all pairs. A bucket too large for a task is cut by
+the same principle again: of four parts of its free bits one must be equal, so its rows go into four
+smaller buckets each, with a quarter of the free bits less, until all are small.
 
 Defined results: a null or word-less text has fingerprint zero and links like any other; repeated
 rows and ids all get a row; rows with a null id get a component by their fingerprint, whose id is
 the smallest non-null one reachable (null if there is none); an empty table gives no rows; other
-columns are ignored.
+columns are ignored, or kept by ``keep_one_per_class``.
 """
 
 from __future__ import annotations
@@ -25,15 +27,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, small_batches
-from .components import connected_components
+from .common import fresh, materialize, slices, small_batches
+from .components import connected_components, forest
 
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 3
 SEGMENTS = 8
-#: Largest bucket that one group compares; larger ones are compared block by block.
+#: Largest bucket that one group compares; larger ones are cut by further equal bits.
 BUCKET_ROWS = 32_768
+PARTS = MAX_BITS + 1
+#: Free bits at which a bucket of distinct fingerprints is small in any case, and is cut no further.
+LEAST_FREE = 12
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -52,17 +57,18 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        values = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+        values = np.array([fingerprint(x) for x in batch.column(2).to_pylist()], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(values.view(np.int64))], names=["doc_id", "row_key", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)``: the fingerprint of each document as a signed long."""
-    return small_batches(docs).select("doc_id", "text").mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    """``(doc_id, row_key, fp)``: the fingerprint of each document as a signed long, and a hash of its id and text."""
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(
+        _fingerprint_batches, "doc_id long, row_key long, fp long")
 
 
 def _keys() -> F.Column:
-    """The 24 keys of a fingerprint: start and pair of segments above, 32 bits below."""
+    """The 24 keys of a fingerprint, each with its free bits: start and pair of segments above, 32 bits below."""
     part = [F.shiftrightunsigned("fp", 8 * k).bitwiseAND(F.lit(0xFF)) for k in range(SEGMENTS)]
     keys = []
     for start in range(SEGMENTS):
@@ -71,10 +77,40 @@ def _keys() -> F.Column:
             value = F.lit((start * 3 + pair) << 32)
             for shift, k in zip((24, 16, 8, 0), (at[0], at[1], at[p], at[q]), strict=True):
                 value = value.bitwiseOR(F.shiftleft(part[k], shift))
-            keys.append(value)
+            equal = sum(0xFF << 8 * k for k in (at[0], at[1], at[p], at[q]))
+            keys.append(F.struct(value.alias("key"), F.lit(_signed(~equal)).alias("free")))
     return F.array(*keys)
 
 
+def _signed(bits: int) -> int:
+    bits &= (1 << 64) - 1
+    return bits - (bits >> 63 << 64)
+
+
+def _parts(free: int) -> list[int]:
+    """The set bits of ``free`` in four masks."""
+    bits = [k for k in range(64) if free >> k & 1]
+    return [sum(1 << k for k in bits[len(bits) * n // PARTS : len(bits) * (n + 1) // PARTS]) for n in range(PARTS)]
+
+
+def _cut_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, free, fp) to four rows each: key with one part of the free bits, the other free bits, fp."""
+    for batch in batches:
+        key, free, fp = (batch.column(k).to_numpy().view(np.uint64) for k in range(3))
+        out: list[list[np.ndarray]] = [[], [], []]
+        for mask in np.unique(free).tolist():
+            at = np.flatnonzero(free == np.uint64(mask))
+            for n, part in enumerate(_parts(mask)):
+                with np.errstate(over="ignore"):
+                    mixed = (key[at] ^ (fp[at] & np.uint64(part))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)
+                    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                out[0].append((key[at] & ~np.uint64(0xFFFF_FFFF)) | (mixed >> np.uint64(32)))
+                out[1].append(np.full(len(at), mask & ~part, dtype=np.uint64))
+                out[2].append(fp[at])
+        columns = [pa.array(np.concatenate(x).view(np.int64)) if x else pa.array([], pa.int64()) for x in out]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "free", "fp"])
+
+
 def _ring_mask(start: int, length: int) -> np.uint64:
     return np.uint64(sum(0xFF << 8 * ((start + k) % SEGMENTS) for k in range(length)))
 
@@ -124,33 +160,31 @@ def _emit(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
         lo, hi = edges[n], edges[n + 1]
         links += bucket_forest(values[lo:hi], int(keys[lo] & 0xFF_FFFF_FFFF) // (3 << 32))
     more = np.array(links, dtype=np.uint64).reshape(-1, 2)
-    left, right = np.concatenate([*a, more[:, 0]]).view(np.int64), np.concatenate([*b, more[:, 1]]).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], names=["a", "b"])
+    node, top = forest(np.concatenate([*a, more[:, 0]]).view(np.int64), np.concatenate([*b, more[:, 1]]).view(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(node), pa.array(top)], names=["a", "b"])
 
 
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (group, key, fp) sorted by group and key to links; a group may span batches."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    """Rows (key, fp) sorted by key to links; a bucket may span batches."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def joined() -> tuple[np.ndarray, np.ndarray]:
-        group, key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-        # number the (group, key) buckets while the key's start stays readable in the upper bits
-        changed = np.r_[False, (group[1:] != group[:-1]) | (key[1:] != key[:-1])]
-        return (np.cumsum(changed) << 40) | (key & (0xFF << 32)), fp.view(np.uint64)
+        key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+        return key, fp.view(np.uint64)
 
     for batch in batches:
-        group, key, fp = (batch.column(k).to_numpy() for k in range(3))
+        key, fp = (batch.column(k).to_numpy() for k in range(2))
         if not len(key):
             continue
-        cut = int(np.flatnonzero((group != group[-1]) | (key != key[-1]))[-1]) + 1 if (group[0], key[0]) != (group[-1], key[-1]) else 0
+        cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
         if cut:
-            held.append((group[:cut], key[:cut], fp[:cut]))
+            held.append((key[:cut], fp[:cut]))
             yield _emit(*joined())
             held = []
-        elif held and (held[-1][0][-1], held[-1][1][-1]) != (group[0], key[0]):
+        elif held and held[-1][0][-1] != key[0]:
             yield _emit(*joined())
             held = []
-        held.append((group[cut:], key[cut:], fp[cut:]))
+        held.append((key[cut:], fp[cut:]))
     if held:
         yield _emit(*joined())
 
@@ -158,41 +192,35 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def links(prints: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Links ``(a, b)`` that span the components of distinct fingerprints ``(fp)``.
 
-    Buckets of more than ``bucket_rows`` fingerprints are dealt into blocks, and each pair of
-    blocks is compared in a group of its own, so that no task holds a whole large bucket and no
-    pair is missed.
+    Buckets of more than ``bucket_rows`` fingerprints are cut by further equal bits, so that no task
+    holds a whole large bucket, rows grow in proportion, and no pair is missed.
     """
-    keyed = prints.select(F.explode(_keys()).alias("key"), "fp")
-    large = (
-        keyed.groupBy("key").count().where(F.col("count") > bucket_rows)
-        .select(F.col("key").alias("large_key"), F.ceil(2 * F.col("count") / bucket_rows).cast("long").alias("blocks"))
-    )
-    large = materialize(large, "large-buckets")
-    if large.isEmpty():
-        grouped = keyed.select(F.lit(0).cast("long").alias("grp"), "key", "fp")
-    else:
-        joined = keyed.join(large, F.col("key") == F.col("large_key"), "left")
-        block = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-        other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        grouped = joined.select("key", "fp", "blocks", block.alias("own"), other.alias("other")).select(
-            F.when(F.col("blocks").isNull(), F.lit(0).cast("long"))
-            .otherwise(1 + F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("grp"), "key", "fp")
-    dealt = grouped.repartition("grp", "key").sortWithinPartitions("grp", "key", "fp")
+    keyed = prints.select(F.explode(_keys()).alias("k"), "fp").select("k.key", "k.free", "fp")
+    small = keyed.select("key", "fp")
+    while True:
+        large = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max(F.bit_count("free")).alias("bits"))
+        large = materialize(large.where((F.col("n") > bucket_rows) & (F.col("bits") > LEAST_FREE)).select(F.col("key").alias("large_key")), "large-buckets")
+        if large.isEmpty():
+            break
+        split = materialize(keyed.join(large, F.col("key") == F.col("large_key")).select("key", "free", "fp").mapInArrow(_cut_buckets, "key long, free long, fp long"), "cut-buckets")
+        small = small.join(large, F.col("key") == F.col("large_key"), "left_anti").union(split.select("key", "fp"))
+        keyed = split
+    dealt = small.repartition("key").sortWithinPartitions("key", "fp")
     return dealt.mapInArrow(_bucket_links, "a long, b long")
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp, component_id)`` of every row of ``docs``."""
+    """``(doc_id, row_key, fp, component_id, root)`` of every row of ``docs``.
+
+    ``row_key`` is a hash of id and text, ``root`` the smallest fingerprint of the class.
+    """
     prints = materialize(fingerprints(docs), "fingerprints")
     lowest = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     linked = connected_components(links(lowest.select("fp")))
-    named = lowest.join(linked, F.col("fp") == F.col("node")).select("fp", "root", "low")
-    smallest = named.groupBy("root").agg(F.min("low").alias("smallest"))
-    classes = named.join(smallest, "root").select(F.col("fp").alias("linked_fp"), "smallest")
-    classes = lowest.join(classes, F.col("fp") == F.col("linked_fp"), "left").select(
-        F.col("fp").alias("class_fp"), F.coalesce("smallest", "low").alias("component_id"))
-    classes = materialize(classes, "class-table")  # a plain scan, so that a fingerprint of very many copies is split in the join
-    return prints.join(classes, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id")
+    named = materialize(lowest.join(linked, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "low"), "rooted")
+    smallest = materialize(named.groupBy("root").agg(F.min("low").alias("component_id")), "smallest")  # plain scans, so that a hot root or
+    classes = materialize(named.join(smallest, "root").select(F.col("fp").alias("class_fp"), "root", "component_id"), "class-table")  # fingerprint is split in the joins
+    return prints.join(classes, F.col("fp") == F.col("class_fp")).select("doc_id", "row_key", "fp", "component_id", "root")
 
 
 def fingerprint_hex(fp: F.Column) -> F.Column:
@@ -202,14 +230,18 @@ def fingerprint_hex(fp: F.Column) -> F.Column:
 def keep_one_per_class(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that stay when one document of each near-duplicate class is kept.
 
-    The one with the smallest id stays; of rows that repeat that id, one. Rows with a null id
-    cannot be named by a class and stay.
+    Of a class the row with the smallest id stays, before those without an id; of rows with that id
+    the one whose hash of id and text is smallest; of rows equal in both, one.
     """
     classes = materialize(near_duplicate_classes(docs), "classes")
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    twice = classes.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if twice.isEmpty():
+    first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")).alias("first"))
+    counts = classes.groupBy("row_key").agg(F.count("*").alias("n"))
+    name, key = fresh(docs, "row_key"), F.xxhash64("doc_id", "text")
+    keys = first.select(F.col("first.row_key").alias("row_key")).join(counts, "row_key").select(F.col("row_key").alias(name), "n")
+    keys = materialize(keys, "kept")
+    kept = docs.join(keys.select(name), key == F.col(name), "left_semi")
+    copies = keys.where("n > 1").select(name)
+    if copies.isEmpty():
         return kept
-    once = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    once = kept.join(copies, key == F.col(name), "left_semi").withColumn(name, key).dropDuplicates([name]).drop(name)
+    return kept.join(copies, key == F.col(name), "left_anti").unionByName(once)
