@@ -9,7 +9,7 @@ from tidemark.llm import decontaminate, language, packing, queries  # noqa: E402
 
 from .test_decontaminate import brute as brute_leaks  # noqa: E402
 from .test_simhash import brute_classes, brute_print  # noqa: E402
-from .test_substrings import brute_chunks  # noqa: E402
+from .test_substrings import brute_chunks, runs_that_count  # noqa: E402
 from .test_tokens import WORD, crc, ids  # noqa: E402
 
 
@@ -40,13 +40,8 @@ def brute_pipeline(rows, items):
             owners[t.encode()[a:b]].add(d)
     cut = []
     for d, t in kept:
-        data, runs = t.encode(), [[]]
-        for a, b in brute_chunks(data):
-            if len(owners[data[a:b]]) > 1:
-                runs[-1].append((a, b))
-            else:
-                runs.append([])
-        gone = {x for r in runs if r and r[-1][1] - r[0][0] >= 128 for x in r if d > min(owners[data[x[0] : x[1]]])}
+        data = t.encode()
+        gone = {x for r in runs_that_count(data, lambda c, data=data: len(owners[data[c[0] : c[1]]]) > 1) for x in r if d > min(owners[data[x[0] : x[1]]])}
         cut.append((d, b"".join(data[a:b] for a, b in brute_chunks(data) if (a, b) not in gone).decode("utf-8", "ignore")))
     leaky = {d for d, *_ in brute_leaks(cut, items)}
     pieces = []

@@ -28,21 +28,38 @@ def brute_chunks(data):
     return out
 
 
-def brute_spans(rows):
-    owners, found = defaultdict(set), set()
+def runs_that_count(data, repeated):
+    """Runs of repeated chunks [(start, end)] of a text: over 50 words with the chunks around them, or 1024 bytes."""
+    chunks = brute_chunks(data)
+    begun = lambda at: sum(data[k] not in b" \t\n\x0b\x0c\r" and (not k or data[k - 1] in b" \t\n\x0b\x0c\r") for k in range(at))
+    run = []
+    for k, chunk in enumerate([*chunks, None]):
+        if chunk and repeated(chunk):
+            run.append(k)
+            continue
+        if run:
+            a, b = chunks[max(run[0] - 1, 0)][0], chunks[min(run[-1] + 1, len(chunks) - 1)][1]
+            if begun(b) - begun(a) > 50 or chunks[run[-1]][1] - chunks[run[0]][0] >= 1024:
+                yield [chunks[n] for n in run]
+        run = []
+
+
+def brute_spans(rows, within=False):
+    owners, places, found = defaultdict(set), defaultdict(set), set()
     for d, t in rows:
-        for a, b in brute_chunks((t or "").encode()):
-            owners[(t or "").encode()[a:b]].add(d)
+        data = (t or "").encode()
+        for a, b in brute_chunks(data):
+            owners[data[a:b]].add(d)
+            places[data[a:b]].add((d, a))
     for d, t in rows:
         data = (t or "").encode()
-        run = []
-        for a, b in [*brute_chunks(data), (None, None)]:
-            if a is not None and len(owners[data[a:b]]) > 1:
-                run.append((a, b, b - a if d > min(owners[data[a:b]]) else 0))
-                continue
-            if run and run[-1][1] - run[0][0] >= substrings.SPAN:
-                found.add((d, run[0][0], run[-1][1], len(run), sum(x[2] for x in run)))
-            run = []
+        again = lambda c: len((places if within else owners)[data[c[0] : c[1]]]) > 1
+        for run in runs_that_count(data, again):
+            extra = 0
+            for a, b in run:
+                earlier = within and min(x for e, x in places[data[a:b]] if e == d) < a
+                extra += b - a if d > min(owners[data[a:b]]) or earlier else 0
+            found.add((d, run[0][0], run[-1][1], len(run), extra))
     return found
 
 
@@ -66,6 +83,32 @@ def test_query_against_brute_force(documents):
     assert {r[0] for r in got} == {*range(20, 40), 52, 53}
 
 
+def test_repeats_within_a_document(documents):
+    rows, passages = rows_with_repeats()
+    a, b = passages[:2]
+    rows = [x for x in rows if x[0] not in (25, 54)] + [(70, f"{a} {b} once more {a} in between {a}"), (71, "lines of one text\n" * 40), (72, "ab " * 800)]
+    folder, df = documents(rows)
+    got = [tuple(r) for r in substrings.spans(df, within=True).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_spans(rows, within=True)
+    assert {70, 71} <= {r[0] for r in got}
+    kept = {r.doc_id: r.text for r in substrings.remove_repeats(df.where("doc_id = 70"), within=True).collect()}
+    assert kept[70].count(a[80:-80]) == 1 and b in kept[70]
+
+
+def test_characters_stay_whole(documents):
+    rng = random.Random(3)
+    prose = lambda n: "".join(rng.choice("漢字仮名交文日本語書") for _ in range(n))
+    passage = prose(900)
+    texts = [prose(200) + passage + prose(200), prose(300) + passage + prose(100)]
+    folder, df = documents([(1, texts[0]), (2, texts[1])])
+    kept = {r.doc_id: r.text for r in substrings.remove_repeats(df).collect()}
+    assert kept[1] == texts[0] and len(kept[2]) < len(texts[1]) - 600
+    begin, rest = 0, texts[1]
+    while kept[2][begin : begin + 1] == rest[begin]:
+        begin += 1
+    assert begin >= 300 and rest.endswith(kept[2][begin:])
+
+
 def test_remove_repeats_keeps_the_first(documents):
     rows, passages = rows_with_repeats()
     folder, df = documents(rows)

@@ -3,12 +3,16 @@
 A gear rolling hash over the last 16 bytes proposes cuts; a cut holds if no other was proposed in the
 ``LEAST`` bytes before it, so cuts depend on nearby bytes only and an insertion moves no cut
 elsewhere. Chunks are deduplicated by 64-bit digest: a digest with two different documents is a
-repeat. Adjacent repeated chunks form a span, and spans of at least ``SPAN`` bytes are reported.
+repeat (with ``within``, one that stands twice in a document too). Adjacent repeated chunks form a
+span. A repeated passage covers its span and reaches into the chunks before and after it at most, so
+every passage of more than ``WORDS`` words lies in a span that has more than so many together with
+these two chunks; such spans are reported, and so are spans of ``LONG`` bytes, whatever their words.
 
 Defined results: null and empty texts have no spans; rows of one ``doc_id`` count as one document
 when repeats are counted (a null id as an id of its own); rows equal in id and text have their spans
-once in ``spans`` and are all edited in ``remove_repeats``; an empty table gives no rows; other
-columns are ignored or, in ``remove_repeats``, kept.
+once in ``spans`` and are all edited in ``remove_repeats``; a character that a chunk's end cuts in two
+stays whole unless both its chunks go; an empty table gives no rows; other columns are ignored or, in
+``remove_repeats``, kept.
 """
 
 from __future__ import annotations
@@ -29,9 +33,13 @@ WINDOW = 16
 RATE = 16
 LEAST = 8
 MOST = 2048
-#: Shortest span in bytes. A passage loses at most its first and last chunk at either end.
-SPAN = 128
-CHUNKS = "doc_id long, doc_key long, start int, length int, digest long"
+#: A span counts if a passage of more than so many words may lie in it, or if it has so many bytes.
+WORDS = 50
+LONG = 1024
+#: Texts that are cut as one array.
+SLICE = 250
+#: ``before`` and ``after``: words begun before the chunk before this one, and before the end of the chunk after it.
+CHUNKS = "doc_id long, doc_key long, start int, length int, digest long, before int, after int"
 
 
 def _gear() -> np.ndarray:
@@ -61,10 +69,20 @@ def chunk_ends(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.nda
     return cuts
 
 
+def _words_before(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """For each place, how many words begin before it; a text's first byte begins a word unless it is a blank."""
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    first = ~blank
+    first[1:] &= blank[:-1]
+    heads = begins[begins < len(data)]
+    first[heads] = ~blank[heads]
+    return np.r_[0, np.cumsum(first, dtype=np.int32)].astype(np.int32)
+
+
 def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for k in range(0, batch.num_rows, 1000):
-            some = batch.slice(k, 1000)
+        for k in range(0, batch.num_rows, SLICE):
+            some = batch.slice(k, SLICE)
             texts = [(x or "").encode("utf-8", "surrogatepass") for x in some.column(2).to_pylist()]
             data = b"".join(texts)
             ends = np.cumsum([len(x) for x in texts])
@@ -74,12 +92,16 @@ def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             cuts = chunk_ends(np.frombuffer(data, dtype=np.uint8), begins, ends)
             starts = np.r_[0, cuts[:-1]]
             owner = np.searchsorted(ends, cuts, side="left")
+            words = _words_before(np.frombuffer(data, dtype=np.uint8), begins)
+            base = words[begins[owner]]
+            before = words[np.maximum(np.r_[0, starts[:-1]], begins[owner])] - base
+            after = words[np.minimum(np.r_[cuts[1:], cuts[-1]], ends[owner])] - base
             view = memoryview(data)
             digest = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts.tolist(), cuts.tolist(), strict=True)), dtype=np.uint64, count=len(cuts))
             at = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
-                [some.column(0).take(at), some.column(1).take(at), pa.array((starts - begins[owner]).astype(np.int32)), pa.array((cuts - starts).astype(np.int32)), pa.array(digest.view(np.int64))],
-                names=["doc_id", "doc_key", "start", "length", "digest"])
+                [some.column(0).take(at), some.column(1).take(at), pa.array((starts - begins[owner]).astype(np.int32)), pa.array((cuts - starts).astype(np.int32)), pa.array(digest.view(np.int64)), pa.array(before), pa.array(after)],
+                names=["doc_id", "doc_key", "start", "length", "digest", "before", "after"])
 
 
 _NO_ID = -(1 << 63)
@@ -89,45 +111,57 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64("doc_id", "text").alias("doc_key"), "text")
 
 
-def _repeated_chunks(docs: DataFrame) -> DataFrame:
-    """Chunk occurrences inside spans: ``(doc_id, doc_key, start, length, extra, span, span_bytes, ...)``.
+def _repeated_chunks(docs: DataFrame, within: bool) -> DataFrame:
+    """Repeated chunks: ``(doc_id, doc_key, start, length, before, after, extra, span)``.
 
-    ``extra``: a document with a smaller id has this chunk too. Chunks are cut twice instead of
-    stored; only digests that repeat are written, and joined with all occurrences.
+    ``extra``: a document with a smaller id has this chunk too, or this one further up. Chunks are cut
+    twice instead of stored; only digests that repeat are written, and joined with all occurrences.
     """
     chunks = _keyed(docs).mapInArrow(_chunk_batches, CHUNKS)
-    digests = chunks.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
+    ends = [f("doc_id").alias(f"{n}_doc") for n, f in (("first", F.min), ("last", F.max))] + [f("start").alias(f"{n}_start") for n, f in (("first", F.min), ("last", F.max))]
+    repeats = "first_doc < last_doc or first_start < last_start" if within else "first_doc < last_doc"
+    digests = chunks.groupBy("digest").agg(*ends[: 4 if within else 2]).where(repeats)
     digests = materialize(digests.select(F.col("digest").alias("of_digest"), "first_doc"), "repeated-digests")
-    found = chunks.join(digests, F.col("digest") == F.col("of_digest")).select(
-        "doc_id", "doc_key", "start", "length", (F.col("doc_id") > F.col("first_doc")).alias("extra")).distinct()
-    here = Window.partitionBy("doc_id", "doc_key").orderBy("start")
+    extra = F.col("doc_id") > F.col("first_doc")
+    found = chunks.join(digests, F.col("digest") == F.col("of_digest")).select("doc_id", "doc_key", "start", "length", "before", "after", extra.alias("extra"), *["digest"] * within).distinct()
+    row = Window.partitionBy("doc_id", "doc_key")
+    if within:
+        again = F.row_number().over(Window.partitionBy("doc_id", "doc_key", "digest").orderBy("start")) > 1
+        found = found.withColumn("extra", F.col("extra") | again).drop("digest")
+    here = row.orderBy("start")
     begins = F.coalesce(F.lag(F.col("start") + F.col("length")).over(here) != F.col("start"), F.lit(True))
-    runs = found.withColumn("begins", begins).withColumn("span", F.sum(F.col("begins").cast("int")).over(here))
-    return runs.select("doc_id", "doc_key", "start", "length", "extra", "span")
+    return found.withColumn("begins", begins).withColumn("span", F.sum(F.col("begins").cast("int")).over(here)).drop("begins")
+
 
+def _counts(over: Window | None, words: int, long: int) -> F.Column:
+    """Whether a span counts, as an aggregate or over a window."""
+    ends = [F.max("after"), F.min("before"), F.sum("length")]
+    after, before, size = (e if over is None else e.over(over) for e in ends)
+    return (after - before > words) | (size >= long)
 
-def spans(docs: DataFrame, least: int = SPAN) -> DataFrame:
+
+def spans(docs: DataFrame, words: int = WORDS, long: int = LONG, within: bool = False) -> DataFrame:
     """``(doc_id, span_start, span_end, n_chunks, extra_bytes)``: byte spans that repeat across documents.
 
-    Every occurrence is a row, the first included; ``extra_bytes`` counts bytes that a document of
-    smaller id has too.
+    Every occurrence is a row, the first included; ``extra_bytes`` counts bytes that stand earlier:
+    in a document of smaller id or, with ``within``, further up in this one.
     """
-    runs = _repeated_chunks(docs).groupBy("doc_id", "doc_key", "span").agg(
+    runs = _repeated_chunks(docs, within).groupBy("doc_id", "doc_key", "span").agg(
         F.min("start").cast("long").alias("span_start"), F.max(F.col("start") + F.col("length")).cast("long").alias("span_end"),
-        F.count("*").alias("n_chunks"), F.sum(F.when(F.col("extra"), F.col("length")).otherwise(0)).alias("extra_bytes"))
+        F.count("*").alias("n_chunks"), F.sum(F.when(F.col("extra"), F.col("length")).otherwise(0)).alias("extra_bytes"), _counts(None, words, long).alias("counts"))
     ids = F.when(F.col("doc_id") != _NO_ID, F.col("doc_id"))
-    return runs.where(F.col("span_end") - F.col("span_start") >= least).select(ids.alias("doc_id"), "span_start", "span_end", "n_chunks", "extra_bytes")
+    return runs.where("counts").select(ids.alias("doc_id"), "span_start", "span_end", "n_chunks", "extra_bytes")
 
 
-def remove_repeats(docs: DataFrame, least: int = SPAN) -> DataFrame:
-    """``docs`` with every repeat but the one in the smallest id cut out of ``text``.
+def remove_repeats(docs: DataFrame, words: int = WORDS, long: int = LONG, within: bool = False) -> DataFrame:
+    """``docs`` with every repeat but the first cut out of ``text``: that in the smallest id, furthest up.
 
-    Only chunks inside spans of ``least`` bytes go. ``n_chars``, where it is a column, follows the
-    text. Rows of which no letter or digit is left are dropped.
+    Only chunks inside spans that count go. ``n_chars``, where it is a column, follows the text. Rows
+    of which no letter or digit is left are dropped.
     """
-    marked = _repeated_chunks(docs)
+    marked = _repeated_chunks(docs, within)
     whole = Window.partitionBy("doc_id", "doc_key", "span")
-    gone = marked.withColumn("bytes", F.sum("length").over(whole)).where((F.col("bytes") >= least) & F.col("extra"))
+    gone = marked.withColumn("counts", _counts(whole, words, long)).where(F.col("counts") & F.col("extra"))
     cuts = gone.groupBy("doc_id", "doc_key").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("cuts"))
     cuts = cuts.select(F.col("doc_id").alias("cut_doc"), F.col("doc_key").alias("cut_key"), "cuts")
     keyed = docs.select(F.struct(*docs.columns).alias("row"),
@@ -144,7 +178,7 @@ def remove_repeats(docs: DataFrame, least: int = SPAN) -> DataFrame:
 
 
 @F.arrow_udf(StringType())
-def _without(texts: pa.Array, cuts: pa.Array) -> pa.Array:
+def _without_cuts(texts: pa.Array, cuts: pa.Array) -> pa.Array:
     """Texts without the bytes of their cuts; null where there is nothing to cut."""
     out: list[str | None] = []
     for text, gone in zip(texts, cuts, strict=True):
@@ -152,8 +186,29 @@ def _without(texts: pa.Array, cuts: pa.Array) -> pa.Array:
             out.append(None)
             continue
         data, at, parts = text.as_py().encode("utf-8", "surrogatepass"), 0, []
-        for c in gone.as_py():
-            parts.append(data[at : c["start"]])
-            at = c["start"] + c["length"]
-        out.append(b"".join([*parts, data[at:]]).decode("utf-8", "ignore"))
+        for begin, end in _whole_characters(data, gone.as_py()):
+            parts.append(data[at:begin])
+            at = end
+        out.append(b"".join([*parts, data[at:]]).decode("utf-8", "surrogatepass"))
     return pa.array(out, pa.string())
+
+
+#: So declared, it is evaluated once, and not again in a filter on its result that the optimizer moves below it.
+_without = _without_cuts.asNondeterministic()
+
+
+def _whole_characters(data: bytes, cuts: list[dict]) -> Iterator[tuple[int, int]]:
+    """The cuts, adjacent ones joined, without the parts of characters that begin or end outside."""
+    joined: list[list[int]] = []
+    for c in cuts:
+        if joined and joined[-1][1] == c["start"]:
+            joined[-1][1] += c["length"]
+        else:
+            joined.append([c["start"], c["start"] + c["length"]])
+    for begin, end in joined:
+        while begin < end and data[begin] & 0xC0 == 0x80:
+            begin += 1
+        while begin < end < len(data) and data[end] & 0xC0 == 0x80:
+            end -= 1
+        if begin < end:
+            yield begin, end
