@@ -1,18 +1,19 @@
 """License scan: MinHash bands over overlapping windows, then exact shingle containment.
 
 A template of m word shingles belongs to the class c, the power of two with c/2 < m <= c. Texts are
-cut into windows of 2c shingles that start every c, so each occurrence of a template lies wholly in
-some window, whose Jaccard similarity with it is then at least m / 2c. Each band is one MinHash
-value; a class has so many bands that such a window shares a band with chance at least ``SURE``. Only
-those windows are verified: the share of the template's shingles that the window holds must reach
-``CONTAINED``. Shingles have five words, or all words of a shorter template.
+cut into windows of 2c shingles that start every c, so each occurrence of at most c shingles lies
+wholly in some window. A window that holds the share s of a template's shingles has a Jaccard
+similarity with it of s m / (2c + (1 - s) m) at least. Each band is one MinHash value; a class has so
+many bands that a window with the share ``CONTAINED`` shares one with chance at least ``SURE``, and one
+with the whole template is found all the surer. Only those windows are verified: the share of the
+template's shingles that the window holds must reach ``CONTAINED``. Shingles have five words, or all words of a shorter template.
 
 The templates are a parameter; by default they are ``NOTICES`` and the bodies, headers, usual notices and
 SPDX tags of ``license_templates.json``. Their bands are held by the tasks, behind a bound of ``TEMPLATES``.
 Documents are not shuffled.
 
-Defined results: null and empty texts give no rows, repeated rows repeat theirs, a template without
-a word is ignored, an empty table gives no rows, other columns are ignored.
+Defined results: null and empty texts give no rows, repeated rows repeat theirs, a null ``doc_id``
+stays null, a template without a word is ignored, an empty table gives no rows, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import small_batches, worker_cache
 from .words import WordTable, bare, rolling
 
 SHINGLE = 5
@@ -79,9 +80,10 @@ def catalogue() -> dict[str, str]:
 class Bands:
     """Band values of the templates of one shingle length and one class."""
 
-    def __init__(self, size: int, step: int, names: list[str], shingles: list[np.ndarray]):
+    def __init__(self, size: int, step: int, names: list[str], shingles: list[np.ndarray], contained: float):
         self.size, self.step, self.names, self.shingles = size, step, names, shingles
-        least = min(len(s) for s in shingles) / (2 * step)
+        m = min(len(s) for s in shingles)
+        least = contained * m / (2 * step + (1 - contained) * m)
         count = math.ceil(math.log(1 - SURE) / math.log(1 - least))
         rng = np.random.default_rng(1000 * size + step)
         self.factors = rng.integers(0, 1 << 31, count, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -119,7 +121,7 @@ def _short(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(32)).astype(np.uint32)
 
 
-def templates(notices: dict[str, str]) -> list[Bands]:
+def templates(notices: dict[str, str], contained: float = CONTAINED) -> list[Bands]:
     """Bands of all templates, by shingle length and class."""
     if len(notices) > TEMPLATES:
         raise ValueError(f"more than {TEMPLATES} templates")
@@ -132,7 +134,7 @@ def templates(notices: dict[str, str]) -> list[Bands]:
             names, all_shingles = groups.setdefault((size, 1 << (len(shingles) - 1).bit_length()), ([], []))
             names.append(name)
             all_shingles.append(shingles)
-    return [Bands(size, step, *x) for (size, step), x in sorted(groups.items())]
+    return [Bands(size, step, *x, contained) for (size, step), x in sorted(groups.items())]
 
 
 def _scan(texts: list[str | None], bands: list[Bands], contained: float) -> list[tuple[int, str, int, int, float]]:
@@ -184,7 +186,7 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, contained: floa
 
     Overlapping occurrences of a template are one row, with the largest containment.
     """
-    bands = templates(catalogue() if notices is None else notices)
+    bands = templates(catalogue() if notices is None else notices, contained)
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -197,4 +199,4 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, contained: floa
                 yield pa.RecordBatch.from_arrays([some.column(0).take(arrays[0]), *arrays[1:]], names=["doc_id", "license", "first_word", "last_word", "containment"])
             _table().trim()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, FOUND)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, FOUND)

@@ -1,13 +1,15 @@
 """Toxicity: a logistic classifier regularised by counterfactual identity swaps.
 
 The features are the words of a text with weight ``1 + log(count)``. The classifier is fitted on at
-most ``TRAIN`` labelled rows (those of least hash), on the words whose class counts differ most there.
+most ``TRAIN`` labelled documents (those of least hash) with ``TRAIN_BYTES`` of text together, on the
+words whose class counts differ most there.
 Besides L2, the loss has ``FAIR`` times the mean squared change of the logit when the identity terms
 of a labelled sentence are swapped for another group's; a term by itself then carries no weight, and
 neutral mentions of a group aren't marked.
 
-Defined results: null, empty and unknown texts get the score of the intercept; labels that are null
-or lack a document teach nothing; without both classes the score is the labels' share (0 without
+Defined results: null, empty and unknown texts get the score of the intercept; labels that are null,
+contradict each other or lack a document teach nothing; of documents that share an id one text
+teaches, that of the smallest hash; a null ``doc_id`` teaches nothing and stays null; without both classes the score is the labels' share (0 without
 labels); repeated rows all get a row; an empty table gives no rows; other columns are ignored.
 """
 
@@ -18,14 +20,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, worker_cache
+from .common import slices, small_batches, worker_cache
 from .words import WordTable, bare
 
 #: Bound of the labelled rows that the fit uses, words that it may weigh, and strengths.
 TRAIN = 12_000
+TRAIN_BYTES = 64 << 20
 FEATURES = 4_096
 RIDGE = 1.0
 FAIR = 10.0
@@ -157,12 +160,18 @@ def held_out(doc_id: F.Column, modulus: int = 5) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> Model:
-    """A model of the labelled rows that are not held out, or of ``train`` of them."""
+def learn(docs: DataFrame, labels: DataFrame, train: int = TRAIN, train_bytes: int = TRAIN_BYTES) -> Model:
+    """A model of the labelled documents that are not held out, or of the first of them within both bounds."""
     usable = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
-    ids = docs.select("doc_id").distinct()
-    picked = usable.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(train)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("toxic", "text")
+    usable = usable.groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    texts = docs.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), size.alias("bytes"))).alias("t"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    picked = usable.join(texts, "doc_id").orderBy(*order).limit(train)
+    picked = picked.withColumn("upto", F.sum("t.bytes").over(Window.orderBy(*order))).where(F.col("upto") <= train_bytes)
+    picked = picked.select(F.col("doc_id").alias("of_doc"), F.col("t.hash").alias("of_hash"), "toxic")
+    rows = small_batches(docs).select("doc_id", "text").join(F.broadcast(picked), (F.col("doc_id") == F.col("of_doc")) & (F.xxhash64("text") == F.col("of_hash")))
+    rows = rows.dropDuplicates(["doc_id"]).select("toxic", "text")
     table = rows.mapInArrow(_bags, "toxic int, words array<long>, weights array<float>").toArrow()
     words = [np.asarray(x, dtype=np.int64).view(np.uint64) for x in _parts(table["words"])]
     values = [np.asarray(x, dtype=np.float64) for x in _parts(table["weights"])]
@@ -186,7 +195,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "score"])
             _table().trim()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, "doc_id long, score double")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
