@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import licenses, queries
 from tidemark.llm.words import bare
 
@@ -68,3 +70,27 @@ def test_headers_tell_versions_and_kinds(documents):
     folder, df = documents([(k, header.format(a, b)) for k, (a, b, _) in enumerate(cases)])
     got = {(r.doc_id, r.license) for r in licenses.scan(df).collect() if r.license.endswith("-or-later-header")}
     assert got == {(k, f"{name}-or-later-header") for k, (_, _, name) in enumerate(cases)}
+
+
+def test_recall_of_occurrences_that_hold_four_fifths(documents):
+    """Templates of all classes with words changed so that just 0.8 of the shingles or more are left, anywhere in a text."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    notices = {f"t{n}": " ".join(word() for _ in range(n)) for n in (20, 31, 36, 64, 69, 120, 250)}
+    docs, want = [], {}
+    for k in range(420):
+        name = rng.choice(sorted(notices))
+        words = notices[name].split()
+        for _ in range(max(1, (len(words) - 4) // 25)):  # a changed word costs five shingles at most
+            words[rng.randrange(len(words))] = word()
+        own = {tuple(notices[name].split()[p : p + 5]) for p in range(len(words) - 4)}
+        kept = len(own & {tuple(words[p : p + 5]) for p in range(len(words) - 4)}) / len(own)
+        docs.append((k, " ".join([*(word() for _ in range(rng.randrange(300))), *words, *(word() for _ in range(rng.randrange(300)))])))
+        if kept >= licenses.CONTAINED:
+            want[k] = (name, kept)
+    folder, df = documents(docs)
+    clash = df.withColumn("license", F.lit("clash")).withColumn("containment", F.lit("x"))
+    got = {r.doc_id: (r.license, r.containment) for r in licenses.scan(clash, notices).collect()}
+    assert len(want) > 300 and not set(got) - set(want)
+    assert sum(k in got for k in want) >= 0.995 * len(want)
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in got)

@@ -64,3 +64,24 @@ def test_degenerate_labels(documents, spark):
     ones = spark.createDataFrame([(1, 1, 1), (2, 1, 1)], "doc_id long, quality int, toxic int")
     assert all(r.score > 1 - 1e-6 for r in toxicity.classify(df, ones).collect())
     assert toxicity.classify(df.limit(0), ones).count() == 0
+
+
+def test_the_training_rows_keep_both_bounds(documents, spark, monkeypatch):
+    """Ids and whole rows that repeat teach once; contradicting labels and a null id not at all."""
+    rows = [(k, f"text number {k} " + "moron " * (k % 2)) for k in range(1, 41)]
+    folder, df = documents(rows + [(2, "another text of two")] * 30 + [rows[3]] * 50 + [(None, "no id")])
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(1, 41)] + [(6, 1, 1), (4, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda words, values, y, **settings: seen.append(len(words)))
+    usable = [k for k in range(1, 41) if k != 6 and zlib.crc32(str(k).encode()) % 5]
+    for settings, want in (({}, len(usable)), ({"train": 2}, 2), ({"train_bytes": 60}, None), ({"train_bytes": 0}, 0)):
+        toxicity.learn(df, labels, **settings)
+        assert seen[-1] == want if want is not None else 0 < seen[-1] <= 4
+
+
+def test_extra_columns_with_clashing_names(documents, spark):
+    rows, labels = tables(spark, 300)
+    folder, df = documents(rows)
+    extra = df.withColumn("toxic", F.lit("clash")).withColumn("hash", F.lit(1)).withColumn("score", F.lit("x")).withColumn("upto", F.lit(0))
+    got = {r.doc_id: round(r.score, 9) for r in toxicity.classify(extra, labels.withColumn("text", F.lit("clash"))).collect()}
+    assert got == {r.doc_id: round(r.score, 9) for r in toxicity.classify(df, labels).collect()}
