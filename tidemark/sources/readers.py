@@ -3,13 +3,19 @@
 Files are the unit of reading; a day or an hour is one. Lines keep their file and number, and what a
 line inherits from earlier ones (epoch, band, header) is the last non-null value of a window over its
 file, so files are parsed side by side and nothing passes through the driver. ``gzip`` files are
-unpacked by Spark. Times are ``timestamp_ntz`` in UTC; bad numbers are null.
+unpacked by Spark. Observation records are cut in numpy, file by file. Times are ``timestamp_ntz`` in UTC; bad numbers are null.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import calendar
+import re
+from collections.abc import Iterator, Mapping
+from datetime import datetime
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +33,9 @@ def words(line: Column) -> Column:
 
 
 def double(text: Column) -> Column:
-    """A finite number or null."""
-    found = F.trim(text).try_cast("double")
+    """A finite number or null; what begins like no number is not cast, as a failing cast is slow."""
+    part = F.trim(text)
+    found = F.when(part.rlike("^[-+.0-9]"), part.try_cast("double"))
     return F.when(F.abs(found) < float("inf"), found)
 
 
@@ -140,22 +147,99 @@ def observation_types(lines: DataFrame) -> DataFrame:
     return found.select(F.col("file").alias("of_file"), F.col("system").alias("of_system"), F.slice("t", 1, F.coalesce("n", F.size("t"))).alias("types"))
 
 
+OBSERVATIONS = "file string, epoch timestamp_ntz, sv string, obs string, value double, lli int, ssi int"
+_RECORD = re.compile(rb"[A-Z][ \d]\d")
+#: Records of an Arrow batch of values.
+RECORDS = 8_192
+
+
+def _header_types(head: bytes) -> dict[str, list[str]]:
+    """Observables of each system, continuation lines included, cut to the number that the header gives."""
+    found: dict[str, list[str]] = {}
+    count: dict[str, int] = {}
+    system = ""
+    for line in head.decode("latin-1").splitlines():
+        if line[60:80].strip() != "SYS / # / OBS TYPES":
+            continue
+        if line[:1].strip():
+            system = line[0]
+            if line[3:6].strip().isdigit():
+                count[system] = int(line[3:6])
+        found.setdefault(system, []).extend(line[6:60].split())
+    return {k: v[: count.get(k, len(v))] for k, v in found.items()}
+
+
+def _epoch_micros(words: list[bytes]) -> int | None:
+    """Microseconds since 1970 of the words of an epoch line, half a microsecond up."""
+    try:
+        year, month, day, hour, minute = (int(w) for w in words[:5])
+        second = int(Decimal(words[5].decode()).quantize(Decimal("0.000001"), ROUND_HALF_UP).scaleb(6))
+        return (calendar.timegm((year, month, day, hour, minute, 0)) if datetime(year, month, day, hour, minute) else 0) * 1_000_000 + second
+    except (ValueError, IndexError, ArithmeticError):
+        return None
+
+
+def _values(lines: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values, marks) of records of ``size`` fields: 14 characters of number, two of marks; a bad number is NaN."""
+    width = 3 + 16 * size
+    cells = np.frombuffer(b"".join(x.ljust(width)[:width] for x in lines), dtype=np.uint8).reshape(len(lines), width)[:, 3:].reshape(-1, 16)
+    numbers = cells[:, :14].copy()
+    numbers[(numbers == 32).all(axis=1), :3] = np.frombuffer(b"nan", dtype=np.uint8)
+    text = numbers.view("S14").ravel()
+    try:
+        values = text.astype(np.float64)
+    except ValueError:
+        values = np.array([_number(x) for x in text.tolist()])
+    return values, cells[:, 14:].astype(np.int16) - 48
+
+
+def _number(text: bytes) -> float:
+    try:
+        return float(text)
+    except ValueError:
+        return float("nan")
+
+
+def _observation_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            head, found, body = text.as_buffer().to_pybytes().partition(b"END OF HEADER")
+            types = _header_types(head)
+            held: dict[str, tuple[list[bytes], list[int]]] = {}
+            epoch, used = None, False
+            for line in body.split(b"\n")[1:] if found else ():
+                if line[:1] == b">":
+                    words = line[1:].split()
+                    epoch = _epoch_micros(words)
+                    used = epoch is not None and (len(words) < 7 or not words[6].isdigit() or int(words[6]) <= 1)
+                elif used and _RECORD.match(line):
+                    system = chr(line[0])
+                    if system in types:
+                        rows = held.setdefault(system, ([], []))
+                        rows[0].append(line.rstrip(b"\r"))
+                        rows[1].append(epoch)
+                        if len(rows[0]) == RECORDS:
+                            yield _observation_rows(name, types[system], *held.pop(system))
+            for system, rows in held.items():
+                yield _observation_rows(name, types[system], *rows)
+
+
+def _observation_rows(name: str, types: list[str], lines: list[bytes], epochs: list[int]) -> pa.RecordBatch:
+    values, marks = _values(lines, len(types))
+    good = np.flatnonzero(np.isfinite(values))
+    record, field = np.divmod(good, len(types))
+    svs = pa.array([x[:3].replace(b" ", b"0").decode() for x in lines])
+    digit = lambda k: pa.array(marks[good, k].astype(np.int32), mask=(marks[good, k] < 0) | (marks[good, k] > 9))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([name]).take(pa.array(np.zeros(len(good), dtype=np.int32))), pa.array(np.array(epochs, dtype="datetime64[us]")[record]), svs.take(pa.array(record)), pa.array(types).take(pa.array(field)), pa.array(values[good]), digit(0), digit(1)],
+        names=["file", "epoch", "sv", "obs", "value", "lli", "ssi"])
+
+
 def observations(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(file, epoch, sv, obs, value, lli, ssi)`` of observation files, a row for each value that is there.
 
-    Records of event epochs (flag above 1) are not observations and go.
+    Records have no marks of their own, so a file is read in order, in one task, and its fixed fields
+    are cut and cast as one array. Records of event epochs (flag above 1) are not observations and go.
     """
-    lines = file_lines(spark, path)
-    label, mark = F.trim(F.substring("line", 61, 20)), F.col("line").startswith(">")
-    parts = words(F.substring("line", 2, 80))
-    body = lines.select(
-        "file", "line", carried(F.when(label == "END OF HEADER", True)).alias("in_body"),
-        carried(F.when(mark, F.struct(epoch(parts).alias("epoch"), F.get(parts, F.lit(6)).try_cast("int").alias("flag")))).alias("at"))
-    records = body.where(F.col("in_body") & (F.coalesce("at.flag", F.lit(0)) <= 1) & F.col("line").rlike(r"^[A-Z][ \d]\d"))
-    joined = records.join(observation_types(lines), (F.col("file") == F.col("of_file")) & (F.substring("line", 1, 1) == F.col("of_system")))
-    values = joined.select("file", "at.epoch", "line", F.posexplode("types").alias("k", "obs"))
-    field = lambda start, n: F.substring(F.col("line"), F.lit(start) + 16 * F.col("k"), F.lit(n))
-    digit = lambda start: F.trim(field(start, 1)).try_cast("int")
-    out = values.select("file", "epoch", F.replace(F.substring("line", 1, 3), F.lit(" "), F.lit("0")).alias("sv"), "obs",
-                        double(field(4, 14)).alias("value"), digit(18).alias("lli"), digit(19).alias("ssi"))
-    return out.where("value is not null")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").cast("binary").alias("text"))
+    return whole.mapInArrow(_observation_batches, OBSERVATIONS)
