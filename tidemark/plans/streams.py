@@ -17,7 +17,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.file_stream(spark, sf_dir, table(spark, sf_dir, "events").schema, "events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
 
 
-def _folder(spark: SparkSession, label: str) -> str:
+def new_folder(spark: SparkSession, label: str) -> str:
     """A new folder in the shared one of the session; a local run without one gets a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
@@ -34,7 +34,7 @@ def _seconds(c: str) -> F.Column:
 @query("select floor(((epoch_us(ts) - epoch_us(timestamp '2024-01-01')) // 60000000) / 60)::bigint * 3600 as start, event_type, count(*) as n, round(avg(value), 6) as mean from events group by all")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = st.tumbling(_events(spark, sf_dir), "at", "1 hour", "2 hours", ["event_type"], [F.count("*").alias("n"), F.avg("value").alias("mean")])
-    rows = st.latest(st.run_to_table(windows, _folder(spark, "tumbling"), "update"), ["window_start", "event_type"])
+    rows = st.latest(st.run_to_table(windows, new_folder(spark, "tumbling"), "update"), ["window_start", "event_type"])
     return rounded(rows.select(_seconds("window_start").alias("start"), "event_type", "n", "mean"))
 
 
@@ -45,7 +45,7 @@ _ARCS = """with d as (select user_id, epoch_us(ts) - epoch_us(timestamp '2024-01
 @query(_ARCS + " select user_id::varchar as series, arc::bigint as arc, min(t) as first_us, max(t) as last_us, count(*) as n from g group by all")
 def stream_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir).withColumn("t", micros("ts"))
-    rows = st.run_to_table(st.arcs(events, "user_id", "t", 43_200_000_000), _folder(spark, "arcs"), "update")
+    rows = st.run_to_table(st.arcs(events, "user_id", "t", 43_200_000_000), new_folder(spark, "arcs"), "update")
     return st.latest(rows.drop("closed"), ["series", "arc"])
 
 
