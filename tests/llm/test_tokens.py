@@ -74,13 +74,12 @@ def test_orc_query_and_round_trip(documents, tmp_path):
 
 
 def test_a_small_cache_changes_no_id(monkeypatch):
-    monkeypatch.setattr(tokens, "CUT_BYTES", 4_000)
-    monkeypatch.setattr(tokens, "WORD_BYTES", 4_000)
+    monkeypatch.setattr(tokens, "CUTS", 20)
+    monkeypatch.setattr(tokens, "WORDS", 20)
     encoder, counter = tokens.WordIds(WORD), tokens.TieredCounts(BYTE)
     for t in texts():
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == ids(WORD, t) and counter.count(t) == len(ids(BYTE, t))
-    for cache in (encoder, encoder.words, counter.cold):
-        assert cache.bytes <= cache.half + 1_000 and cache.old
+    assert max(map(len, (encoder, encoder.words, counter.cold))) <= 20
 
 
 def test_clashing_columns_null_ids_and_long_texts(documents, tmp_path):
@@ -95,6 +94,27 @@ def test_clashing_columns_null_ids_and_long_texts(documents, tmp_path):
     assert sorted((str(r.doc_id), r.n_tokens) for r in counts) == sorted((str(d), len(ids(BYTE, t))) for d, t in rows)
 
 
+def test_orc_files_have_row_indexes_bloom_filters_and_run_lengths(documents, tmp_path):
+    folder, df = documents([(k, f"some text {k} " * 40) for k in range(12_000)])
+    spark, path = df.sparkSession, tmp_path / "orc"
+    token_orc.write(df.coalesce(1), f"{path}", WORD)
+    orc, stripes = spark._jvm.org.apache.orc, 0
+    for part in path.glob("*.orc"):
+        reader = orc.OrcFile.createReader(spark._jvm.org.apache.hadoop.fs.Path(str(part)), orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+        rows = reader.rows()
+        for stripe in reader.getStripes():
+            stripes += 1
+            footer = rows.readStripeFooter(stripe)
+            streams = {(s.getKind().toString(), s.getColumn()) for s in footer.getStreamsList()}
+            assert {("ROW_INDEX", c) for c in range(6)} <= streams and ("BLOOM_FILTER_UTF8", 3) in streams  # column 3 is doc_id
+            assert {footer.getColumns(c).getKind().toString() for c in range(1, 7)} == {"DIRECT_V2"}
+        rows.close()
+        assert reader.getRowIndexStride() == 5000
+    assert stripes >= 1
+    ids_read = [r.doc_id for r in token_orc.read(spark, str(path)).orderBy("part", "local_start").select("doc_id").collect()]
+    assert ids_read == list(range(12_000))
+
+
 def test_counts_query(documents):
     rows = table() + [(3, ODD[3]), (None, "no id")]
     folder, df = documents(rows)

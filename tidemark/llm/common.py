@@ -11,8 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 T = TypeVar("T")
-K = TypeVar("K")
-V = TypeVar("V")
 #: Bytes of a row group of stored tables; a writing task holds one in memory.
 ROW_GROUP = 32 << 20
 
@@ -35,31 +33,6 @@ def worker_cache(key: object, make: Callable[[], T]) -> T:
     return _held[key]
 
 
-class Recent(dict[K, V]):
-    """A cache bounded in bytes, in two generations of half of them each.
-
-    A full generation becomes the old one; what is asked for again comes back from it, so frequent
-    entries stay and rare ones go. The dictionary itself is the young generation.
-    """
-
-    #: Bytes of an entry besides its characters and value: table slot and object heads.
-    ENTRY = 170
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.half, self.bytes = most // 2, 0
-        self.old: dict[K, V] = {}
-
-    def keep(self, key: K, value: V, size: int) -> V:
-        self.bytes += self.ENTRY + size
-        if self.bytes > self.half:
-            self.old = dict(self)
-            self.clear()
-            self.bytes = self.ENTRY + size
-        self[key] = value
-        return value
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of a few rows, so that few texts are Python objects at a time."""
     for batch in batches:

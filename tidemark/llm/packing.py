@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,30 +40,28 @@ BLOCK_PIECES = 4096
 FULL_SHIFT = 9
 #: Sequences of an Arrow batch that leaves a block.
 OUT_ROWS = 256
-PIECES = "uid long, doc_id long, piece int, start long, tokens array<int>"
+PIECES = "uid long, doc_id long, piece int, start long, tokens binary"
 SEQUENCES = "sequence_id long, tokens array<int>, pieces array<struct<doc_id: long, piece: int, start: long, offset: int, length: int>>"
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
-    """``(uid, doc_id, piece, start, tokens)``: the pieces of every document with their ids."""
+    """``(uid, doc_id, piece, start, tokens)``: the pieces of every document with their ids as little-endian 32-bit bytes."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, uid = word_ids(tokenizer_path), TaskContext.get().partitionId() << 36
         for some in slices(batches):
             ids = [encoder.encode(x) + end for x in some.column(1).to_pylist()]
-            doc, piece, start, length = [], [], [], []
+            doc, piece, start, part = [], [], [], []
             for d, x in enumerate(ids):
                 n = len(x) // 4
                 for p, s in enumerate(range(0, n, size)):
                     doc.append(d)
                     piece.append(p)
                     start.append(s)
-                    length.append(min(size, n - s))
-            ends = np.r_[0, np.cumsum(length)].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+                    part.append(x[4 * s : 4 * (s + size)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(uid, uid + len(doc))), some.column(0).take(pa.array(doc, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), lists],
+                [pa.array(np.arange(uid, uid + len(doc))), some.column(0).take(pa.array(doc, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(part, pa.binary())],
                 names=["uid", "doc_id", "piece", "start", "tokens"],
             )
             uid += len(doc)
@@ -207,8 +206,8 @@ def _pack_block(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
     """The sequences of one block of pieces, in batches of few rows."""
     table = pa.Table.from_batches(list(batches))
     table = table.take(np.argsort(table["uid"].to_numpy(), kind="stable")).combine_chunks()
-    tokens, block, uid = table["tokens"].combine_chunks(), int(table["block"][0].as_py()), table["uid"].to_numpy()
-    lengths = np.diff(tokens.offsets.to_numpy()).astype(np.int64)
+    block, uid = int(table["block"][0].as_py()), table["uid"].to_numpy()
+    lengths = pc.binary_length(table["tokens"]).to_numpy().astype(np.int64) // 4
     if block < 0:
         bins, names = [[k] for k in range(len(uid))], -1 - uid
     else:
@@ -225,7 +224,7 @@ def _pack_block(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
         pieces = pa.StructArray.from_arrays(
             [part["doc_id"].combine_chunks(), part["piece"].combine_chunks(), part["start"].combine_chunks(), pa.array(offset.astype(np.int32)), pa.array(sizes.astype(np.int32))],
             names=["doc_id", "piece", "start", "offset", "length"])
-        values = part["tokens"].combine_chunks().flatten()
+        values = pa.array(np.frombuffer(b"".join(part["tokens"].to_pylist()), dtype="<i4"))
         yield pa.RecordBatch.from_arrays(
             [pa.array(names[k : k + OUT_ROWS]), pa.ListArray.from_arrays(pa.array(upto[counts].astype(np.int32)), values), pa.ListArray.from_arrays(pa.array(counts.astype(np.int32)), pieces)],
             names=["sequence_id", "tokens", "pieces"])
@@ -234,7 +233,7 @@ def _pack_block(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
 def sequences(pieces: DataFrame, rows: int, size: int = SIZE, block_pieces: int = BLOCK_PIECES) -> DataFrame:
     """``(sequence_id, tokens, pieces)`` of the pieces of ``rows`` documents, packed block by block."""
     blocks = max(1, round(rows / block_pieces))
-    short = F.size("tokens") < size
+    short = F.octet_length("tokens") < 4 * size
     dealt = pieces.withColumn("block", F.when(short, F.pmod(F.xxhash64("uid"), F.lit(blocks))).otherwise(-1 - F.shiftright("uid", FULL_SHIFT)))
 
     def pack_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

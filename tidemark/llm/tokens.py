@@ -13,11 +13,11 @@ from itertools import chain
 
 from tokenizers import Tokenizer, pre_tokenizers
 
-from .common import Recent, worker_cache
+from .common import worker_cache
 
-#: Bytes of a worker's cache of text cuts and of its cache of words; the longest cut that they hold.
-CUT_BYTES = 12 << 20
-WORD_BYTES = 24 << 20
+#: Entries of a worker's caches before they start anew, some 200 bytes each; the longest text cut that they hold.
+CUTS = 240_000
+WORDS = 200_000
 CACHE_CHARS = 64
 #: Marks that may end a word and form one pre-token there.
 _TAIL = ".,;:!?"
@@ -31,34 +31,36 @@ def _byte_level() -> dict[int, str]:
     return {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(256)}
 
 
-class WordIds(Recent[str, bytes]):
+class WordIds(dict):
     """Ids of whole texts for a tokenizer that lower-cases and drops white space.
 
     Its pre-tokens never cross white space, so a text's ids are those of its blank-separated chunks
-    in turn. The dictionary maps recent chunks to ids as little-endian unsigned 32-bit bytes; behind
-    it are recent words, so that a word with another mark is not encoded again.
+    in turn. The dictionary maps chunks to ids as little-endian unsigned 32-bit bytes; behind it
+    are words, so that a word with another mark is not encoded again.
     """
 
     def __init__(self, path: str):
-        super().__init__(CUT_BYTES)
+        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.spelling = _byte_level()
-        self.words: Recent[str, bytes] = Recent(WORD_BYTES)
+        self.words: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        found = self.old.get(chunk)
-        if found is None:
-            core = chunk.rstrip(_TAIL)
-            if not chunk:
-                found = b""
-            elif core.isalpha() and self._plain(core):
-                found = self._word(core)
-                if len(core) < len(chunk):
-                    found += self._word(chunk[len(core):])
-            else:
-                found = array("I", self.library.encode(chunk, add_special_tokens=False).ids).tobytes()
-        return found if len(chunk) > CACHE_CHARS else self.keep(chunk, found, len(chunk) + len(found))
+        core = chunk.rstrip(_TAIL)
+        if not chunk:
+            found = b""
+        elif core.isalpha() and self._plain(core):
+            found = self._word(core)
+            if len(core) < len(chunk):
+                found += self._word(chunk[len(core):])
+        else:
+            found = array("I", self.library.encode(chunk, add_special_tokens=False).ids).tobytes()
+        if len(chunk) <= CACHE_CHARS:
+            if len(self) >= CUTS:
+                self.clear()
+            self[chunk] = found
+        return found
 
     @staticmethod
     def _plain(core: str) -> bool:
@@ -66,14 +68,14 @@ class WordIds(Recent[str, bytes]):
         return core.islower() and (core.isascii() or max(core) < "Ā")
 
     def _word(self, word: str) -> bytes:
-        words = self.words
-        found = words.get(word)
-        if found is not None:
-            return found
-        found = words.old.get(word)
+        found = self.words.get(word)
         if found is None:
             found = array("I", [t.id for t in self.model.tokenize(word.translate(self.spelling))]).tobytes()
-        return found if len(word) > CACHE_CHARS else words.keep(word, found, len(word) + len(found))
+            if len(word) <= CACHE_CHARS:
+                if len(self.words) >= WORDS:
+                    self.words.clear()
+                self.words[word] = found
+        return found
 
     def encode(self, text: str | None) -> bytes:
         """Ids of ``text`` (null: none) as little-endian unsigned 32-bit bytes."""
@@ -104,7 +106,7 @@ class TieredCounts(dict):
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.spelling = _byte_level()
-        self.cold: Recent[str, int] = Recent(WORD_BYTES)
+        self.cold: dict[str, int] = {}
         self.newline = self.run("\n")
 
     def __missing__(self, word: str) -> int:
@@ -112,14 +114,14 @@ class TieredCounts(dict):
 
     def run(self, unit: str) -> int:
         """Tokens of a run: white space, then no white space; either may be empty."""
-        cold = self.cold
-        found = cold.get(unit)
-        if found is not None:
-            return found
-        found = cold.old.get(unit)
+        found = self.cold.get(unit)
         if found is None:
             found = self._encode(unit)
-        return found if len(unit) > CACHE_CHARS else cold.keep(unit, found, len(unit))
+            if len(unit) <= CACHE_CHARS:
+                if len(self.cold) >= WORDS:
+                    self.cold.clear()
+                self.cold[unit] = found
+        return found
 
     def _encode(self, unit: str) -> int:
         blank, word = ("Ġ", unit[1:]) if unit[:1] == " " else ("", unit)
