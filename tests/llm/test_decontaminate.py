@@ -127,7 +127,7 @@ def test_any_white_space_parts_words_on_both_paths(spark):
     ]
     df, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = {(10, 1), (13, 1), (11, 2), (15, 2), (12, 3)}
-    for extra in ({}, {"broadcast": 0}, {"broadcast": 0, "bitmap": 64}):
+    for extra in ({}, {"strings": 0}, {"broadcast": 0}, {"broadcast": 0, "bitmap": 64}):
         assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, benchmark, **extra).collect()} == want
 
 

@@ -48,6 +48,8 @@ WINDOW = 5
 SHARE = 0.8
 #: Most item windows that tasks hold, 8 bytes each and as much for each of their literal words.
 BROADCAST = 1_000_000
+#: Most literal words that tasks hold as words; more are held as hashes.
+STRINGS = 200_000
 #: Bits of the bitmap of item windows beyond that, a power of two.
 BITMAP = 1 << 27
 #: Unit words.
@@ -68,35 +70,47 @@ def _hash(word: str) -> int:
 
 
 _NAME = np.uint64(_hash("<name>"))
+_UNIT = _hash("<unit>")
 _NONE = np.uint64(0)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Templates:
-    """Templates of texts; with a vocabulary (ascending hashes), other literal words are all one word that matches none."""
+    """Templates of texts; with a vocabulary (words, or ascending hashes), other literal words are all one word that matches none."""
 
-    def __init__(self, vocabulary: array | None = None):
+    def __init__(self, vocabulary: frozenset[str] | array | None = None):
         self.vocabulary = vocabulary
         self.table = WordTable(self.describe, (np.uint64, bool, bool, bool))
 
     def describe(self, word: str) -> tuple:
         """(hash of the literal or typed word, typed, capitalised, ends a sentence)"""
-        core = word.strip(MARKS)
-        low = core.lower() or word
-        ends = word.rstrip("\"')]}»”’")[-1:] in ".!?:;"
-        if low in UNITS:
-            return _hash("<unit>"), True, False, ends
-        if not low.isalpha():
-            if _NUMBER.fullmatch(low):
-                return _hash("<num>"), True, False, ends
-            if (m := _MEASURE.fullmatch(low)) and m[2] in UNITS:
-                return _hash("<num><unit>"), True, False, ends
+        ends = capital = False
+        if word.isalpha():
+            low = word.lower()
+            if low in UNITS:
+                return _UNIT, True, False, False
+            capital = low != word and word[:1].isupper() and word[1:].islower()
+        else:
+            core = word.strip(MARKS)
+            low = core.lower() or word
+            ends = word.rstrip("\"')]}»”’")[-1:] in ".!?:;"
+            if low in UNITS:
+                return _UNIT, True, False, ends
+            if not low.isalpha():
+                if _NUMBER.fullmatch(low):
+                    return _hash("<num>"), True, False, ends
+                if (m := _MEASURE.fullmatch(low)) and m[2] in UNITS:
+                    return _hash("<num><unit>"), True, False, ends
+            capital = core[:1].isupper() and core[1:].islower()
+        known = self.vocabulary
+        if isinstance(known, frozenset):
+            return _hash(low) if low in known else 0, False, capital, ends
         literal = _hash(low)
-        if self.vocabulary is not None:
-            at = bisect_left(self.vocabulary, literal)
-            if at == len(self.vocabulary) or self.vocabulary[at] != literal:
+        if known is not None:
+            at = bisect_left(known, literal)
+            if at == len(known) or known[at] != literal:
                 literal = 0
-        return literal, False, core[:1].isupper() and core[1:].islower(), ends
+        return literal, False, capital, ends
 
     def of(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Words, template hashes, which of them are placeholders and which may also be names."""
@@ -168,29 +182,30 @@ class Wanted:
     def __init__(self, hashes: np.ndarray | None, bitmap: np.ndarray | None):
         self.hashes, self.bitmap = hashes, bitmap
         if hashes is not None:
-            self.bitmap = np.zeros(1 << 13, dtype=np.uint8)
-            np.bitwise_or.at(self.bitmap, (hashes & np.uint64(0xFFFF)) >> np.uint64(3), np.uint8(1) << (hashes & np.uint64(7)).astype(np.uint8))
-        self.mask = np.uint64(8 * len(self.bitmap) - 1)
+            self.low = np.zeros(1 << 16, dtype=bool)
+            self.low[hashes & np.uint64(0xFFFF)] = True
+        else:
+            self.mask = np.uint64(8 * len(bitmap) - 1)
 
     def among(self, hashes: np.ndarray) -> np.ndarray:
         """Places of the hashes that may be item windows; exactly those, if all hashes are held."""
-        low = hashes & self.mask
-        at = np.flatnonzero(self.bitmap[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
         if self.hashes is None:
-            return at
-        if not len(self.hashes):
+            low = hashes & self.mask
+            return np.flatnonzero(self.bitmap[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
+        at = np.flatnonzero(self.low[hashes & np.uint64(0xFFFF)])
+        if not len(at) or not len(self.hashes):
             return at[:0]
         place = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
         return at[self.hashes[place] == hashes[at]]
 
 
-def _windows(batches: Iterator[pa.RecordBatch], sizes: list[int], wanted: Wanted | None, vocabulary: array | None, item: bool) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch], sizes: list[int], wanted: Wanted | None, vocabulary: frozenset[str] | array | None, item: bool) -> Iterator[pa.RecordBatch]:
     """Windows of texts: of the given sizes, the first of them the full one; only wanted hashes; not all placeholders.
 
     An item that is shorter than the full size is one window of its own size. ``slots`` has a value
     for each word of the window that is or may be a placeholder.
     """
-    templates = worker_cache(("templates", None if vocabulary is None else vocabulary.tobytes()), lambda: Templates(vocabulary))
+    templates = worker_cache(("templates", vocabulary if vocabulary is None or isinstance(vocabulary, frozenset) else vocabulary.tobytes()), lambda: Templates(vocabulary))
     for batch in slices(batches):
         ids, keys, texts = (batch.column(k).to_pylist() for k in range(3))
         out: tuple[list, list, list, list, list] = ([], [], [], [], [])
@@ -221,17 +236,16 @@ def _windows(batches: Iterator[pa.RecordBatch], sizes: list[int], wanted: Wanted
 
 
 def _literals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(number of words, hash of a literal word) of each item, null for an item without one."""
+    """(number of words, a literal word) of each item, null for an item without one."""
     for batch in slices(batches):
         templates = Templates()
-        rows: set[tuple[int, int | None]] = set()
+        rows: set[tuple[int, str | None]] = set()
         for text in batch.column(0).to_pylist():
             if text and (words := text.split()):
-                hashes = {h for h, typed, _, _ in map(templates.describe, set(words)) if not typed}
-                rows.update((len(words), h) for h in hashes or {None})
+                known = {bare(w) for w in set(words) if not templates.describe(w)[1]}
+                rows.update((len(words), w) for w in known or {None})
         n, literal = zip(*rows, strict=True) if rows else ((), ())
-        signed = [None if h is None else h - (h >> 63 << 64) for h in literal]
-        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(signed, pa.int64())], names=["n", "literal"])
+        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(literal, pa.string())], names=["n", "literal"])
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
@@ -261,15 +275,15 @@ def _bitmap(items: DataFrame, bits: int) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, window: int = WINDOW, broadcast: int = BROADCAST, bitmap: int = BITMAP) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, window: int = WINDOW, broadcast: int = BROADCAST, bitmap: int = BITMAP, strings: int = STRINGS) -> DataFrame:
     """``(doc_id, doc_key, item_id, matched, item_windows)`` of documents that hold an item."""
     items = item_windows(benchmark, window, share)
-    literals = materialize(small_batches(benchmark).select("text").mapInArrow(_literals, "n int, literal long").distinct(), "item-words")
+    literals = materialize(small_batches(benchmark).select("text").mapInArrow(_literals, "n int, literal string").distinct(), "item-words")
     sizes = [window, *sorted(r.n for r in literals.where(F.col("n") < window).select("n").distinct().collect())]
     vocabulary = None
     if items.count() <= broadcast:
-        known = literals.where("literal is not null").select("literal").distinct().toArrow()["literal"].to_numpy()
-        vocabulary = array("Q", np.sort(known.view(np.uint64)).tobytes())
+        known = literals.where("literal is not null").select("literal").distinct().toArrow()["literal"].to_pylist()
+        vocabulary = frozenset(known) if len(known) <= strings else array("Q", sorted(map(_hash, known)))
         wanted = Wanted(np.sort(items.select("window").distinct().toArrow()["window"].to_numpy().view(np.uint64)), None)
     else:
         wanted = Wanted(None, _bitmap(items, bitmap))
