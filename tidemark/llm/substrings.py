@@ -38,8 +38,10 @@ WORDS = 50
 LONG = 1024
 #: Texts that are cut as one array.
 SLICE = 250
-#: ``before`` and ``after``: words begun before the chunk before this one, and before the end of the chunk after it.
-CHUNKS = "doc_id long, doc_key long, start int, length int, digest long, before int, after int"
+#: ``place`` is the start with the length in the lower 12 bits; ``words`` has the words begun before the chunk before
+#: this one above those begun before the end of the chunk after it. All rows are shuffled, so they have few columns.
+CHUNKS = "doc_id long, doc_key long, digest long, place long, words long"
+LENGTH_BITS = 12
 
 
 def _gear() -> np.ndarray:
@@ -100,8 +102,9 @@ def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             digest = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts.tolist(), cuts.tolist(), strict=True)), dtype=np.uint64, count=len(cuts))
             at = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
-                [some.column(0).take(at), some.column(1).take(at), pa.array((starts - begins[owner]).astype(np.int32)), pa.array((cuts - starts).astype(np.int32)), pa.array(digest.view(np.int64)), pa.array(before), pa.array(after)],
-                names=["doc_id", "doc_key", "start", "length", "digest", "before", "after"])
+                [some.column(0).take(at), some.column(1).take(at), pa.array(digest.view(np.int64)),
+                 pa.array((starts - begins[owner]) << LENGTH_BITS | (cuts - starts)), pa.array(before.astype(np.int64) << 32 | after)],
+                names=["doc_id", "doc_key", "digest", "place", "words"])
 
 
 _NO_ID = -(1 << 63)
@@ -118,12 +121,15 @@ def _repeated_chunks(docs: DataFrame, within: bool) -> DataFrame:
     twice instead of stored; only digests that repeat are written, and joined with all occurrences.
     """
     chunks = _keyed(docs).mapInArrow(_chunk_batches, CHUNKS)
-    ends = [f("doc_id").alias(f"{n}_doc") for n, f in (("first", F.min), ("last", F.max))] + [f("start").alias(f"{n}_start") for n, f in (("first", F.min), ("last", F.max))]
-    repeats = "first_doc < last_doc or first_start < last_start" if within else "first_doc < last_doc"
+    ends = [f("doc_id").alias(f"{n}_doc") for n, f in (("first", F.min), ("last", F.max))] + [f("place").alias(f"{n}_place") for n, f in (("first", F.min), ("last", F.max))]
+    repeats = "first_doc < last_doc or first_place < last_place" if within else "first_doc < last_doc"
     digests = chunks.groupBy("digest").agg(*ends[: 4 if within else 2]).where(repeats)
     digests = materialize(digests.select(F.col("digest").alias("of_digest"), "first_doc"), "repeated-digests")
     extra = F.col("doc_id") > F.col("first_doc")
-    found = chunks.join(digests, F.col("digest") == F.col("of_digest")).select("doc_id", "doc_key", "start", "length", "before", "after", extra.alias("extra"), *["digest"] * within).distinct()
+    found = chunks.join(digests, F.col("digest") == F.col("of_digest")).select("doc_id", "doc_key", "place", "words", extra.alias("extra"), *["digest"] * within)
+    found = found.repartition("doc_id", "doc_key").distinct()  # one exchange serves the distinct rows and the windows
+    parts = {"start": F.shiftright("place", LENGTH_BITS), "length": F.col("place").bitwiseAND((1 << LENGTH_BITS) - 1), "before": F.shiftright("words", 32), "after": F.col("words").bitwiseAND((1 << 32) - 1)}
+    found = found.select("doc_id", "doc_key", "extra", *[e.cast("int").alias(n) for n, e in parts.items()], *["digest"] * within)
     row = Window.partitionBy("doc_id", "doc_key")
     if within:
         again = F.row_number().over(Window.partitionBy("doc_id", "doc_key", "digest").orderBy("start")) > 1
