@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,6 +24,14 @@ _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 _held: dict[object, object] = {}
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, so that a stage does not start on top of what the last one held."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def worker_cache(key: object, make: Callable[[], T]) -> T:
     """The cache of this Python process under ``key``; it outlives a task, but only one lives at a time.
 
@@ -28,7 +39,7 @@ def worker_cache(key: object, make: Callable[[], T]) -> T:
     """
     if key not in _held:
         _held.clear()
-        pa.default_memory_pool().release_unused()
+        _give_back()
         _held[key] = make()
     return _held[key]
 

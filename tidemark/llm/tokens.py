@@ -16,8 +16,8 @@ from tokenizers import Tokenizer, pre_tokenizers
 from .common import worker_cache
 
 #: Entries of a worker's caches before they start anew, some 200 bytes each; the longest text cut that they hold.
-CUTS = 240_000
-WORDS = 200_000
+CUTS = 200_000
+WORDS = 160_000
 CACHE_CHARS = 64
 #: Marks that may end a word and form one pre-token there.
 _TAIL = ".,;:!?"
