@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import filter_audit
 from .common import new_path, read_documents
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_filter_audit": filter_audit.SQL}
 
 
 def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,10 +90,27 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    return pii.digest(pii.find(read_documents(spark, sf_dir)))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import spelling
+
+    return spelling.variants(spelling.word_counts(read_documents(spark, sf_dir)))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_orc, op2_toxicity, op3_substrings, op4_licenses, op5_packing,
         op6_decontaminate, op7_token_counts, op8_language, op9_media, op10_simhash,
+        op11_pii, op12_spelling, op13_filter_audit,
     )
 }
