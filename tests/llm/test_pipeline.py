@@ -9,7 +9,7 @@ from tidemark.llm import decontaminate, language, packing, queries  # noqa: E402
 
 from .test_decontaminate import brute as brute_leaks  # noqa: E402
 from .test_simhash import brute_classes, brute_print  # noqa: E402
-from .test_substrings import brute_chunks, runs_that_count  # noqa: E402
+from .test_substrings import brute_pairs, runs_that_count  # noqa: E402
 from .test_tokens import WORD, crc, ids  # noqa: E402
 
 
@@ -36,13 +36,20 @@ def brute_pipeline(rows, items):
     kept = [(d, t) for (d, t), c in zip(kept, brute_classes(prints), strict=True) if d == c]
     owners = defaultdict(set)
     for d, t in kept:
-        for a, b in brute_chunks(t.encode()):
-            owners[t.encode()[a:b]].add(d)
+        for p in brute_pairs(t.encode()):
+            owners[t.encode()[p[0] : p[1]]].add(d)
     cut = []
     for d, t in kept:
-        data = t.encode()
-        gone = {x for r in runs_that_count(data, lambda c, data=data: len(owners[data[c[0] : c[1]]]) > 1) for x in r if d > min(owners[data[x[0] : x[1]]])}
-        cut.append((d, b"".join(data[a:b] for a, b in brute_chunks(data) if (a, b) not in gone).decode("utf-8", "ignore")))
+        data, places = t.encode(), defaultdict(list)
+        for p in brute_pairs(data):
+            places[data[p[0] : p[1]]].append(p[0])
+        pair = lambda p, data=data: data[p[0] : p[1]]
+        again = lambda p, pair=pair, places=places: len(owners[pair(p)]) > 1 or len(places[pair(p)]) > 1
+        gone = set()
+        for p in (x for r in runs_that_count(data, again) for x in r):
+            if d > min(owners[pair(p)]) or places[pair(p)][0] < p[0]:
+                gone |= set(range(p[0], p[1]))
+        cut.append((d, bytes(b for k, b in enumerate(data) if k not in gone).decode("utf-8", "ignore")))
     leaky = {d for d, *_ in brute_leaks(cut, items)}
     pieces = []
     for d, t in cut:
