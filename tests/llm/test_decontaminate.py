@@ -6,19 +6,33 @@ from tidemark.llm import decontaminate, queries
 
 
 def brute_template(text):
-    out, begins = [], True
+    """(literal or placeholder, value) of each token; as ``decontaminate`` but for lone capitals at the beginning of sentences."""
+    out, begins, joins, last = [], True, False, None
     for w in text.split():
         core = w.strip(".,;:!?\"'()")
         low = core.lower() or w
-        if low in decontaminate.UNITS:
-            out.append(("<unit>", low))
-        elif low.replace(".", "").replace(",", "").isdigit():
+        number = all(x in decontaminate.NUMBER_WORDS for x in low.split("-"))
+        capital = core[:1].isupper() and core[1:].islower() and not number
+        kind = "literal"
+        if low in decontaminate.UNITS and joins and last in ("digits", "words"):
+            out[-1] = ("<num><unit>", f"{out[-1][1]} {low}")
+            kind = "unit"
+        elif number and joins and last in ("digits", "words"):
+            out[-1] = (out[-1][0], f"{out[-1][1]} {low}")
+            kind = "words"
+        elif number or low.replace(".", "").replace(",", "").isdigit():
             out.append(("<num>", low))
-        elif core[:1].isupper() and core[1:].islower() and not begins:
+            kind = "words" if number else "digits"
+        elif capital and not begins and joins and last in ("name", "first"):
+            out[-1] = ("<name>", f"{out[-1][1] or out[-1][0]} {low}")
+            kind = "name"
+        elif capital and not begins:
             out.append(("<name>", low))
+            kind = "name"
         else:
             out.append((low, None))
-        begins = w[-1] in ".!?:;"
+            kind = "first" if capital and low not in decontaminate.FIRST_WORDS else "literal"
+        begins, joins, last = w[-1] in ".!?:;", w[-1] not in ".!?:;,", kind
     return out
 
 
@@ -58,7 +72,7 @@ def tables(spark):
         (40, "Then. A train of 5 wagons leaves Oslo at 7 with 5 crates and meets Bern after 60 km of slow track. End"),  # re-parameterised
         (41, "Then. A train of 5 wagons leaves Oslo at 7 with 6 crates and meets Bern after 60 km of slow track. End"),  # 3 became 5 and 6
         (42, "it is a short one here today"), (43, None), (44, ""), (45, "1 2 3 4 5 6 7 8"), (46, " ".join(items[2][1].split()[:8])),
-        (47, prose(40_000)), (20, docs[0][1]), (None, items[3][1].upper()), (48, prose(1500) + ". " + items[6][1] + " " + prose(1500)),
+        (47, prose(8_000)), (20, docs[0][1]), (None, items[3][1].upper()), (48, prose(1500) + ". " + items[6][1] + " " + prose(1500)),
     ]
     return docs, items, spark.createDataFrame(items, "item_id long, text string")
 
@@ -67,7 +81,7 @@ def test_query_against_brute_force(documents, spark):
     docs, items, benchmark = tables(spark)
     folder, df = documents(docs, benchmark=benchmark)
     got = {tuple(r)[:4] for r in queries.op6_decontaminate(spark, folder).collect()}
-    want = brute([x for x in docs if x[0] != 47], items)
+    want = brute(docs, items)
     assert got == want
     assert {(20, 0), (40, 100), (42, 101), (None, 3)} <= {x[:2] for x in got} and not {41, 43, 45, 46} & {x[0] for x in got}
     shuffled = {tuple(r)[:1] + tuple(r)[2:] for r in decontaminate.contaminated(df, benchmark, broadcast=0).collect()}
@@ -80,7 +94,7 @@ def test_drop_leaks(documents, spark):
     extra = df.withColumn("window", F.lit("clash")).withColumn("doc_key", F.lit(1))
     kept = decontaminate.drop_leaks(extra, benchmark)
     assert kept.columns == extra.columns
-    gone = {d for d, *_ in brute([x for x in docs if x[0] != 47], items)}
+    gone = {d for d, *_ in brute(docs, items)}
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([str(d) for d, _ in docs if d not in gone] + ["20"])
     assert decontaminate.drop_leaks(df.limit(0), benchmark).count() == 0
     assert decontaminate.drop_leaks(df, benchmark.limit(0)).count() == len(docs)
@@ -110,6 +124,33 @@ def test_names_at_the_beginning_of_sentences(spark):
     assert shuffled == {x[:2] for x in want}
 
 
+def test_reparameterised_questions_of_other_lengths(spark):
+    items = [
+        (1, "Mary Ann Smith walks 5 km to school and then Bob Jones walks 12 km home in the rain."),
+        (2, "A farm keeps twenty five hens and 3 million bees near a lake."),
+        (3, "We put a second coat on it in May, then wait 2 hours before the third coat is put on."),
+    ]
+    docs = [
+        (10, "First. Otto walks seven km to school and then Eve walks 12.5 miles home in the rain. Last"),
+        (11, "here a farm keeps 9 hens and two hundred bees near a lake."), (12, "So a farm keeps thirty-one hens and forty thousand bees near a lake now"),
+        (13, "so we put a second coat on it in June, then wait 90 minutes before the third coat is put on."),
+        (20, "so we put in second coat s it m June, then wait 90 minutes before the third coat is put on."),  # units as words differ
+        (21, "Otto walks to school and then Eve walks home in the rain."), (22, "the hens and the bees live near a lake in the second year"),
+        (23, "five hens, two bees and 3 million cows keep a farm near the lake"),
+    ]
+    df, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(10, 1), (11, 2), (12, 2), (13, 3)}
+    for extra in ({}, {"strings": 0}, {"broadcast": 0}):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, benchmark, **extra).collect()} == want
+
+
+def test_templates():
+    tokens = decontaminate.Templates().of(["Otto Mary Ann Smith, Bob Ray ate 2 hundred kg and five. In a second", "The Smith house 5km"])
+    spans = [" ".join(tokens.words[a:b]) for a, b in zip(tokens.heads, [*tokens.heads[1:], len(tokens.words)], strict=True)]
+    assert spans == ["Otto Mary Ann Smith,", "Bob Ray", "ate", "2 hundred kg", "and", "five.", "In", "a", "second", "", "The", "Smith", "house", "5km", ""]
+    assert tokens.sizes().tolist() == [9, 4]
+
+
 def test_one_other_filling_costs_its_windows_alone(spark):
     words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
     item = " ".join(["of", *words[:5], "3", *words[5:30], "3", *words[30:55], "3", *words[55:]])

@@ -1,9 +1,12 @@
 """Benchmark decontamination by templates: typed placeholders, window join, slot consistency.
 
-Numbers, units and names of a text become the placeholders ``<num>``, ``<unit>`` and ``<name>`` (a
-name: a capitalised word that does not begin a sentence); other words are lower-cased without marks.
-A capitalised word that begins a sentence may be a name or not: it has both readings. Windows of five
-template words are hashed, once for each of their readings. Windows of documents meet windows of
+Numbers, measures and names of a text become the placeholders ``<num>``, ``<num><unit>`` and ``<name>``;
+other words are lower-cased without marks. A number is written in digits or as number words, which run
+on (``two hundred``, ``3 million``); a unit word makes a measure of the number before it, and is a word like
+any other elsewhere. A name is a run of capitalised words that does not begin a sentence, with the
+capitalised word before it that does, unless that is a word like ``The``; marks end such runs. A lone capitalised word that begins a
+sentence may be a name or not: it has both readings. So a name or number of several words is one
+placeholder, and windows of five run over placeholders and words, hashed once for each of their readings. Windows of documents meet windows of
 benchmark items by a hash join; hits that lie on one alignment must fill the item's placeholders
 consistently, one value for each of the item's values, so a re-parameterised question is found and a
 chance pattern is not. Where a value is filled differently, the filling of most windows holds (of
@@ -60,6 +63,17 @@ UNITS = frozenset(
     "s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years "
     "hz khz mhz ghz w kw mw v kv a ma n j kj pa kpa k usd eur gbp dollar dollars euro euros cent cents percent degree degrees".split()
 )
+#: Number words.
+NUMBER_WORDS = frozenset(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion trillion dozen".split()
+)
+#: Words that begin sentences and are no part of a name.
+FIRST_WORDS = frozenset(
+    "the a an this that these those it its he she they we you i his her their our my your there here then now so and but or if when while after before once until "
+    "since because as at by for from in into of on over to under with within without during each every some any all both no not how what which who whom whose why where "
+    "is are was were do does did can could will would should may might must let suppose given find assume consider calculate determine first next later finally also however".split()
+)
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 _MEASURE = re.compile(r"([+-]?\d[\d.,]*)([a-zµ°]+)")
 HITS = "doc_id long, doc_key long, doc_at int, window long, slots array<string>"
@@ -69,10 +83,29 @@ def _hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), 11)
 
 
-_NAME = np.uint64(_hash("<name>"))
-_UNIT = _hash("<unit>")
+_NAME, _MEASURED = np.uint64(_hash("<name>")), np.uint64(_hash("<num><unit>"))
+_NUM = _hash("<num>")
 _NONE = np.uint64(0)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Kinds of words.
+WORD, UNIT, NUMBER, NUMBER_WORD, MEASURE, FIRST_WORD = range(6)
+
+
+class Tokens:
+    """Words and placeholders of some texts in a row, a separator that matches nothing after each text."""
+
+    def __init__(self, words: list[str], heads: np.ndarray, firsts: np.ndarray, template: np.ndarray, slot: np.ndarray, either: np.ndarray):
+        self.words, self.heads, self.firsts, self.template, self.slot, self.either = words, heads, firsts, template, slot, either
+        self.valued = slot | either
+
+    def sizes(self) -> np.ndarray:
+        """Number of tokens of each text."""
+        return np.diff(np.r_[self.firsts, len(self.template)]) - 1
+
+    def values(self, at: int, size: int) -> list[str | None]:
+        """What fills each token of a window that is or may be a placeholder."""
+        ends = self.heads[at : at + size + 1].tolist()
+        return [" ".join(map(bare, self.words[ends[k] : ends[k + 1]])) if v else None for k, v in enumerate(self.valued[at : at + size].tolist())]
 
 
 class Templates:
@@ -80,46 +113,70 @@ class Templates:
 
     def __init__(self, vocabulary: frozenset[str] | array | None = None):
         self.vocabulary = vocabulary
-        self.table = WordTable(self.describe, (np.uint64, bool, bool, bool))
+        self.table = WordTable(self.describe, (np.uint64, np.int8, bool, bool, bool))
 
     def describe(self, word: str) -> tuple:
-        """(hash of the literal or typed word, typed, capitalised, ends a sentence)"""
-        ends = capital = False
+        """(hash of the literal or typed word, kind, capitalised, ends a sentence, has a mark at its end)"""
+        if not word:
+            return 0, WORD, False, True, True
+        ends = marked = False
         if word.isalpha():
             low = word.lower()
-            if low in UNITS:
-                return _UNIT, True, False, False
             capital = low != word and word[:1].isupper() and word[1:].islower()
         else:
             core = word.strip(MARKS)
             low = core.lower() or word
-            ends = word.rstrip("\"')]}»”’")[-1:] in ".!?:;"
-            if low in UNITS:
-                return _UNIT, True, False, ends
+            bared = word.rstrip("\"')]}»”’")
+            ends, marked = bared[-1:] in ".!?:;", bared != word or bared[-1:] in ".!?:;,"
             if not low.isalpha():
                 if _NUMBER.fullmatch(low):
-                    return _hash("<num>"), True, False, ends
+                    return _NUM, NUMBER, False, ends, marked
                 if (m := _MEASURE.fullmatch(low)) and m[2] in UNITS:
-                    return _hash("<num><unit>"), True, False, ends
+                    return int(_MEASURED), MEASURE, False, ends, marked
+                if "-" in low and all(x in NUMBER_WORDS for x in low.split("-")):
+                    return _NUM, NUMBER_WORD, False, ends, marked
             capital = core[:1].isupper() and core[1:].islower()
+        if low in NUMBER_WORDS:
+            return _NUM, NUMBER_WORD, False, ends, marked
+        kind = UNIT if low in UNITS else FIRST_WORD if low in FIRST_WORDS else WORD
         known = self.vocabulary
         if isinstance(known, frozenset):
-            return _hash(low) if low in known else 0, False, capital, ends
+            return _hash(low) if low in known else 0, kind, capital, ends, marked
         literal = _hash(low)
         if known is not None:
             at = bisect_left(known, literal)
             if at == len(known) or known[at] != literal:
                 literal = 0
-        return literal, False, capital, ends
-
-    def of(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Words, template hashes, which of them are placeholders and which may also be names."""
-        words = text.split()
+        return literal, kind, capital, ends, marked
+
+    def of(self, texts: list[str]) -> Tokens:
+        words: list[str] = []
+        starts = []
+        for text in texts:
+            starts.append(len(words))
+            words += text.split()
+            words.append("")
         codes = self.table.codes(words)
-        hashes, typed, capital, ends = (self.table.column(k)[codes] for k in range(4))
-        begins = np.r_[True, ends[:-1]]
-        name = capital & ~begins & ~typed
-        return words, np.where(name, _NAME, hashes), typed | name, capital & begins & ~typed
+        hashes, kind, capital, ends, marked = (self.table.column(k)[codes] for k in range(5))
+        after = lambda flags: np.r_[False, flags[:-1]]
+        joins = after(~marked)
+        number = (kind == NUMBER) | (kind == NUMBER_WORD)
+        unit = (kind == UNIT) & joins & after(number)
+        capital &= ~unit
+        begins = after(ends)
+        begins[0] = True
+        inner = capital & ~begins
+        followed = np.r_[(inner & joins)[1:], False]
+        first = capital & begins & followed & (kind != FIRST_WORD)
+        name = inner | first
+        further = unit | ((kind == NUMBER_WORD) & joins & after(number)) | (inner & joins & after(name))
+        heads = np.flatnonzero(~further)
+        token = np.cumsum(~further) - 1
+        template = np.where(name, _NAME, hashes)
+        template = template[heads]
+        template[token[unit]] = _MEASURED
+        slot = (name | number | (kind == MEASURE))[heads]
+        return Tokens(words, heads, token[np.array(starts, dtype=np.int64)], template, slot, (capital & begins & ~first)[heads])
 
 
 def _bits(flags: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -203,47 +260,46 @@ def _windows(batches: Iterator[pa.RecordBatch], sizes: list[int], wanted: Wanted
     """Windows of texts: of the given sizes, the first of them the full one; only wanted hashes; not all placeholders.
 
     An item that is shorter than the full size is one window of its own size. ``slots`` has a value
-    for each word of the window that is or may be a placeholder.
+    for each token of the window that is or may be a placeholder.
     """
     templates = worker_cache(("templates", vocabulary if vocabulary is None or isinstance(vocabulary, frozenset) else vocabulary.tobytes()), lambda: Templates(vocabulary))
     for batch in slices(batches):
-        ids, keys, texts = (batch.column(k).to_pylist() for k in range(3))
-        out: tuple[list, list, list, list, list] = ([], [], [], [], [])
-        for doc, doc_key, text in zip(ids, keys, texts, strict=True):
-            if not text:
-                continue
-            words, template, slot, either = templates.of(text)
-            if not words:
-                continue
-            valued = slot | either
-            for size in [min(len(words), sizes[0])] if item else sizes:
-                with np.errstate(over="ignore"):
-                    found = list(_readings(template, slot, either, size, 2 if size < sizes[0] else 1))
-                for at, hashes in found:
-                    if wanted is not None:
-                        hit = wanted.among(hashes)
-                        at, hashes = at[hit], hashes[hit]
-                    for p in at.tolist():
-                        out[2].append(p)
-                        out[4].append([bare(words[j]) if valued[j] else None for j in range(p, p + size)])
-                    out[3].extend(hashes.view(np.int64).tolist())
-                    out[0].extend([doc] * len(at))
-                    out[1].extend([doc_key] * len(at))
+        ids, keys, texts = (batch.column(k) for k in range(3))
+        out: list[tuple[np.ndarray, ...]] = []
+        slots: list[list[str | None]] = []
+        tokens = templates.of([x or "" for x in texts.to_pylist()])
+        owner = np.repeat(np.arange(len(batch)), tokens.sizes() + 1)
+        short = tokens.sizes()
+        for size in (sorted({*np.minimum(short, sizes[0]).tolist()} - {0}) if item else sizes):
+            with np.errstate(over="ignore"):
+                found = list(_readings(tokens.template, tokens.slot, tokens.either, size, 2 if size < sizes[0] else 1))
+            for at, hashes in found:
+                if item:  # of its own size only
+                    hit = np.flatnonzero(np.minimum(short, sizes[0])[owner[at]] == size)
+                    at, hashes = at[hit], hashes[hit]
+                if wanted is not None:
+                    hit = wanted.among(hashes)
+                    at, hashes = at[hit], hashes[hit]
+                out.append((owner[at], at - tokens.firsts[owner[at]], hashes))
+                slots.extend(tokens.values(p, size) for p in at.tolist())
+        rows, places, hashes = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        at = pa.array(rows)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.list_(pa.string()))],
+            [ids.take(at), keys.take(at), pa.array(places.astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(slots, pa.list_(pa.string()))],
             names=["doc_id", "doc_key", "doc_at", "window", "slots"])
         templates.table.trim()
 
 
 def _literals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(number of words, a literal word) of each item, null for an item without one."""
+    """(number of tokens, a literal word) of each item, null for an item without one."""
     for batch in slices(batches):
         templates = Templates()
         rows: set[tuple[int, str | None]] = set()
         for text in batch.column(0).to_pylist():
             if text and (words := text.split()):
-                known = {bare(w) for w in set(words) if not templates.describe(w)[1]}
-                rows.update((len(words), w) for w in known or {None})
+                known = {bare(w) for w in set(words) if templates.describe(w)[1] in (WORD, UNIT, FIRST_WORD)}
+                size = int(templates.of([text]).sizes()[0])
+                rows.update((size, w) for w in known or {None})
         n, literal = zip(*rows, strict=True) if rows else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(literal, pa.string())], names=["n", "literal"])
 
@@ -299,7 +355,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, wi
         "doc_id", "doc_key", "item_id", "item_key", "item_windows", (F.col("doc_at") - F.col("item_at")).alias("shift"),
         F.struct("item_at", F.transform(fills, lambda x: F.struct(x.item_slots, F.coalesce(x.slots, x.item_slots))).alias("fills")).alias("window"))
     aligned = pairs.groupBy("doc_id", "doc_key", "item_id", "item_key", "item_windows", "shift").agg(F.collect_set("window").alias("windows"))
-    hits = aligned.withColumn("hit", F.explode(F.udf(_consistent, "array<int>", useArrow=False)("windows")))
+    hits = aligned.withColumn("hit", F.explode(F.udf(_consistent, "array<int>", useArrow=True)("windows")))
     scored = hits.groupBy("doc_id", "doc_key", "item_id", "item_key", "item_windows").agg(F.count_distinct("hit").alias("matched"))
     return scored.where(F.col("matched") >= share * F.col("item_windows")).select("doc_id", "doc_key", "item_id", "matched", "item_windows")
 
