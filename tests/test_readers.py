@@ -63,6 +63,43 @@ def test_observations(spark, tmp_path):
     assert got == sorted(want, key=str)
 
 
+def observation_text(epochs, eol="\n"):
+    lines = [labelled("G    2 C1C L1C", "SYS / # / OBS TYPES"), labelled("E    1 C1C", "SYS / # / OBS TYPES"), labelled("", "END OF HEADER")]
+    for e in range(epochs):
+        lines.append(f"> 2025 01 01 {e // 3600:02d} {e // 60 % 60:02d} {e % 60:10.7f}  {4 if e % 50 == 7 else 0} 12")
+        lines += [f"G{k:02d}{e + k / 8:14.3f}  {k:14.3f}1 " for k in range(1, 11)] + [f"E{k:02d}{-e - k / 8:14.3f}" for k in (1, 2)]
+    return eol.join(lines) + eol
+
+
+def test_observation_files_are_split(spark, tmp_path):
+    """A file is read by many tasks, wherever the byte ranges begin, with the rows of one task."""
+    (tmp_path / "a.rnx").write_text(observation_text(3000))
+    (tmp_path / "b.rnx").write_text(observation_text(40, "\r\n"))
+    (tmp_path / "c.rnx").write_text("no header here\n" + observation_text(9).partition("END OF HEADER")[2])
+    key = "spark.sql.files.maxPartitionBytes"
+    before, rows = spark.conf.get(key), {}
+    try:
+        for size in ("64m", "100k", "33333b"):
+            spark.conf.set(key, size)
+            found = readers.observations(spark, str(tmp_path))
+            rows[size] = found.rdd.getNumPartitions(), sorted(tuple(r) for r in found.collect())
+    finally:
+        spark.conf.set(key, before)
+    assert rows["100k"][0] >= 10 and rows["33333b"][0] > 2 * rows["100k"][0] > 2 * rows["64m"][0]
+    assert rows["100k"][1] == rows["64m"][1] == rows["33333b"][1]
+    assert len(rows["64m"][1]) == (3000 - 60 + 40 - 1) * 22
+
+
+def test_observation_filters(spark, tmp_path):
+    (tmp_path / "a.rnx").write_text(observation_text(200))
+    every = readers.observations(spark, str(tmp_path))
+    for broadcast in (readers.HEADERS, 0):
+        some = readers.observations(spark, str(tmp_path), ["E"], ["C1C"], "2025-01-01 00:01:00", "2025-01-01 00:02:00", broadcast)
+        want = every.where("sv like 'E%' and obs = 'C1C' and epoch >= timestamp_ntz'2025-01-01 00:01:00' and epoch < timestamp_ntz'2025-01-01 00:02:00'")
+        assert sorted(some.collect()) == sorted(want.collect()) and some.count() == 2 * 59
+    assert readers.observations(spark, str(tmp_path), ["Z"]).count() == 0
+
+
 def test_tables(spark, tmp_path):
     (tmp_path / "w.txt").write_text("YEAR DOY KP DST\n2025 1 30 -99999\n2025  2  99 -12\n\n")
     rows = readers.word_table(spark, str(tmp_path / "w.txt"), {"year": 1, "doy": 2, "kp": 3, "dst": 4}, {"kp": 99, "dst": 99999})

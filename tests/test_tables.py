@@ -45,8 +45,8 @@ def test_text_tables(spark, tmp_path):
     got = tables.text_extract(spark, path).orderBy("epoch").collect()
     assert [(str(r.epoch), r.tec) for r in got] == [("2025-01-01 00:00:07.250000", 11.5), ("2025-01-02 00:00:00", 12.5)]
     assert tables.text_extract(spark, path, "2025-01-02").count() == 1
-    path = write(tmp_path / "sites.txt", "'KOH2', -62.64 -60.36\nbad line\n\"ABCD\" 1.0 2.0 more\nXYZ one two\n")
-    assert sorted(map(tuple, tables.sites(spark, path).collect())) == [("ABCD", 1.0, 2.0), ("KOH2", -62.64, -60.36)]
+    path = write(tmp_path / "sites.txt", "'SITE', -62.64 -60.36\nbad line\n\"ABCD\" 1.0 2.0 more\nXYZ one two\n")
+    assert sorted(map(tuple, tables.sites(spark, path).collect())) == [("ABCD", 1.0, 2.0), ("SITE", -62.64, -60.36)]
 
 
 def test_solar_files(spark, tmp_path):

@@ -29,9 +29,9 @@ def nearest_time(left: DataFrame, right: DataFrame, time: str, tolerance: int, b
 
     Times are integers of one unit. Equal distances go to the earlier right row, then to the smaller
     value; those without a match have nulls. Both sides stand in one order in each time bucket of a
-    key, and the right rows before and after a left row come from running windows: rows are never
-    paired, and a dense series is split by its buckets. Right rows near a bucket's end stand in the
-    next one too.
+    key, and the right rows before and after a left row come from two running windows, one up and one
+    down, each linear in the bucket: rows are never paired, and a dense series is split by its buckets.
+    Right rows near a bucket's end stand in the next one too.
     """
     width = BUCKET * tolerance
     t = F.col(time)
@@ -40,9 +40,9 @@ def nearest_time(left: DataFrame, right: DataFrame, time: str, tolerance: int, b
     rights = rights.select(*by, t.alias("_t"), F.explode(near).alias("_bucket"), F.struct(t.alias("matched_time"), F.col(value).alias("value")).alias("_right"))
     lefts = left.select(*by, t.alias("_t"), F.floor(t / width).alias("_bucket"), F.struct(*left.columns).alias("_left"))
     both = lefts.unionByName(rights, allowMissingColumns=True)
-    order = Window.partitionBy(*by, "_bucket").orderBy("_t", F.col("_left").isNotNull())
-    before = F.last("_right", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_right", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    bucket, is_left = Window.partitionBy(*by, "_bucket"), F.col("_left").isNotNull()
+    running = lambda *order: F.last("_right", ignorenulls=True).over(bucket.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    before, after = running(F.col("_t"), is_left), running(F.desc("_t"), is_left)
     met = both.withColumn("_before", before).withColumn("_after", after).where("_left is not null")
     gap = lambda c: F.abs(F.col(f"{c}.matched_time") - F.col("_t"))
     candidates = [F.when(gap(c) <= tolerance, F.struct(gap(c).alias("gap"), F.col(f"{c}.matched_time"), F.col(f"{c}.value"))) for c in ("_before", "_after")]

@@ -7,6 +7,7 @@ get one arc or one satellite's epochs as Arrow and use numpy there.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -100,8 +101,9 @@ def butterworth(fs: float, cutoff: float, order: int, high: bool) -> list[tuple[
     return out
 
 
-def _section(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """One section over ``x`` from a state, in blocks: within a block the response is a matrix, between blocks the state moves on."""
+@lru_cache(maxsize=64)
+def _matrices(b: tuple[float, ...], a: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a section and a block: the response to its samples, to the state before it, and what both leave as the next state."""
     step = np.array([[-a[1], 1.0], [-a[2], 0.0]])
     into = np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
     powers = [np.eye(2)]
@@ -112,11 +114,17 @@ def _section(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) ->
     lags = np.subtract.outer(np.arange(BLOCK), np.arange(BLOCK))
     response = np.where(lags >= 0, impulse[np.maximum(lags, 0)], 0.0)
     moved = np.array([powers[BLOCK - 1 - k] @ into for k in range(BLOCK)])
+    return response, seen, powers[BLOCK], moved
+
+
+def _section(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """One section over ``x`` from a state, in blocks: within a block the response is a matrix, between blocks the state moves on."""
+    response, seen, onward, moved = _matrices(tuple(b.tolist()), tuple(a.tolist()))
     blocks = np.pad(x, (0, -len(x) % BLOCK)).reshape(-1, BLOCK)
     states, added = np.empty((len(blocks), 2)), blocks @ moved
     for k in range(len(blocks)):
         states[k] = state
-        state = powers[BLOCK] @ state + added[k]
+        state = onward @ state + added[k]
     return (blocks @ response.T + states @ seen.T).ravel()[: len(x)]
 
 

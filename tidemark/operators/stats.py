@@ -1,7 +1,8 @@
 """Rank statistics, false-discovery control, regression and resampling on distributed tables.
 
 Global order never meets in one task: values are dealt into ranges at approximate quantiles, ranked
-there, and shifted by the totals of the ranges before, which are at most ``RANGES`` rows.
+there, and shifted by the totals of the ranges before, a row for each range. Equal values are counted
+first and are one row throughout. Values that are null or not finite have no rank.
 """
 
 from __future__ import annotations
@@ -9,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import finite
+
+#: Fewest ranges; there are as many as shuffle partitions, if these are more.
 RANGES = 64
 #: Most clusters (years, months) that a bootstrap numbers in one task.
 CLUSTERS = 1_000_000
@@ -16,34 +20,40 @@ CLUSTERS = 1_000_000
 
 def _ranged(df: DataFrame, value: str) -> DataFrame:
     """Adds ``range_id``; every value of a range is below every value of the next."""
-    cuts = df.agg(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 1000).alias("cuts"))
+    n = max(RANGES, min(1000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    cuts = df.agg(F.percentile_approx(value, [k / n for k in range(1, n)], 20 * n).alias("cuts"))
     return df.crossJoin(F.broadcast(cuts)).withColumn("range_id", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
 
 
-def rank_table(df: DataFrame, value: str) -> DataFrame:
-    """``(of_value, ties, rank)`` of each distinct value: the rank from 1, ties at their mean."""
-    counts = _ranged(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("ties")), value)
+def _counted(df: DataFrame, value: str) -> DataFrame:
+    """``(value, ties, upto, range_id)`` of each distinct finite value: its rows, and the rows up to it."""
+    counts = _ranged(df.where(finite(F.col(value))).groupBy(value).agg(F.count("*").alias("ties")), value)
     totals = counts.groupBy("range_id").agg(F.sum("ties").alias("total"))
     before = Window.orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)
     shift = totals.select("range_id", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("shift"))
     own = Window.partitionBy("range_id").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.withColumn("upto", F.sum("ties").over(own)).join(F.broadcast(shift), "range_id")
-    return ranked.select(F.col(value).alias("of_value"), "ties", (F.col("shift") + F.col("upto") - (F.col("ties") - 1) / 2).alias("rank"))
+    return ranked.select(value, "ties", (F.col("shift") + F.col("upto")).alias("upto"), "range_id")
+
+
+def rank_table(df: DataFrame, value: str) -> DataFrame:
+    """``(of_value, ties, rank)`` of each distinct finite value: the rank from 1, ties at their mean."""
+    return _counted(df, value).select(F.col(value).alias("of_value"), "ties", (F.col("upto") - (F.col("ties") - 1) / 2).alias("rank"))
 
 
 def average_ranks(df: DataFrame, value: str, rank: str) -> DataFrame:
-    """Adds the rank of ``value`` from 1, ties at their mean; null values have none."""
+    """Adds the rank of ``value`` from 1, ties at their mean; values that are not finite have none."""
     ranked = rank_table(df, value).select("of_value", F.col("rank").alias(rank))
     return df.join(ranked, F.col(value) == F.col("of_value"), "left").drop("of_value")
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """(n, rho) of the rows that have both.
+    """(n, rho) of the rows that have both, finite.
 
     Each side is ranked by itself from the base table, and rows equal in both values are one row with
     a count, so the base is read three times and neither ranking contains the other.
     """
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
+    both = df.where(finite(F.col(x)) & finite(F.col(y))).select(F.col(x).alias("x"), F.col(y).alias("y"))
     ranks = [rank_table(both.select(c), c).select(F.col("of_value").alias(f"of_{c}"), F.col("rank").alias(f"r{c}")) for c in ("x", "y")]
     counted = both.groupBy("x", "y").agg(F.count("*").alias("n"))
     ranked = counted.join(ranks[0], F.col("x") == F.col("of_x")).join(ranks[1], F.col("y") == F.col("of_y"))
@@ -56,19 +66,20 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def benjamini_hochberg(df: DataFrame, p: str, key: str) -> DataFrame:
-    """(key, p, q): p m / rank, made monotone from the largest rank down, at most 1; null p has null q."""
-    known = _ranged(df.where(F.col(p).isNotNull()).select(key, p), p)
-    totals = known.groupBy("range_id").agg(F.count("*").alias("total"))
-    before = Window.orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)
-    shift = totals.select("range_id", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("shift"), F.sum("total").over(Window.partitionBy()).alias("m"))
-    ranked = known.join(F.broadcast(shift), "range_id").withColumn("k", F.col("shift") + F.row_number().over(Window.partitionBy("range_id").orderBy(p, key)))
-    raw = ranked.withColumn("raw", F.col(p) * F.col("m") / F.col("k"))
+    """(key, p, q): p m / rank over the finite p, made monotone from the largest rank down, at most 1; other p have null q.
+
+    Equal p have one q, that of the last of them, so distinct p are ranked; each range is passed once
+    from its largest p down, and takes the smallest of the ranges above it.
+    """
+    known = _counted(df.select(p), p)
+    m = known.agg(F.sum("ties").alias("m"))
+    raw = known.join(F.broadcast(m)).withColumn("raw", F.col(p) * F.col("m") / F.col("upto"))
     lows = raw.groupBy("range_id").agg(F.min("raw").alias("low"))
     later = lows.select("range_id", F.min("low").over(Window.orderBy(F.desc("range_id")).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
-    down = Window.partitionBy("range_id").orderBy("k").rowsBetween(0, Window.unboundedFollowing)
+    down = Window.partitionBy("range_id").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
     q = F.least(F.lit(1.0), F.min("raw").over(down), F.coalesce("later", F.lit(1.0)))
-    found = raw.join(F.broadcast(later), "range_id").select(F.col(key).alias("of_key"), q.alias("q"))
-    return df.select(key, p).join(found, F.col(key) == F.col("of_key"), "left").drop("of_key")
+    found = raw.join(F.broadcast(later), "range_id").select(F.col(p).alias("of_p"), q.alias("q"))
+    return df.select(key, p).join(found, F.col(p) == F.col("of_p"), "left").drop("of_p")
 
 
 def ols_two(df: DataFrame, y: str, x1: str, x2: str, keys: list[str]) -> DataFrame:
@@ -84,7 +95,7 @@ def ols_two(df: DataFrame, y: str, x1: str, x2: str, keys: list[str]) -> DataFra
 
 def mann_whitney_u(df: DataFrame, value: str, group: str, one: str) -> DataFrame:
     """U of the rows whose group is ``one`` against all others."""
-    ranked = average_ranks(df.where(F.col(value).isNotNull()), value, "rank")
+    ranked = average_ranks(df.where(finite(F.col(value))), value, "rank")
     mine = F.col(group) == one
     n1 = F.count_if(mine)
     return ranked.agg(n1.alias("n1"), (F.count("*") - n1).alias("n2"), (F.sum(F.when(mine, F.col("rank"))) - n1 * (n1 + 1) / 2).alias("u"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import align, selection
+from tidemark.operators import align, selection, stats
+from tidemark.operators.quantiles import exact_quantiles
 
 from .registry import micros, query, rounded, table
 
@@ -61,14 +62,22 @@ def top_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUANTILES = "count(*) as n, count(distinct sv) as n_sv, round(median(sigma), 6) as median, round(quantile_cont(sigma, 0.95), 6) as p95, round(quantile_cont(sigma, 0.99), 6) as p99, round(max(sigma), 6) as most"
 
 
-def quantiles() -> list[Column]:
-    return [F.count("*").alias("n"), F.count_distinct("sv").alias("n_sv"), F.round(F.percentile("sigma", 0.5), 6).alias("median"), F.round(F.percentile("sigma", 0.95), 6).alias("p95"), F.round(F.percentile("sigma", 0.99), 6).alias("p99"), F.round(F.max("sigma"), 6).alias("most")]
+def summary(df: DataFrame, keys: list[str], at: dict[str, tuple[str, float]], more: list[Column] | None = None) -> DataFrame:
+    """Counts, satellites and largest deviation of each group of any size, with exact quantiles ``at``: name to (column, share)."""
+    counts = [F.count("*").alias("n"), F.count_distinct("sv").alias("n_sv"), F.max("sigma").alias("most")] if more is None else more
+    found = df.groupBy(*keys).agg(*counts)
+    for column in dict.fromkeys(c for c, _ in at.values()):
+        found = found.join(exact_quantiles(df, keys, column, {name: p for name, (c, p) in at.items() if c == column}), keys, "left")
+    return rounded(found)
+
+
+SIGMA = {"median": ("sigma", 0.5), "p95": ("sigma", 0.95), "p99": ("sigma", 0.99)}
 
 
 @query(_P95.replace("with g as", f"with {_WINDOWS}, g as") + f" select label, {_QUANTILES}, round(median(ratio), 6) as median_ratio, round(quantile_cont(ratio, 0.95), 6) as p95_ratio from x join w on minute >= begins and minute < ends group by all")
 def window_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = labelled(exceedance(minutes(spark, sf_dir)), spark)
-    return x.groupBy("label").agg(*quantiles(), F.round(F.percentile("ratio", 0.5), 6).alias("median_ratio"), F.round(F.percentile("ratio", 0.95), 6).alias("p95_ratio"))
+    return summary(x, ["label"], SIGMA | {"median_ratio": ("ratio", 0.5), "p95_ratio": ("ratio", 0.95)})
 
 
 def _r(a: str, b: str) -> Column:
@@ -88,9 +97,10 @@ def matched_index_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = F.floor(micros("ts") / 1_000_000).alias("t")
     of = lambda kind, f, name: table(spark, sf_dir, "events").where(F.col("event_type") == kind).groupBy(F.col("user_id").alias("sv"), seconds).agg(f("value").alias(name))
     met = align.nearest_time(of("view", F.avg, "x"), of("click", F.min, "y"), "t", 43_200, ["sv"], "y").where("matched_time is not null")
-    whole, own = Window.partitionBy(F.lit(1)), Window.partitionBy("sv")
-    rank = lambda w, c: F.rank().over(w.orderBy(c)) + (F.count("*").over(w.partitionBy(*(["sv", c] if w is own else [c]))) - 1) / 2
-    ranked = met.select("sv", "x", "y", rank(whole, "x").alias("rx"), rank(whole, "y").alias("ry"), (rank(own, "x") / F.count("*").over(own)).alias("wx"), (rank(own, "y") / F.count("*").over(own)).alias("wy"))
+    own = Window.partitionBy("sv")
+    rank = lambda c: F.rank().over(own.orderBy(c)) + (F.count("*").over(Window.partitionBy("sv", c)) - 1) / 2
+    within = met.select("sv", "x", "y", (rank("x") / F.count("*").over(own)).alias("wx"), (rank("y") / F.count("*").over(own)).alias("wy"))
+    ranked = stats.average_ranks(stats.average_ranks(within, "x", "rx"), "y", "ry")
     return ranked.agg(F.count("*").alias("n_matched"), F.count_distinct("sv").alias("n_satellites"), _r("x", "y").alias("pearson_raw"), _r("rx", "ry").alias("spearman_raw"), _r("wx", "wy").alias("within_satellite"))
 
 
@@ -101,8 +111,9 @@ def cross_frequency_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = g.where("signal = 'view'").select("sv", "minute", "system", F.col("sigma").alias("x"))
     two = g.where("signal = 'click'").select("sv", "minute", F.col("sigma").alias("y"))
     j = one.join(two, ["sv", "minute"]).withColumn("ratio", F.try_divide("y", "x"))
-    p = lambda q: F.round(F.percentile("ratio", q), 6)
-    return j.groupBy("system").agg(F.count("*").alias("n_pairs"), _r("x", "y").alias("corr_sigma"), p(0.5).alias("median_ratio"), p(0.05).alias("p05_ratio"), p(0.95).alias("p95_ratio"), F.round(F.lit(1575.42 / 1227.60), 6).alias("nondispersive"), F.round(F.lit(1227.60 / 1575.42), 6).alias("dispersive"))
+    at = {"median_ratio": ("ratio", 0.5), "p05_ratio": ("ratio", 0.05), "p95_ratio": ("ratio", 0.95)}
+    found = summary(j, ["system"], at, [F.count("*").alias("n_pairs"), _r("x", "y").alias("corr_sigma")])
+    return found.withColumns({"nondispersive": F.round(F.lit(1575.42 / 1227.60), 6), "dispersive": F.round(F.lit(1227.60 / 1575.42), 6)})
 
 
 @query(_G + f""", t(cut) as (values (30), (35), (40), (45)) select cut, {_QUANTILES}, arg_max(sv, row(sigma, -sv, -minute)) as most_sv, arg_max(minute, row(sigma, -sv, -minute)) as most_minute from g join t on ele >= cut group by all""")
@@ -110,13 +121,14 @@ def elevation_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row once for each threshold it meets; the four thresholds are an array of the row, no join."""
     fan = minutes(spark, sf_dir).withColumn("cut", F.explode(F.filter(F.array(*map(F.lit, (30, 35, 40, 45))), lambda c: c <= F.col("ele"))))
     best = F.struct(F.col("sigma"), -F.col("sv"), -F.col("minute"))
-    return fan.groupBy("cut").agg(*quantiles(), F.max_by("sv", best).alias("most_sv"), F.max_by("minute", best).alias("most_minute"))
+    most = fan.groupBy("cut").agg(F.max_by("sv", best).alias("most_sv"), F.max_by("minute", best).alias("most_minute"))
+    return summary(fan, ["cut"], SIGMA).join(most, "cut")
 
 
 @query(_G + f""", t(cut) as (values (30), (40)) select cut, system, (minute % 24) // 3 * 3 as block, {_QUANTILES} from g join t on ele >= cut group by all""")
 def three_hour_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     fan = minutes(spark, sf_dir).withColumn("cut", F.explode(F.filter(F.array(F.lit(30), F.lit(40)), lambda c: c <= F.col("ele"))))
-    return fan.groupBy("cut", "system", (F.floor((F.col("minute") % 24) / 3) * 3).alias("block")).agg(*quantiles())
+    return summary(fan.withColumn("block", F.floor((F.col("minute") % 24) / 3) * 3), ["cut", "system", "block"], SIGMA)
 
 
 @query(_G + """, q as (select *, sigma > 5 and ele >= 30 and signal <> 'error' as ok from g) select system, count(*) as n, count(*) filter (where ok) as n_ok, count(distinct case when ok then sv end) as n_sv_ok from q group by all""")

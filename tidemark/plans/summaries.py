@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import align, paired
+from tidemark.operators.quantiles import exact_quantiles
 
 from .registry import query, rounded, table
 
@@ -71,10 +72,11 @@ _SCALED = "select date_trunc('month', l_shipdate)::date as month, " + ", ".join(
 
 @query(f"with v as ({_SCALED}) " + " union all ".join(f"select month, '{c}' as metric, count({c}) as n, round(avg({c}), 3) as mean, round(median({c}) + 1.3e-8, 3) as median, round(stddev_pop({c}), 3) as std from v group by all" for c in _TEN))
 def column_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean, median, deviation and count of ten columns, unpivoted into one aggregation."""
+    """Mean, median, deviation and count of ten columns, unpivoted; medians of groups of any size."""
     v = table(spark, sf_dir, "lineitem").select(F.trunc("l_shipdate", "month").alias("month"), *[F.expr(_DERIVED.get(c, c)).cast("double").alias(c) for c in _TEN])
     long = v.unpivot(["month"], _TEN, "metric", "v")
-    return rounded(long.groupBy("month", "metric").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), (F.percentile("v", 0.5) + 1.3e-8).alias("median"), F.stddev_pop("v").alias("std")), 3)
+    moments = long.groupBy("month", "metric").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    return rounded(moments.join(exact_quantiles(long, ["month", "metric"], "v", {"median": 0.5}), ["month", "metric"], "left").withColumn("median", F.col("median") + 1.3e-8), 3)
 
 
 _TYPES = ("click", "error", "view")
@@ -126,4 +128,7 @@ def pooled_single_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Yearly pools whose quantiles come from residuals in single precision, at two levels in one aggregation."""
     res = (F.col("m") - F.col("r")).cast("float").cast("double")
     long = pairs(spark, sf_dir).select("ship_year", res.alias("res"), F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.col(c).alias("name")) for n, c in _BUNDLES])).alias("g"))
-    return rounded(long.groupBy("g.level", "g.name", "ship_year").agg(F.count("*").alias("n"), F.avg("res").alias("bias32"), F.percentile("res", 0.5).alias("median32")), 4)
+    long = long.select("g.level", "g.name", "ship_year", "res")
+    keys = ["level", "name", "ship_year"]
+    pooled = long.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("res").alias("bias32"))
+    return rounded(pooled.join(exact_quantiles(long, keys, "res", {"median32": 0.5}), keys, "left"), 4)

@@ -1,18 +1,15 @@
 """Readers of the text formats as DataFrames: numeric tables, grid maps, orbits and observations.
 
-Files are the unit of reading; a day or an hour is one. Lines keep their file and number, and what a
+Files are the unit of reading, but for observation files; a day or an hour is one. Lines keep their file and number, and what a
 line inherits from earlier ones (epoch, band, header) is the last non-null value of a window over its
 file, so files are parsed side by side and nothing passes through the driver. ``gzip`` files are
-unpacked by Spark. Observation records are cut in numpy, file by file. Times are ``timestamp_ntz`` in UTC; bad numbers are null.
+unpacked by Spark. Observation files are split at their epoch lines, and records cut in numpy. Times are ``timestamp_ntz`` in UTC; bad numbers are null.
 """
 
 from __future__ import annotations
 
-import calendar
 import re
 from collections.abc import Iterator, Mapping
-from datetime import datetime
-from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -153,32 +150,6 @@ _RECORD = re.compile(rb"[A-Z][ \d]\d")
 RECORDS = 8_192
 
 
-def _header_types(head: bytes) -> dict[str, list[str]]:
-    """Observables of each system, continuation lines included, cut to the number that the header gives."""
-    found: dict[str, list[str]] = {}
-    count: dict[str, int] = {}
-    system = ""
-    for line in head.decode("latin-1").splitlines():
-        if line[60:80].strip() != "SYS / # / OBS TYPES":
-            continue
-        if line[:1].strip():
-            system = line[0]
-            if line[3:6].strip().isdigit():
-                count[system] = int(line[3:6])
-        found.setdefault(system, []).extend(line[6:60].split())
-    return {k: v[: count.get(k, len(v))] for k, v in found.items()}
-
-
-def _epoch_micros(words: list[bytes]) -> int | None:
-    """Microseconds since 1970 of the words of an epoch line, half a microsecond up."""
-    try:
-        year, month, day, hour, minute = (int(w) for w in words[:5])
-        second = int(Decimal(words[5].decode()).quantize(Decimal("0.000001"), ROUND_HALF_UP).scaleb(6))
-        return (calendar.timegm((year, month, day, hour, minute, 0)) if datetime(year, month, day, hour, minute) else 0) * 1_000_000 + second
-    except (ValueError, IndexError, ArithmeticError):
-        return None
-
-
 def _values(lines: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     """(values, marks) of records of ``size`` fields: 14 characters of number, two of marks; a bad number is NaN."""
     width = 3 + 16 * size
@@ -201,27 +172,25 @@ def _number(text: bytes) -> float:
 
 
 def _observation_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks (file, epoch, types of each system, text) to values; records of one file and system are cut as one array."""
+    known: dict[str, dict[str, list[str]]] = {}
     for batch in batches:
-        for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            head, found, body = text.as_buffer().to_pybytes().partition(b"END OF HEADER")
-            types = _header_types(head)
-            held: dict[str, tuple[list[bytes], list[int]]] = {}
-            epoch, used = None, False
-            for line in body.split(b"\n")[1:] if found else ():
-                if line[:1] == b">":
-                    words = line[1:].split()
-                    epoch = _epoch_micros(words)
-                    used = epoch is not None and (len(words) < 7 or not words[6].isdigit() or int(words[6]) <= 1)
-                elif used and _RECORD.match(line):
-                    system = chr(line[0])
-                    if system in types:
-                        rows = held.setdefault(system, ([], []))
-                        rows[0].append(line.rstrip(b"\r"))
-                        rows[1].append(epoch)
-                        if len(rows[0]) == RECORDS:
-                            yield _observation_rows(name, types[system], *held.pop(system))
-            for system, rows in held.items():
-                yield _observation_rows(name, types[system], *rows)
+        held: dict[tuple[str, str], tuple[list[str], list[bytes], list[int]]] = {}
+        columns = [batch.column(k).to_pylist() for k in (0, 2, 3)]
+        epochs = batch.column(1).cast(pa.int64()).to_pylist()
+        for name, header, text, epoch in zip(*columns, epochs, strict=True):
+            if header not in known:
+                known[header] = {part[0]: part[2:].split(",") for part in header.split(";")}
+            types = known[header]
+            for line in text.split(b"\n")[1:]:
+                if _RECORD.match(line) and (system := chr(line[0])) in types:
+                    rows = held.setdefault((name, system), (types[system], [], []))
+                    rows[1].append(line.rstrip(b"\r"))
+                    rows[2].append(epoch)
+                    if len(rows[1]) == RECORDS:
+                        yield _observation_rows(name, *held.pop((name, system)))
+        for (name, _), rows in held.items():
+            yield _observation_rows(name, *rows)
 
 
 def _observation_rows(name: str, types: list[str], lines: list[bytes], epochs: list[int]) -> pa.RecordBatch:
@@ -235,11 +204,50 @@ def _observation_rows(name: str, types: list[str], lines: list[bytes], epochs: l
         names=["file", "epoch", "sv", "obs", "value", "lli", "ssi"])
 
 
-def observations(spark: SparkSession, path: str | list[str]) -> DataFrame:
+#: Most files whose headers are broadcast; headers of more files are joined by a shuffle, in which a file is a small part.
+HEADERS = 100_000
+_HEADER_END = "END OF HEADER"
+
+
+def observation_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(file, header)``: the observables of each system of a file, written as ``G:C1C,L1C;R:C1C``."""
+    heads = _blocks(spark, path).where(F.contains("text", F.lit(_HEADER_END)))
+    lines = heads.select("file", F.posexplode(F.split("text", r"\r?\n")).alias("pos", "line"))
+    parts = observation_types(lines).where("size(types) > 0").select("of_file", F.concat_ws(":", "of_system", F.array_join("types", ",")).alias("part"))
+    return parts.groupBy(F.col("of_file").alias("file")).agg(F.array_join(F.array_sort(F.collect_list("part")), ";").alias("header"))
+
+
+def _blocks(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(file, text)``: an epoch line with its records each, without the mark that begins it; a file's header is one too."""
+    return spark.read.option("lineSep", "\n>").text(path).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+
+
+def observations(
+    spark: SparkSession, path: str | list[str], systems: list[str] | None = None, observables: list[str] | None = None,
+    since: str | None = None, until: str | None = None, broadcast: int = HEADERS,
+) -> DataFrame:
     """``(file, epoch, sv, obs, value, lli, ssi)`` of observation files, a row for each value that is there.
 
-    Records have no marks of their own, so a file is read in order, in one task, and its fixed fields
-    are cut and cast as one array. Records of event epochs (flag above 1) are not observations and go.
+    Files are cut into byte ranges, each of which begins at the next epoch line: that line's mark is the
+    record separator, so Spark's own text scan splits a file of any size over tasks, in any store. What a
+    file's header says goes to its blocks by a join with the table of headers. Blocks outside ``since``
+    (included) to ``until`` (not) are dropped before they reach Python; of the others only the given
+    ``systems`` and ``observables`` are kept. Records of event epochs (flag above 1) are not observations
+    and go. Compressed files are one range.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").cast("binary").alias("text"))
-    return whole.mapInArrow(_observation_batches, OBSERVATIONS)
+    words_ = words(F.substring_index("text", "\n", 1))
+    flag = F.get(words_, F.lit(6))
+    blocks = _blocks(spark, path).select("file", epoch(words_).alias("epoch"), flag.alias("flag"), "text")
+    blocks = blocks.where("epoch is not null and (flag is null or not flag rlike '^[0-9]+$' or cast(flag as int) <= 1)")
+    if since is not None:
+        blocks = blocks.where(F.col("epoch") >= F.lit(since).cast("timestamp_ntz"))
+    if until is not None:
+        blocks = blocks.where(F.col("epoch") < F.lit(until).cast("timestamp_ntz"))
+    headers = observation_headers(spark, path).withColumnRenamed("file", "of_file")
+    if systems is not None:
+        of = F.filter(F.split("header", ";"), lambda part: F.substring(part, 1, 1).isin(systems))
+        headers = headers.withColumn("header", F.array_join(of, ";")).where("header <> ''")
+    few = headers.limit(broadcast + 1).count() <= broadcast
+    met = blocks.join(F.broadcast(headers) if few else headers, F.col("file") == F.col("of_file"))
+    found = met.select("file", "epoch", "header", F.col("text").cast("binary").alias("text")).mapInArrow(_observation_batches, OBSERVATIONS)
+    return found if observables is None else found.where(F.col("obs").isin(observables))
