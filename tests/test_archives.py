@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import align, scans, segments, states, stats
+from tidemark.sources import commits
 
 
 def test_merged_states_equal_all_rows(spark, tmp_path):
@@ -80,3 +81,61 @@ def test_values_that_are_not_finite(spark):
     pairs = [(1.0, 2.0), (2.0, 4.0), (3.0, 9.0), (nan, 1.0), (4.0, None)]
     row = stats.spearman(spark.createDataFrame(pairs, "x double, y double"), "x", "y").first()
     assert (row.n, round(row.rho, 9)) == (3, 1.0)
+
+
+def test_interval_join_equals_all_pairs(spark):
+    rng = random.Random(9)
+    points = [(k, rng.choice(["a", "b", None]), rng.choice([None, *range(-300, 300)])) for k in range(200)]
+    spans = [(n, rng.choice(["a", "b"]), a, a + rng.choice([-1, 0, 1, 3, 4, 5, 16, 17, 100, 400])) for n, a in enumerate(rng.randrange(-320, 320) for _ in range(300))] + [(999, "a", None, 5)]
+    p, w = spark.createDataFrame(points, "k long, s string, t long"), spark.createDataFrame(spans, "w long, s string, a long, b long")
+    inside = lambda t, a, b: t is not None and a is not None and a <= t < b
+    got = align.interval_join(p, w, "t", "a", "b", ["s"])
+    assert sorted((r.k, r.w) for r in got.collect()) == sorted((k, n) for k, s, t in points for n, z, a, b in spans if s == z and inside(t, a, b))
+    got = align.interval_join(p.drop("s"), w.drop("s"), "t", "a", "b")
+    assert sorted((r.k, r.w) for r in got.collect()) == sorted((k, n) for k, _, t in points for n, _, a, b in spans if inside(t, a, b))
+    assert align.interval_join(p, w.limit(0), "t", "a", "b", ["s"]).count() == 0
+
+
+def test_many_windows_without_nested_loop(spark):
+    points = spark.range(100_000).select(F.col("id").alias("t"))
+    spans = spark.range(100_000).select(F.col("id").alias("w"), (F.col("id") * 7 % 100_000).alias("a")).withColumn("b", F.col("a") + F.col("w") % 50)
+    found = align.interval_join(points, spans, "t", "a", "b")
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == spans.agg(F.sum(F.least("b", F.lit(100_000)) - F.col("a"))).first()[0]
+
+
+def test_only_published_units_are_read(spark, tmp_path):
+    root = f"file://{tmp_path}/run"
+    one = lambda v: spark.createDataFrame([(v,)], "v long")
+    units = spark.createDataFrame([("d1",), ("d2",), ("d3",)], "unit string")
+    assert commits.committed(spark, root, "v long").count() == 0 and commits.unfinished(units, root).count() == 3
+    commits.commit(one(1), root, "d1")
+    commits.write_aside(one(2), root, "d2")  # stopped before it is published
+    assert [r.v for r in commits.committed(spark, root, "v long").collect()] == [1]
+    commits.write_aside(one(10), root, "d1")  # stopped while it is written again
+    assert [r.v for r in commits.committed(spark, root, "v long").collect()] == [1]
+    for r in commits.unfinished(units, root).collect():
+        commits.commit(one(20), root, r.unit)
+    commits.commit(one(11), root, "d1")
+    assert sorted(r.v for r in commits.committed(spark, root, "v long").collect()) == [11, 20, 20] and commits.unfinished(units, root).count() == 0
+
+
+def test_nearest_site_without_limit(spark):
+    """Against all pairs: poles, the date line, antipodes, one cluster and far points."""
+    rng = random.Random(7)
+    sites = [(k, 50 + rng.random(), 10 + rng.random()) for k in range(40)] + [(90, 90.0, 0.0), (91, -89.9, 33.0), (92, 0.0, 179.95)]
+    points = [(k, rng.uniform(-90, 90), rng.uniform(-180, 180)) for k in range(60)] + [(100, 0.1, -179.99), (101, -90.0, 5.0), (102, 89.99, -170.0), (103, -50.5, -169.5), (104, None, 1.0), (105, 50.5, 10.5)]
+
+    def km(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        return 2 * 6371 * math.asin(min(1.0, math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+    p, s = spark.createDataFrame(points, "k long, lat double, lon double"), spark.createDataFrame(sites, "site long, lat double, lon double")
+    for first in (5.0, 500.0, 30_000.0):
+        got = {r.k: (r.site, r.km) for r in align.nearest_site(p, s, "k", "site", first).collect()}
+        assert set(got) == {k for k, lat, _ in points if lat is not None}
+        for k, lat, lon in points:
+            if lat is not None:
+                best = min(sites, key=lambda x: km(lat, lon, x[1], x[2]))  # noqa: B023
+                assert got[k][0] == best[0] and abs(got[k][1] - km(lat, lon, *best[1:])) < 1e-6
+    assert align.nearest_site(p, s.limit(0), "k", "site").count() == 0

@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import stored
+
 from .selection import finite
 
 EARTH_KM = 6371.0
@@ -50,6 +53,27 @@ def nearest_time(left: DataFrame, right: DataFrame, time: str, tolerance: int, b
     return best.select(*[F.col(f"_left.{c}").alias(c) for c in left.columns], F.col("_best.matched_time").alias("matched_time"), F.col("_best.value").alias(value), F.col("_best.gap").alias("gap"))
 
 
+def interval_join(points: DataFrame, intervals: DataFrame, time: str, begins: str, ends: str, by: list[str] | None = None) -> DataFrame:
+    """``points`` with each of the ``intervals`` (``begins`` included to ``ends`` not) that holds their ``time``; times are integers.
+
+    Every interval has a level, the least power of four that is no shorter, and stands in the two buckets
+    of that length at most which it touches; a point stands in one bucket of each level that occurs, 32 at most.
+    They meet by equality of level and bucket, and the exact condition follows. Points or intervals with a
+    null, and intervals without length, meet nothing.
+    """
+    by = by or []
+    length = F.col(ends) - F.col(begins)
+    levels = F.array(*[F.lit(4**k).cast("long") for k in range(32)])
+    wide = F.size(F.filter(levels, lambda w: w < length))
+    spans = intervals.where(length > 0).withColumn("_level", wide)
+    at = lambda t: F.floor(t / F.element_at(levels, F.col("_level") + 1)).cast("long")
+    spans = spans.withColumn("_bucket", F.explode(F.array_distinct(F.array(at(F.col(begins)), at(F.col(ends) - 1)))))
+    occurring = sorted(r[0] for r in spans.select("_level").distinct().collect())
+    placed = points.withColumn("_level", F.explode(F.array(*map(F.lit, occurring)).cast("array<int>"))).withColumn("_bucket", at(F.col(time)))
+    met = placed.join(spans, [*by, "_level", "_bucket"])
+    return met.where((F.col(time) >= F.col(begins)) & (F.col(time) < F.col(ends))).drop("_level", "_bucket")
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
@@ -68,6 +92,26 @@ def nearest_cell(points: DataFrame, cells: DataFrame, key: str, cell: str, limit
     return _nearest_place(points, cells, key, cell, limit_km, by or [], limit_km / 111.0, reach, haversine_km)
 
 
+def nearest_site(points: DataFrame, sites: DataFrame, key: str, site: str, first_km: float = 100.0) -> DataFrame:
+    """The nearest of ``sites`` by great circle for each of ``points``, however far; as ``nearest_cell`` otherwise.
+
+    Rings grow fourfold from ``first_km``: what is found within a ring is the nearest, since all sites within
+    it were looked at, so only points without one go on to the next ring, and the last ring is the whole
+    sphere. Points that are far from every site meet many; choose ``first_km`` near the usual distance.
+    """
+    most = math.pi * EARTH_KM + 1
+    left, km, rings = points.select(key, "lat", "lon").where("lat is not null and lon is not null"), first_km, []
+    while True:
+        rings.append(stored(nearest_cell(left, sites, key, site, min(km, most)), "ring"))
+        if km >= most:
+            break
+        left = stored(left.join(rings[-1].select(key), key, "left_anti"), "beyond")
+        if left.isEmpty():
+            break
+        km *= 4
+    return reduce(DataFrame.union, rings)
+
+
 def nearest_cell_flat(points: DataFrame, cells: DataFrame, key: str, cell: str, limit_km: float, by: list[str] | None = None) -> DataFrame:
     """The same by the local flat distance, of cells with equal ``by`` (an epoch)."""
     reach = lambda cos: limit_km / 111.32 / cos

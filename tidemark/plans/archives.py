@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import scans, states, stats
-from tidemark.sources import readers
+from tidemark.operators import align, scans, states, stats
+from tidemark.session import new_folder
+from tidemark.sources import commits, readers
 
 from .registry import micros, query, rounded, table
-from .streams import new_folder
 
 
 @query("""with p as (select l_returnflag, year(l_shipdate)::int as ship_year, l_shipdate::date as day, case when l_shipdate::date = date '1995-03-15' then 2 else 1 end * l_extendedprice / l_quantity as m, p_retailprice as r from lineitem join part on l_partkey = p_partkey)
@@ -89,3 +89,49 @@ def observation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     slip = F.count(F.when((F.col("lli") < 2) & (F.col("obs") == "L1C"), 1))
     return found.groupBy(F.to_date("epoch").alias("day"), "sv", "obs").agg(
         F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"), slip.alias("n_slips"), F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.max("epoch")).alias("last_second"))
+
+
+@query("""with w as (select o_orderkey, (o_orderkey * 7919) % 2592000 as begins, (o_orderkey * 7919) % 2592000 + case when o_orderkey % 1000 = 1 then 400000 when o_orderkey % 9 = 2 then 0 else o_orderkey % 3000 end as ends from orders),
+ e as (select (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) // 1000000 as t, value from events)
+ select o_orderkey, count(*) as n, round(sum(value), 4) as total from w join e on t >= begins and t < ends group by all""")
+def events_in_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One window for each order, from seconds to days, against all events."""
+    k = F.col("o_orderkey")
+    begins = (k * 7919 % 2_592_000).cast("long")
+    length = F.when(k % 1000 == 1, 400_000).when(k % 9 == 2, 0).otherwise(k % 3000)
+    windows = table(spark, sf_dir, "orders").select("o_orderkey", begins.alias("begins"), (begins + length).alias("ends"))
+    events = table(spark, sf_dir, "events").select(F.floor(micros("ts") / 1_000_000).alias("t"), "value")
+    return align.interval_join(events, windows, "t", "begins", "ends").groupBy("o_orderkey").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("""with o as (select strftime(o_orderdate, '%Y') as year, o_totalprice as price from orders)
+ select year, case when year = '1995' then 'open' else 'done' end as state, count(*) as n, round(sum(case when year = '1993' then 2 * price when year = '1995' then 0 else price end), 2) as price from o group by all""")
+def restarted_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years of orders as units of a run: 1993 done twice, 1994 stopped at its second writing, 1995 before it was published."""
+    orders = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy").alias("year"), F.col("o_totalprice").alias("price"))
+    root = new_folder(spark, "commits")
+    units = sorted(r.year for r in orders.select("year").distinct().collect())  # a run has one job for each unit
+    of = lambda unit: orders.where(F.col("year") == unit)
+    for unit in units:
+        folder = commits.write_aside(of(unit), root, unit)
+        if unit != "1995":
+            commits.publish(spark, root, unit, folder)
+    if "1993" in units:
+        commits.commit(of("1993").withColumn("price", 2 * F.col("price")), root, "1993")
+    if "1994" in units:
+        commits.write_aside(of("1994").withColumn("price", F.lit(-1.0)), root, "1994")
+    seen = commits.committed(spark, root, "year string, price double").groupBy("year").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("price"))
+    left = commits.unfinished(orders.select(F.col("year").alias("unit")).distinct(), root)
+    waiting = orders.join(left, F.col("year") == F.col("unit")).groupBy("year").agg(F.count("*").alias("n"))
+    return seen.select("year", F.lit("done").alias("state"), "n", "price").union(waiting.select("year", F.lit("open"), "n", F.lit(0.0)))
+
+
+@query("""with p as (select c_custkey, (c_custkey * 37) % 1801 / 10.0 - 90 as lat, (c_custkey * 53) % 3600 / 10.0 - 180 as lon from customer), s as (select s_suppkey, (s_suppkey * 61) % 1801 / 10.0 - 90 as a, (s_suppkey * 97) % 3600 / 10.0 - 180 as b from supplier),
+ d as (select c_custkey, s_suppkey, a, b, 2 * 6371 * asin(least(1.0, sqrt(pow(sin(radians(a - lat) / 2), 2) + cos(radians(lat)) * cos(radians(a)) * pow(sin(radians(b - lon) / 2), 2)))) as km from p, s)
+ select c_custkey, s_suppkey, round(km, 3) as km from (select *, row_number() over (partition by c_custkey order by km, a, b) as k from d) where k = 1""")
+def nearest_site_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest supplier of each customer on the whole sphere, without a limit."""
+    place = lambda k, m, n: [((F.col(k) * m % 1801) / 10.0 - 90).cast("double").alias("lat"), ((F.col(k) * n % 3600) / 10.0 - 180).cast("double").alias("lon")]
+    points = table(spark, sf_dir, "customer").select("c_custkey", *place("c_custkey", 37, 53))
+    sites = table(spark, sf_dir, "supplier").select("s_suppkey", *place("s_suppkey", 61, 97))
+    return rounded(align.nearest_site(points, sites, "c_custkey", "s_suppkey", 250.0), 3)

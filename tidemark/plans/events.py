@@ -40,9 +40,9 @@ _WINDOWS = "w(label, begins, ends) as (values " + ", ".join(f"('{n}', {a}, {b})"
 
 
 def labelled(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """Rows by window; windows may overlap, so a row can have two labels. The few windows go to every task."""
+    """Rows by window; windows may overlap, so a row can have two labels."""
     windows = spark.createDataFrame(WINDOWS, "label string, begins long, ends long")
-    return df.join(F.broadcast(windows), (F.col("minute") >= F.col("begins")) & (F.col("minute") < F.col("ends")))
+    return align.interval_join(df, windows, "minute", "begins", "ends")
 
 
 @query(_P95.replace("with g as", f"with {_WINDOWS}, g as") + """, m as (select label, minute, count(*) as links, count(distinct sv) as satellites, count(*) filter (where above) as n_above from x join w on minute >= begins and minute < ends group by all)

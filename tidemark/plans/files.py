@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import align
+from tidemark.session import new_folder
 from tidemark.sources import readers, sinks, tables
 
 from .registry import query, rounded, table
-from .streams import new_folder
 
 
 @query("select o_orderkey, case when o_orderkey % 7 = 0 then null else o_totalprice end as price, o_orderdate::date as day, null::double as more from orders where o_orderkey % 3 = 0")

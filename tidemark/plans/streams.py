@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import new_folder
 from tidemark.streaming import windows as st
 
 from .registry import micros, query, rounded, table
@@ -17,20 +15,6 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.file_stream(spark, sf_dir, table(spark, sf_dir, "events").schema, "events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
 
 
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A new folder in the shared one of the session; a local run without one gets a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="spark-tidemark-")
-    return f"{shared.rstrip('/')}/tidemark/{label}-{uuid.uuid4().hex}"
-
-
-def _seconds(c: str) -> F.Column:
-    return F.unix_seconds(c) - F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp"))
-
-
 @query("select floor(((epoch_us(ts) - epoch_us(timestamp '2024-01-01')) // 60000000) / 60)::bigint * 3600 as start, event_type, count(*) as n, round(avg(value), 6) as mean from events group by all")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = st.tumbling(_events(spark, sf_dir), "at", "1 hour", "2 hours", ["event_type"], [F.count("*").alias("n"), F.avg("value").alias("mean")])

@@ -1,8 +1,28 @@
-"""Session factory: UTC, ANSI and adaptive execution, as every query here expects."""
+"""Session factory (UTC, ANSI and adaptive execution, as every query here expects) and shared storage."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one of the session; a local run without one gets a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="spark-tidemark-")
+    return f"{shared.rstrip('/')}/tidemark/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, which cuts its lineage."""
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def get_spark(app_name: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
