@@ -111,3 +111,18 @@ def test_tables(spark, tmp_path):
     assert times[0] == datetime(2025, 1, 1, 12) and abs((times[1] - datetime(2025, 1, 2, 0, 0, 1)).total_seconds()) < 0.01
     (tmp_path / "s.csv").write_text("2025;01;31;2025.083; 120;x\n2025;02;30;0;1\n2025; 2; 1;0; -1;\n")
     assert [tuple(r) for r in readers.daily_semicolon(spark, str(tmp_path / "s.csv"), "ssn").collect()] == [(date(2025, 1, 31), 120.0), (date(2025, 2, 1), None)]
+
+
+def test_numbers_of_fields():
+    import numpy as np
+
+    texts = ["  20000000.125", "        -5.500", "          .250", "         -.250", "         0.001", "-999999999.999", "9999999999.999", "              ", "        45    ", "  1.5e3       ", "     12 34.000", "    --1.000   ", "       1-2.000", "         x.000", "-0000000000.5 ", "          nan ", "          inf ", "        -    .", "      - 12.345", "+       12.345", "     +1234.567"]
+    cells = np.frombuffer("".join(f"{t:14}1 " for t in texts).encode(), dtype=np.uint8)
+    got, marks = readers._values(cells)
+    for t, v in zip(texts, got.tolist(), strict=True):
+        try:
+            want = float(t)
+        except ValueError:
+            want = float("nan")
+        assert v == want or v != v and want != want, (t, v, want)
+    assert set(marks[:, 0].tolist()) == {1} and (marks[:, 1] < 0).all()

@@ -8,7 +8,6 @@ unpacked by Spark. Observation files are split at their epoch lines, and records
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -145,22 +144,27 @@ def observation_types(lines: DataFrame) -> DataFrame:
 
 
 OBSERVATIONS = "file string, epoch timestamp_ntz, sv string, obs string, value double, lli int, ssi int"
-_RECORD = re.compile(rb"[A-Z][ \d]\d")
 #: Records of an Arrow batch of values.
 RECORDS = 8_192
 
 
-def _values(lines: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(values, marks) of records of ``size`` fields: 14 characters of number, two of marks; a bad number is NaN."""
-    width = 3 + 16 * size
-    cells = np.frombuffer(b"".join(x.ljust(width)[:width] for x in lines), dtype=np.uint8).reshape(len(lines), width)[:, 3:].reshape(-1, 16)
+def _values(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, marks) of rows of fields: 14 characters of number, two of marks; a bad number is NaN."""
+    cells = cells.reshape(-1, 16)
     numbers = cells[:, :14].copy()
-    numbers[(numbers == 32).all(axis=1), :3] = np.frombuffer(b"nan", dtype=np.uint8)
-    text = numbers.view("S14").ravel()
-    try:
-        values = text.astype(np.float64)
-    except ValueError:
-        values = np.array([_number(x) for x in text.tolist()])
+    values = np.full(len(numbers), np.nan)
+    # usual fields have three decimals: digits after blanks and a sign make an integer
+    digit = numbers - 48
+    whole, rest = digit[:, :10], digit[:, 11:]
+    is_digit, blank, minus = whole <= 9, numbers[:, :10] == 32, numbers[:, :10] == 45
+    filled = is_digit | minus
+    usual = (numbers[:, 10] == 46) & (rest <= 9).all(axis=1) & (filled | blank).all(axis=1) & (filled[:, 1:] | ~filled[:, :-1]).all(axis=1)
+    usual &= (~minus[:, 1:] | blank[:, :-1]).all(axis=1) & (minus.sum(axis=1) <= 1) & is_digit[:, 9]
+    exact = np.where(is_digit, whole, 0).astype(np.int64) @ (10 ** np.arange(12, 2, -1)) + rest.astype(np.int64) @ np.array([100, 10, 1])
+    values[usual] = np.where(minus.any(axis=1), -exact, exact)[usual] / 1000.0  # both exact, so rounded once
+    empty = (numbers == 32).all(axis=1)
+    for k in np.flatnonzero(~usual & ~empty).tolist():
+        values[k] = _number(numbers[k].tobytes())
     return values, cells[:, 14:].astype(np.int16) - 48
 
 
@@ -172,35 +176,57 @@ def _number(text: bytes) -> float:
 
 
 def _observation_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks (file, epoch, types of each system, text) to values; records of one file and system are cut as one array."""
+    """Blocks (file, epoch, types of each system, text) to values; the lines of a batch are cut as arrays."""
     known: dict[str, dict[str, list[str]]] = {}
     for batch in batches:
-        held: dict[tuple[str, str], tuple[list[str], list[bytes], list[int]]] = {}
-        columns = [batch.column(k).to_pylist() for k in (0, 2, 3)]
-        epochs = batch.column(1).cast(pa.int64()).to_pylist()
-        for name, header, text, epoch in zip(*columns, epochs, strict=True):
+        names, headers = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        epochs = batch.column(1).cast(pa.int64()).to_numpy()
+        texts = batch.column(3).cast(pa.large_binary())
+        if not len(texts):
+            continue
+        bounds = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)
+        breaks = np.flatnonzero(data[: bounds[-1]] == 10)
+        breaks = breaks[breaks >= bounds[0]]
+        starts = breaks + 1
+        block = np.searchsorted(bounds, breaks, side="right") - 1
+        stops = np.minimum(np.r_[breaks[1:], bounds[-1]], bounds[block + 1])
+        stops = stops - ((stops > starts) & (data[np.maximum(stops, 1) - 1] == 13))
+        fits = stops - starts >= 3
+        starts, stops, block = starts[fits], stops[fits], block[fits]
+        one, two, three = (data[starts + k] for k in range(3))
+        records = (one >= 65) & (one <= 90) & ((two == 32) | (two >= 48) & (two <= 57)) & (three >= 48) & (three <= 57)
+        starts, stops, block, one = starts[records], stops[records], block[records], one[records]
+        groups: dict[tuple[str, str], int] = {}
+        group = np.array([groups.setdefault(pair, len(groups)) for pair in zip(names, headers, strict=True)])
+        key = group[block] * 256 + one
+        pairs = list(groups)
+        for k in np.unique(key).tolist():
+            name, header = pairs[k // 256]
             if header not in known:
                 known[header] = {part[0]: part[2:].split(",") for part in header.split(";")}
-            types = known[header]
-            for line in text.split(b"\n")[1:]:
-                if _RECORD.match(line) and (system := chr(line[0])) in types:
-                    rows = held.setdefault((name, system), (types[system], [], []))
-                    rows[1].append(line.rstrip(b"\r"))
-                    rows[2].append(epoch)
-                    if len(rows[1]) == RECORDS:
-                        yield _observation_rows(name, *held.pop((name, system)))
-        for (name, _), rows in held.items():
-            yield _observation_rows(name, *rows)
-
-
-def _observation_rows(name: str, types: list[str], lines: list[bytes], epochs: list[int]) -> pa.RecordBatch:
-    values, marks = _values(lines, len(types))
+            types = known[header].get(chr(k % 256))
+            if types is None:
+                continue
+            mine = np.flatnonzero(key == k)
+            places = np.arange(3 + 16 * len(types))
+            for at in range(0, len(mine), RECORDS):
+                some = mine[at : at + RECORDS]
+                inside = places < (stops[some] - starts[some])[:, None]
+                cells = np.where(inside, data[np.where(inside, starts[some][:, None] + places, 0)], np.uint8(32))
+                yield _observation_rows(name, types, cells, epochs[block[some]])
+
+
+def _observation_rows(name: str, types: list[str], cells: np.ndarray, epochs: np.ndarray) -> pa.RecordBatch:
+    values, marks = _values(cells[:, 3:])
     good = np.flatnonzero(np.isfinite(values))
     record, field = np.divmod(good, len(types))
-    svs = pa.array([x[:3].replace(b" ", b"0").decode() for x in lines])
+    names = cells[:, :3].copy()
+    names[names == 32] = 48
+    svs = pa.array(names.view("S3").ravel().astype("U3"))
     digit = lambda k: pa.array(marks[good, k].astype(np.int32), mask=(marks[good, k] < 0) | (marks[good, k] > 9))
     return pa.RecordBatch.from_arrays(
-        [pa.array([name]).take(pa.array(np.zeros(len(good), dtype=np.int32))), pa.array(np.array(epochs, dtype="datetime64[us]")[record]), svs.take(pa.array(record)), pa.array(types).take(pa.array(field)), pa.array(values[good]), digit(0), digit(1)],
+        [pa.array([name]).take(pa.array(np.zeros(len(good), dtype=np.int32))), pa.array(epochs.astype("datetime64[us]")[record]), svs.take(pa.array(record)), pa.array(types).take(pa.array(field)), pa.array(values[good]), digit(0), digit(1)],
         names=["file", "epoch", "sv", "obs", "value", "lli", "ssi"])
 
 
