@@ -103,7 +103,7 @@ def butterworth(fs: float, cutoff: float, order: int, high: bool) -> list[tuple[
 
 @lru_cache(maxsize=64)
 def _matrices(b: tuple[float, ...], a: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a section and a block: the response to its samples, to the state before it, and what both leave as the next state."""
+    """Of a section and a block: the response to its samples, to the state before it, and what both leave as later states."""
     step = np.array([[-a[1], 1.0], [-a[2], 0.0]])
     into = np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
     powers = [np.eye(2)]
@@ -114,18 +114,39 @@ def _matrices(b: tuple[float, ...], a: tuple[float, ...]) -> tuple[np.ndarray, n
     lags = np.subtract.outer(np.arange(BLOCK), np.arange(BLOCK))
     response = np.where(lags >= 0, impulse[np.maximum(lags, 0)], 0.0)
     moved = np.array([powers[BLOCK - 1 - k] @ into for k in range(BLOCK)])
-    return response, seen, powers[BLOCK], moved
+    return response, seen, np.array(powers), moved
 
 
-def _section(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """One section over ``x`` from a state, in blocks: within a block the response is a matrix, between blocks the state moves on."""
-    response, seen, onward, moved = _matrices(tuple(b.tolist()), tuple(a.tolist()))
+def section(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One section over ``x`` from a state, and the state after it: within a block the response is a matrix, between blocks the state moves on."""
+    response, seen, powers, moved = _matrices(tuple(b.tolist()), tuple(a.tolist()))
     blocks = np.pad(x, (0, -len(x) % BLOCK)).reshape(-1, BLOCK)
     states, added = np.empty((len(blocks), 2)), blocks @ moved
     for k in range(len(blocks)):
         states[k] = state
-        state = onward @ state + added[k]
-    return (blocks @ response.T + states @ seen.T).ravel()[: len(x)]
+        state = powers[BLOCK] @ state + added[k]
+    rest = len(x) % BLOCK
+    if rest:
+        state = powers[rest] @ states[-1] + blocks[-1, :rest] @ moved[BLOCK - rest :]
+    return (blocks @ response.T + states @ seen.T).ravel()[: len(x)], state
+
+
+def steady(sections: list[tuple[np.ndarray, np.ndarray]], level: float) -> np.ndarray:
+    """States of the sections (a row each) after a constant input that has always been there."""
+    out = []
+    for b, a in sections:
+        gain = b.sum() / a.sum()
+        out.append(np.array([b[1] + b[2] - (a[1] + a[2]) * gain, b[2] - a[2] * gain]) * level)
+        level *= gain
+    return np.array(out)
+
+
+def cascade(sections: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All sections over ``x`` one after the other, from their states, and the states after it."""
+    after = np.empty((len(sections), 2))
+    for k, (b, a) in enumerate(sections):
+        x, after[k] = section(b, a, x, states[k])
+    return x, after
 
 
 def zero_phase(x: np.ndarray, sections: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -135,20 +156,30 @@ def zero_phase(x: np.ndarray, sections: list[tuple[np.ndarray, np.ndarray]]) ->
         raise ValueError(f"more than {pad} samples are needed")
     y = np.r_[2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]
     for _ in range(2):
-        level = y[0]
-        for b, a in sections:
-            gain = b.sum() / a.sum()
-            rest = np.array([b[1] + b[2] - (a[1] + a[2]) * gain, b[2] - a[2] * gain])
-            y = _section(b, a, y, rest * level)
-            level *= gain
-        y = y[::-1]
+        y = cascade(sections, y, steady(sections, y[0]))[0][::-1]
     return y[pad:-pad]
 
 
+def high_and_ratio(x: np.ndarray, fs: float, cutoff: float, order: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Zero-phase high pass of the detrended values of an arc, and values by their low-pass trend; NaN where there is none."""
+    high, ratio = np.full(len(x), np.nan), np.full(len(x), np.nan)
+    if len(x) >= least and len(x) > 3 * (order + 1) and np.isfinite(x).all():
+        t = np.arange(len(x)) - (len(x) - 1) / 2
+        centred = x - x.mean()
+        high = zero_phase(centred - t * (t @ centred) / (t @ t), butterworth(fs, cutoff, order, True))
+        ratio = to_trend(x, zero_phase(x, butterworth(fs, cutoff, order, False)))
+    return high, ratio
+
+
+def to_trend(x: np.ndarray, trend: np.ndarray) -> np.ndarray:
+    return np.where(trend > 0, x / np.where(trend > 0, trend, 1.0), np.nan)
+
+
 def filtered(df: DataFrame, segment: list[str], order_by: str, value: str, fs: float, cutoff: float = 0.1, order: int = 6, kind: str = "single") -> DataFrame:
     """``(segment, order_by, value, filtered, ratio)``: zero-phase high pass of the detrended value, and value by low-pass trend.
 
-    An arc is one group: its length is bounded by how long a satellite is in view. Arcs that are too
+    An arc is one group: its length is bounded by how long a satellite is in view (``long_arcs.filtered_blocks``
+    takes arcs of any length). Arcs that are too
     short or hold a missing value have nulls, and so has a ratio to a trend that is not positive.
     """
     keys = [f for f in df.select(*segment, order_by, value).schema]
@@ -159,13 +190,7 @@ def filtered(df: DataFrame, segment: list[str], order_by: str, value: str, fs: f
         table = table.select([k.name for k in keys])
         table = table.take(pc.sort_indices(table, sort_keys=[(order_by, "ascending")]))
         x = table[value].cast(pa.float64()).to_numpy(zero_copy_only=False)
-        high, ratio = np.full(len(x), np.nan), np.full(len(x), np.nan)
-        if len(x) >= least and len(x) > 3 * (order + 1) and np.isfinite(x).all():
-            t = np.arange(len(x)) - (len(x) - 1) / 2
-            centred = x - x.mean()
-            high = zero_phase(centred - t * (t @ centred) / (t @ t), butterworth(fs, cutoff, order, True))
-            trend = zero_phase(x, butterworth(fs, cutoff, order, False))
-            ratio = np.where(trend > 0, x / np.where(trend > 0, trend, 1.0), np.nan)
+        high, ratio = high_and_ratio(x, fs, cutoff, order, least)
         return table.append_column("filtered", pa.array(high, from_pandas=True)).append_column("ratio", pa.array(ratio, from_pandas=True))
 
     return df.select(*segment, order_by, value).groupBy(*segment).applyInArrow(arc, schema)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import geodesy as geo
-from tidemark.operators import highrate
+from tidemark.operators import highrate, long_arcs, scans
 
 from .registry import micros, query, rounded, table
 
@@ -91,6 +91,30 @@ def filtered_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("user_id").agg(F.count("*").alias("n"), F.count("filtered").alias("n_filtered"), F.round(F.stddev_pop("filtered"), 6).alias("sigma"), F.round(F.avg("ratio"), 6).alias("mean_ratio"))
 
 
+def cut_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of each user in time, some marked as lost lock."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", (micros("ts") / 1_000_000).alias("t"), (F.col("value") + 20).alias("value"), "event_type")
+    return events.withColumn("lost", (F.col("event_type") == "error") & (F.col("event_id") % 50 == 0)).drop("event_type")
+
+
+@query(None)
+def arcs_cut_and_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arcs cut at gaps of four days and at lost lock, in time buckets, then filtered each; tested against loop and recursion."""
+    arcs = scans.bucketed_segments(cut_samples(spark, sf_dir), ["user_id"], "t", ["event_id"], 10 * 86_400, 4 * 86_400, F.col("lost"))
+    found = long_arcs.filtered_blocks(arcs, ["user_id", "segment_id"], ["t", "event_id"], "value", 1.0, 10 * 86_400)
+    return found.groupBy("user_id", "segment_id").agg(F.count("*").alias("n"), F.count("filtered").alias("n_filtered"), F.round(F.stddev_pop("filtered"), 6).alias("sigma"))
+
+
+def one_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.lit("all").alias("series"), (micros("ts") / 1_000_000).alias("t"), "event_id", (F.col("value") + 20).alias("value"))
+
+
+@query(None)
+def long_arc_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as samples of one arc, filtered in blocks of an hour; tested against the recursion over the whole arc."""
+    return rounded(long_arcs.filtered_blocks(one_arc(spark, sf_dir), ["series"], ["t", "event_id"], "value", 1.0, 3_600))
+
+
 def orbit_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Epochs every 900 s of one day for the nations, some missing, and the orders' times as queries."""
     nation = table(spark, sf_dir, "nation").select(F.concat(F.lit("G"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("sv"), F.col("n_nationkey").alias("k"))
