@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import highrate
 from tidemark.streaming import windows as st
 
 SCHEMA = "s string, t long, v double"
@@ -44,3 +47,31 @@ def test_windows_and_repeats(spark, tmp_path):
     assert sorted((r.window_start.timestamp(), r.s, r.n, r.total) for r in got.collect()) == sorted((float(r.w), r.s, r.n, r.total) for r in batch.collect())
     again = st.first_wins(stream.union(stream), "at", "1 hour", ["s", "t"])
     assert st.run_to_table(again, f"{tmp_path}/d", "append").count() == 100
+
+
+def test_arcs_are_filtered_once_they_close(spark, tmp_path):
+    rng, second = random.Random(8), 1_000_000
+    arcs = {"a": [(0, 300), (500, 700), (2000, 2300)], "b": [(100, 2500)], "c": [(1500, 1530)]}
+    rows = [(s, t * second, rng.random() + 3) for s, spans in arcs.items() for lo, hi in spans for t in range(lo, hi) if t % 17]
+    rows += [("a", 5 * second, 99.0), (None, 40 * second, 1.0), (None, 9000 * second, 0.0)]
+    stream = hours(spark, tmp_path, rows, 6).withColumn("at", F.timestamp_micros("t"))
+    closed = st.closed_arcs(stream, "at", "s", "t", "v", 100 * second, "60 seconds", 1.0)
+    with st.state_in_rocksdb(spark):
+        found = st.run_to_table(closed, f"{tmp_path}/out", "append")
+    got, batches = {}, {}
+    for r in found.orderBy("t_us").collect():
+        got.setdefault((r.series, r.arc_begin_us), []).append((r.t_us, r.value, r.filtered, r.ratio))
+        batches.setdefault((r.series, r.arc_begin_us), set()).add(r.batch)
+    want = {}
+    for s, spans in arcs.items():
+        for lo, hi in spans:
+            samples = sorted({t: v for g, t, v in reversed(rows) if g == s and lo * second <= t < hi * second}.items())
+            want[s, samples[0][0]] = (samples, highrate.high_and_ratio(np.array([v for _, v in samples]), 1.0, 0.1, 6, 60))
+    assert set(got) == set(want)
+    for k, (samples, (high, ratio)) in want.items():
+        assert [p[:2] for p in got[k]] == samples and len(batches[k]) == 1
+        for at, expected in ((2, high), (3, ratio)):
+            assert np.array([np.nan if p[at] is None else p[at] for p in got[k]]) == pytest.approx(expected, abs=1e-9, nan_ok=True)
+    assert len(set().union(*batches.values())) > 1
+    left = spark.read.format("statestore").option("stateVarName", "samples").load(f"{tmp_path}/out/checkpoint")
+    assert left.count() == 0

@@ -480,6 +480,6 @@ def topk_abs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # the other query modules register theirs
-from . import archives, events, files, highrate, regression, selection, streams, summaries, windows  # noqa: E402,F401
+from . import archives, events, files, formats, highrate, layouts, regression, selection, streams, summaries, windows  # noqa: E402,F401
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -3,19 +3,24 @@
 The batch rules keep their meaning: windows are aligned to UTC, an arc ends where the next sample is
 more than a gap away, and arcs go on across file boundaries because their state is keyed by series,
 not by file. Rows later than the watermark are dropped by Spark; zero-phase filters look both ways,
-so they run on arcs that have closed.
+so they run on arcs that have closed (``closed_arcs``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from tidemark.operators import highrate
+
 ARC = "series string, arc long, first_us long, last_us long, n long, closed boolean"
 _STATE = "arc long, first_us long, last_us long, n long"
 
@@ -71,6 +76,108 @@ def arcs(stream: DataFrame, series: str, micros: str, gap_us: int) -> DataFrame:
     return rows.groupBy("series").applyInPandasWithState(follow, ARC, _STATE, "update", "NoTimeout")
 
 
+FILTERED = "series string, arc_begin_us long, t_us long, value double, filtered double, ratio double"
+
+
+class _Closing(StatefulProcessor):
+    """Samples of a series until their arc is over: a list of them, and timers at which an arc may be over."""
+
+    def __init__(self, gap_us: int, fs: float, cutoff: float, order: int, least: int) -> None:
+        self.gap, self.filter = gap_us, (fs, cutoff, order, least)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.samples = handle.getListState("samples", "t long, value double")
+        self.ends = handle.getValueState("ends", "last long, timer long")
+
+    def _wait(self, last: int) -> int:
+        """Set the timer at which nothing can go on an arc that ends with ``last``; timers count milliseconds."""
+        at = (last + self.gap) // 1000 + 1
+        self.handle.registerTimer(at)
+        return at
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        known = self.ends.get() if self.ends.exists() else None
+        last, timer = (known[0], known[1]) if known else (None, None)
+        for frame in rows:
+            if key[0] is None or not len(frame):
+                continue
+            times = np.sort(frame["t"].to_numpy())
+            self.samples.appendList([(int(t), None if pd.isna(v) else float(v)) for t, v in zip(frame["t"], frame["value"], strict=True)])
+            for t in times[:-1][np.diff(times) > self.gap].tolist():
+                self._wait(t)
+            newest = int(times[-1])
+            if last is None or newest > last:
+                # an arc that goes on has its old timer taken back
+                if last is not None and times[0] - last <= self.gap:
+                    self.handle.deleteTimer(timer)
+                last, timer = newest, self._wait(newest)
+            else:
+                self._wait(newest)
+            self.ends.update((last, timer))
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        over = expiredTimerInfo.getExpiryTimeInMs()
+        held = sorted(((r[0], r[1]) for r in self.samples.get()), key=lambda r: (r[0], r[1] is None, r[1] or 0.0)) if self.samples.exists() else []
+        times = np.array([r[0] for r in held], dtype=np.int64)
+        first = np.r_[True, np.diff(times) > 0] if len(times) else np.empty(0, dtype=bool)
+        times, values = times[first], np.array([np.nan if r[1] is None else r[1] for r in held])[first]
+        cuts = np.flatnonzero(np.diff(times) > self.gap) + 1
+        begins, stops = np.r_[0, cuts] if len(times) else cuts, np.r_[cuts, len(times)] if len(times) else cuts
+        out, rest = [], 0
+        for a, b in zip(begins.tolist(), stops.tolist(), strict=True):
+            if (int(times[b - 1]) + self.gap) // 1000 + 1 > over:
+                break
+            high, ratio = highrate.high_and_ratio(values[a:b], *self.filter)
+            out.append(pd.DataFrame({"series": pd.Series([key[0]] * (b - a), dtype=object), "arc_begin_us": times[a], "t_us": times[a:b], "value": values[a:b], "filtered": high, "ratio": ratio}))
+            rest = b
+        if rest == len(times):
+            self.samples.clear()
+            self.ends.clear()
+        elif rest:
+            self.samples.put([(int(t), None if np.isnan(v) else float(v)) for t, v in zip(times[rest:], values[rest:], strict=True)])
+        return iter(out)
+
+    def close(self) -> None:
+        pass
+
+
+def closed_arcs(stream: DataFrame, at: str, series: str, micros: str, value: str, gap_us: int, late: str, fs: float, cutoff: float = 0.1, order: int = 6, kind: str = "single") -> DataFrame:
+    """Rows of ``FILTERED``: the samples of each arc once it has closed, with the zero-phase filters of ``highrate.filtered``.
+
+    ``at`` is the sample's time as a timestamp for the watermark, ``micros`` the same time as microseconds since 1970.
+    An arc is over when the watermark has passed its last sample by more than ``gap_us``, so no
+    sample can follow it; its rows are then emitted, all at once and only once, and its state is
+    removed. A series that still has an open arc keeps that arc's samples alone. Of samples of one
+    time the smallest value stays. Rows without a series, or without a time, only move the watermark.
+    State is kept in RocksDB: run it within ``state_in_rocksdb``.
+    """
+    rows = stream.withWatermark(at, late).select(F.col(series).cast("string").alias("series"), F.col(micros).cast("long").alias("t"), F.col(value).cast("double").alias("value"), F.col(at).alias("at"))
+    keyed = rows.select(F.when(F.col("t").isNotNull(), F.col("series")).alias("series"), F.coalesce("t", F.lit(0)).alias("t"), "value", "at")
+    closing = _Closing(gap_us, fs, cutoff, order, highrate.least_samples(kind, fs, cutoff, order))
+    return keyed.groupBy("series").transformWithStateInPandas(closing, StructType.fromDDL(FILTERED), "append", "eventTime")
+
+
+@contextmanager
+def state_in_rocksdb(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, in so many partitions; the session's own settings come back afterwards.
+
+    A stream keeps its number of partitions for life, so choose it by the cores that will serve it.
+    """
+    wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    if partitions is not None:
+        wanted["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {name: spark.conf.get(name) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def run_to_table(stream: DataFrame, path: str, mode: str) -> DataFrame:
     """Process all files that are there, store each batch's rows with its number under ``path`` and read them back.
 
