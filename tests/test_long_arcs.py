@@ -38,6 +38,16 @@ def test_blocks_equal_the_recursion(spark):
     assert long_arcs.filtered_blocks(df.where("t < -1000"), ["s"], ["t"], "v", 10.0, 100.0).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 40, 5000])
+def test_tables_equal_runs(n):
+    for f in long_arcs._filters(10.0, 0.1, 6):
+        ones, ramp = f.line(n)
+        assert ones == pytest.approx(f.own(np.ones(n)), abs=1e-9) and ramp == pytest.approx(f.own(np.arange(n, dtype=float)), abs=1e-6)
+        unit = np.eye(6)[3]
+        sent, after = f.run(np.zeros(n), unit)
+        assert f.power(n) @ unit == pytest.approx(after, abs=1e-9) and f.echo(n) @ unit == pytest.approx(f.run(sent[::-1], np.zeros(6))[1], abs=1e-9)
+
+
 def test_all_events_as_one_arc(spark):
     folder = "/root/testdata/sf0.01"
     x = np.array([r.value for r in plans.one_arc(spark, folder).orderBy("t", "event_id").collect()])
