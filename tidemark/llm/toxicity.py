@@ -79,18 +79,28 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return words, 1 + np.log(np.bincount(at, np.concatenate([counts[k] for k in keep]), len(words)))
 
 
-def _bags(chosen: np.ndarray | None = None):
-    """``(toxic, words, weights)`` of rows ``(toxic, text)``; of the chosen features alone, if given."""
+def _counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(word, total, pos)`` of rows ``(toxic, text)``: documents and toxic documents with a feature, by batch."""
+    for batch in slices(rows):
+        toxic = batch.column(0).to_numpy(zero_copy_only=False)
+        words = [bag(x)[0] for x in batch.column(1).to_pylist()]
+        seen, at = np.unique(np.concatenate(words), return_inverse=True)
+        pos = np.bincount(at, np.repeat(toxic, [len(w) for w in words]), len(seen)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(np.bincount(at, minlength=len(seen))), pa.array(pos)], names=["word", "total", "pos"])
+        _table().trim()
+
+
+def _bags(chosen: np.ndarray):
+    """``(toxic, words, weights)`` of rows ``(toxic, text)``, of the chosen features."""
+    model = Model(chosen, np.zeros(len(chosen)), 0.0)
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(rows):
-            found = [bag(x) for x in batch.column(1).to_pylist()]
-            if chosen is not None:
-                found = [(w[k], x[k]) for w, x in found for k in (np.isin(w, chosen),)]
+            found = [model.weighed(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([w.view(np.int64) for w, _ in found], pa.list_(pa.int64())), pa.array([x.astype(np.float32) for _, x in found], pa.list_(pa.float32()))],
+                [batch.column(0), pa.array([chosen[at].view(np.int64) for at, _ in found], pa.list_(pa.int64())), pa.array([x.astype(np.float32) for _, x in found], pa.list_(pa.float32()))],
                 names=["toxic", "words", "weights"])
-            _table().trim()
+            model.table().trim()
 
     return batches
 
@@ -100,7 +110,7 @@ class Model:
 
     def __init__(self, words: np.ndarray, weights: np.ndarray, intercept: float):
         self.words, self.weights, self.intercept = words, weights, intercept
-        self.key = ("toxicity", xxhash.xxh3_64_intdigest(words.tobytes() + weights.tobytes()))
+        self.key = ("toxicity model", xxhash.xxh3_64_intdigest(words.tobytes() + weights.tobytes()))
 
     def logit(self, words: np.ndarray, values: np.ndarray) -> float:
         if not len(self.words) or not len(words):
@@ -110,21 +120,29 @@ class Model:
 
     def table(self) -> WordTable:
         """Words to the places of their features among the chosen ones (-1: not chosen)."""
+        return worker_cache(self.key, self._new_table)
+
+    def _new_table(self) -> WordTable:
         spot = {int(w): k for k, w in enumerate(self.words)}
 
         def describe(word: str) -> tuple:
             found = [spot.get(h, -1) for h in features_of(word)]
             return (*found, *[-1] * (1 + len(STEMS) - len(found)))
 
-        return worker_cache(self.key, lambda: WordTable(describe, (np.int32,) * (1 + len(STEMS))))
+        return WordTable(describe, (np.int32,) * (1 + len(STEMS)))
 
-    def logit_of(self, text: str | None) -> float:
-        """``logit(*bag(text))``, looking only at features that weigh."""
+    def weighed(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Places of a text's features among the chosen ones, ascending, with their weights in the text."""
         table = self.table()
         codes = table.codes((text or "").split())
         at = np.concatenate([table.column(k)[codes] for k in range(1 + len(STEMS))])
         at, counts = np.unique(at[at >= 0], return_counts=True)
-        return self.intercept + float((self.weights[at] * (1 + np.log(counts))).sum())
+        return at, 1 + np.log(counts)
+
+    def logit_of(self, text: str | None) -> float:
+        """``logit(*bag(text))``, looking only at features that weigh."""
+        at, values = self.weighed(text)
+        return self.intercept + float((self.weights[at] * values).sum())
 
 
 def _identity() -> np.ndarray:
@@ -257,7 +275,7 @@ BAGS = "toxic int, words array<long>, weights array<float>"
 def _chosen(sample: DataFrame, n: int, toxic: int, most: int = FEATURES) -> np.ndarray:
     """``_choose`` over the rows of a DataFrame ``(toxic, text)``, at most ``most`` features and the identity terms."""
     share = toxic / n
-    counts = sample.mapInArrow(_bags(), BAGS).select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("total"), F.sum("toxic").alias("pos"))
+    counts = sample.mapInArrow(_counts, "word long, total long, pos long").groupBy("word").agg(F.sum("total").alias("total"), F.sum("pos").alias("pos"))
     z = F.abs(F.col("pos") - F.col("total") * share) / F.sqrt(F.col("total") * (share * (1 - share)))
     term = F.col("word").isin(_identity().view(np.int64).tolist())
     ranked = counts.withColumn("z", F.when(F.col("total") >= SEEN, z).otherwise(0.0)).withColumn("term", term).where((F.col("z") >= ERRORS) | F.col("term"))
