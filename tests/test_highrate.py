@@ -105,6 +105,37 @@ def test_orbit_query_against_a_dense_spline(spark):
     assert {("cubic", True, False), ("cubic", False, False), ("linear", True, False), ("none", False, False)} <= kinds
 
 
+@pytest.mark.parametrize("block", [7, 96])
+def test_the_spline_is_that_over_all_epochs(spark, block):
+    """Blocks of any size, days without epochs, distances of 1 s to days, repeated epochs, queries before, after and without."""
+    rng = np.random.default_rng(5)
+    step = np.where(rng.random(900) < 0.02, 200_000.0, np.where(rng.random(900) < 0.1, 1.0, 900.0))
+    t = 1_600_000_000.0 + np.cumsum(step)
+    y = np.column_stack([f(t / 6_856 + k) * 2.6e7 for k, f in enumerate((np.sin, np.cos, np.sin))])
+    epochs = [("G1", float(a), *map(float, p)) for a, p in zip(t, y)]
+    epochs += epochs[10:30] + [("G1", float(t[40]), 9e9, 0.0, 0.0), ("G1", None, 0.0, 0.0, 0.0), ("G2", 0.0, 1.0, 2.0, 3.0), ("G2", 400_000.0, 2.0, 3.0, 4.0), (None, 0.0, 1.0, 1.0, 1.0)]
+    q = np.concatenate([rng.uniform(t[0] - 1e5, t[-1] + 1e5, 500), t[::50], (t[:-1] + t[1:])[::3] / 2])
+    asked = [("G1", float(x)) for x in q] * 2 + [("G2", 1_000.0), ("G2", -1.0), ("G3", 5.0), ("G1", None), (None, 0.0)]
+    frames = spark.createDataFrame(asked, "sv string, t double"), spark.createDataFrame(epochs, "sv string, t double, x double, y double, z double")
+    got = highrate.orbit_positions(*frames, most_gap=1e9, block=block).collect()
+    assert len(got) == len(asked)
+    inside = (q >= t[0]) & (q <= t[-1])
+    dense = np.column_stack([dense_spline(t - t[0], y[:, k], q[inside] - t[0]) for k in range(3)])
+    want = dict(zip(q[inside].tolist(), dense.tolist()))
+    for r in got:
+        if r.sv == "G1":
+            assert r.available == (r.t in want) and r.method == "cubic"
+            if r.available and r.gap < 1e4:  # within a millimetre; across days without epochs it swings far out
+                assert np.allclose((r.x, r.y, r.z), want[r.t], atol=1e-3, rtol=1e-11)
+            elif r.available:
+                assert np.allclose((r.x, r.y, r.z), want[r.t], rtol=1e-9, atol=1e-3 * max(map(abs, want[r.t])))
+    rest = {(r.sv, r.t): (r.method, r.available, r.x) for r in got if r.sv != "G1"}
+    assert rest["G2", 1_000.0] == ("linear", True, pytest.approx(1.0025)) and rest["G2", -1.0] == ("linear", False, None)
+    assert rest["G3", 5.0] == ("none", False, None) and not rest[None, 0.0][1]
+    empty = frames[1].limit(0)
+    assert {r.available for r in highrate.orbit_positions(frames[0], empty).collect()} == {False} and highrate.orbit_positions(frames[0].limit(0), frames[1]).count() == 0
+
+
 def test_slips_and_events(spark):
     steps = [0.0, 0.0, 0.0, 0.1, 0.0, 50.0, 0.0, 0.0, 0.0, 0.1, 0.0]
     rows = [("a", k, sum(steps[: k + 1])) for k in range(len(steps))] + [("b", k, float(k % 2) * 99) for k in range(4)]

@@ -1,7 +1,7 @@
 """High-rate series: segmentation by events and slips, detrending, filters, orbits, carrier pairing.
 
 Everything but the filters and the orbit spline is column expressions and windows by series; those two
-get one arc or one satellite's epochs as Arrow and use numpy there.
+get one arc or one block of a satellite's epochs as Arrow and use numpy there.
 """
 
 from __future__ import annotations
@@ -231,16 +231,33 @@ def spline(t: np.ndarray, y: np.ndarray, q: np.ndarray) -> np.ndarray:
 ORBIT = "sv string, t double, x double, y double, z double, nearest double, gap double, method string, available boolean"
 
 
-def orbit_positions(queries: DataFrame, orbits: DataFrame, most_gap: float = 1200.0, day: float = 86_400.0) -> DataFrame:
+#: Epochs that a block has beyond its own on either side. A change of the spline's second derivative at an epoch is at
+#: least halved from each epoch to the next, whatever their distances, so a block's ends weigh 2 ** -64 at most inside.
+HALO = 64
+
+
+def orbit_positions(queries: DataFrame, orbits: DataFrame, most_gap: float = 1200.0, day: float = 86_400.0, block: int = 96) -> DataFrame:
     """Positions of satellites ``(sv, t)`` from epochs ``(sv, t, x, y, z)``: spline, or lines below four epochs; no extrapolation.
 
     A query between epochs more than ``most_gap`` apart has none; one at an epoch has the epoch's own.
-    The first of equal epochs counts. A satellite is cut into days, each with the epochs of half a day
-    around it, so no group grows with the archive.
+    Of equal epochs the one of least coordinates counts; an epoch without a time counts for nothing.
+    The spline is that over all epochs of a satellite: epochs are numbered from counts of days and cut into
+    blocks of ``block``, each with ``HALO`` epochs around it, so no group grows with the archive.
     """
-    spread = F.array_distinct(F.array(*[F.floor((F.col("t") + k * day / 2) / day) for k in (-1, 0, 1)]))
-    known = orbits.select("sv", "t", "x", "y", "z", F.explode(spread).alias("day"))
-    asked = queries.select("sv", "t", F.floor(F.col("t") / day).alias("day"))
+    known = orbits.where("t is not null").groupBy("sv", "t").agg(F.min(F.struct("x", "y", "z")).alias("p"))
+    rows = known.select("sv", "t", "p", F.lit(0).alias("asked")).unionByName(queries.select("sv", "t", F.lit(1).alias("asked")), allowMissingColumns=True)
+    rows = rows.withColumn("day", F.floor(F.col("t") / day))
+    before = Window.partitionBy("sv").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy("sv", "day").agg(F.sum(1 - F.col("asked")).alias("n"))
+    days = days.select(F.col("sv").alias("of_sv"), F.col("day").alias("of_day"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy("sv")).alias("total"))
+    upto = Window.partitionBy("sv", "day").orderBy("t", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = rows.withColumn("upto", F.sum(1 - F.col("asked")).over(upto))
+    numbered = numbered.join(days, F.col("sv").eqNullSafe(F.col("of_sv")) & F.col("day").eqNullSafe(F.col("of_day")))
+    at = F.col("base") + F.col("upto") - 1  # number of the last epoch that is not after the row
+    last = F.greatest(F.floor((F.col("total") - 1) / block), F.lit(0))
+    of = lambda k: F.least(F.greatest(F.floor(k / block), F.lit(0)), last)
+    known = numbered.where("asked = 0").select(F.col("sv").alias("sv"), F.col("t").alias("t"), "p.*", F.explode(F.sequence(of(at - HALO), of(at + HALO))).alias("block"))
+    asked = numbered.where("asked = 1").select("sv", "t", of(at).alias("block"))
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
         q = left["t"].to_numpy()
@@ -271,7 +288,7 @@ def orbit_positions(queries: DataFrame, orbits: DataFrame, most_gap: float = 120
         columns = [left["sv"], left["t"], *(pa.array(out[:, k], from_pandas=True) for k in range(3)), pa.array(nearest, from_pandas=True), pa.array(gap, from_pandas=True), pa.array([method] * n, pa.string()), pa.array(ok)]
         return pa.table(columns, names=["sv", "t", "x", "y", "z", "nearest", "gap", "method", "available"])
 
-    return asked.groupBy("sv", "day").cogroup(known.groupBy("sv", "day")).applyInArrow(one, ORBIT)
+    return asked.groupBy("sv", "block").cogroup(known.groupBy("sv", "block")).applyInArrow(one, ORBIT)
 
 
 # --- carriers -------------------------------------------------------------------------------------
