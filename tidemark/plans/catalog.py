@@ -212,11 +212,13 @@ def harmonics(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- alignment ----------------------------------------------------------------------------------
 
 
-@query("""with h as (select unnest(range(0, 720)) * 3600000000 as t), e as (select epoch_us(ts) - epoch_us(timestamp '2024-01-01') as et, value from events where event_type = 'view'),
+@query("""with b as (select epoch_us(ts) - epoch_us(timestamp '2024-01-01') as et from events), h as (select unnest(range(min(et) // 3600000000, max(et) // 3600000000 + 1)) * 3600000000 as t from b), e as (select epoch_us(ts) - epoch_us(timestamp '2024-01-01') as et, value from events where event_type = 'view'),
  j as (select h.t, e.et, e.value, row_number() over (partition by h.t order by abs(e.et - h.t), e.et, e.value) as k from h join e on abs(e.et - h.t) <= 900000000)
  select h.t, j.et as matched_time, j.value, abs(j.et - h.t) as gap from h left join j on h.t = j.t and k = 1""")
 def asof_nearest_tol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hours = spark.range(720).select((F.col("id") * 3_600_000_000).alias("t"))
+    """The view nearest to each full hour from the first event to the last."""
+    hour = lambda x: F.floor(x(micros("ts")) / 3_600_000_000)
+    hours = table(spark, sf_dir, "events").agg(hour(F.min).alias("a"), hour(F.max).alias("b")).select(F.explode(F.sequence("a", "b")).alias("t")).select((F.col("t") * 3_600_000_000).alias("t"))
     events = table(spark, sf_dir, "events").where("event_type = 'view'").select(micros("ts").alias("t"), "value")
     return align.nearest_time(hours, events, "t", 900_000_000, [], "value")
 

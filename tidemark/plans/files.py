@@ -12,25 +12,25 @@ from tidemark.sources import readers, sinks, tables
 from .registry import query, rounded, table
 
 
-@query("select o_orderkey, case when o_orderkey % 7 = 0 then null else o_totalprice end as price, o_orderdate::date as day, null::double as more from orders where o_orderkey % 3 = 0")
+@query("select o_orderkey, case when o_orderkey % 7 = 0 then null else o_totalprice end as price, o_orderdate::date as day, null::double as more from orders")
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An ordered CSV table with cells that are no numbers, read under a contract with an optional column."""
     path = f"{new_folder(spark, 'csv')}/orders"
     price = F.when(F.col("o_orderkey") % 7 == 0, "bad").otherwise(F.col("o_totalprice").cast("string"))
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", price.alias("price"), F.to_date("o_orderdate").alias("day"), F.lit("x").alias("ignored"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", price.alias("price"), F.to_date("o_orderdate").alias("day"), F.lit("x").alias("ignored"))
     sinks.write_result(rows, path, ["o_orderkey"])
     return tables.csv_table(spark, path, {"o_orderkey": "long", "price": "double", "day": "date", "more": "double"}, optional=("more",))
 
 
-@query("select year(o_orderdate)::int as year, dayofyear(o_orderdate)::int as doy, count(*) as n, round(sum(case when month(o_orderdate) = 3 then 2 * o_totalprice else o_totalprice end), 2) as price from orders where o_orderdate >= timestamp '1997-03-01' and o_orderdate < timestamp '1997-05-01' group by all")
+@query("select year(ts)::int as year, dayofyear(ts)::int as doy, count(*) as n, round(sum(case when day(ts) <= 10 then 2 * value else value end), 2) as value from events group by all")
 def day_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days as partitions; writing March again replaces March alone."""
-    path = f"{new_folder(spark, 'days')}/orders"
-    orders = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"), "o_totalprice").where("day >= date '1997-03-01' and day < date '1997-05-01'")
-    sinks.write_days(orders, path, "day")
-    sinks.write_days(orders.where("month(day) = 3").withColumn("o_totalprice", F.col("o_totalprice") * 2), path, "day")
-    stored = spark.read.schema("day date, o_totalprice double, year int, doy int").parquet(path)
-    return stored.groupBy("year", "doy").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("price"))
+    """Days as partitions; writing the first ten days of each month again replaces these alone."""
+    path = f"{new_folder(spark, 'days')}/events"
+    events = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "value")
+    sinks.write_days(events, path, "day")
+    sinks.write_days(events.where("day(day) <= 10").withColumn("value", F.col("value") * 2), path, "day")
+    stored = spark.read.schema("day date, value double, year int, doy int").parquet(path)
+    return stored.groupBy("year", "doy").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
 
 
 @query("""select c_custkey::double as c_custkey, case when c_custkey % 5 = 0 then null else (c_custkey % 90) / 10.0 end::double as kp, case when c_custkey % 8 = 0 then null else -(c_custkey % 300)::double end as dst from customer""")

@@ -82,7 +82,7 @@ def column_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TYPES = ("click", "error", "view")
 
 
-@query("""with s as (select unnest(generate_series(timestamp '2023-12-25', timestamp '2024-02-05', interval 7 day))::date as week), d as (select event_type, ts::date as day, avg(value) as v, count(distinct hour(ts)) as hours from events where not (event_type = 'error' and value < 20) group by all),
+@query("""with s as (select unnest(generate_series(date_trunc('week', min(ts))::timestamp, max(ts), interval 7 day))::date as week from events), d as (select event_type, ts::date as day, avg(value) as v, count(distinct hour(ts)) as hours from events where not (event_type = 'error' and value < 20) group by all),
  w as (select event_type, date_trunc('week', day)::date as week, avg(v) as mean, count(*) as days, sum(hours) as hours from d group by all)
  select s.week, """ + ", ".join(f"round(max(mean) filter (where event_type = '{t}'), 6) as {t}, max(days) filter (where event_type = '{t}') as {t}_days, (max(hours) filter (where event_type = '{t}'))::bigint as {t}_hours" for t in _TYPES) + " from s left join w on w.week = s.week group by s.week")
 def available_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,8 @@ def available_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").where("event_type in ('click', 'error', 'view') and not (event_type = 'error' and value < 20)")
     daily = events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"), F.count_distinct(F.hour("ts")).alias("hours"))
     weekly = daily.groupBy(F.trunc("day", "week").alias("week")).pivot("event_type", list(_TYPES)).agg(F.avg("v").alias("mean"), F.count("v").alias("days"), F.sum("hours").alias("hours"))
-    spine = spark.sql("select explode(sequence(date '2023-12-25', date '2024-02-05', interval 7 day)) as week")
+    spine = table(spark, sf_dir, "events").agg(*[F.to_date(F.date_trunc("week", f("ts"))).alias(n) for f, n in ((F.min, "a"), (F.max, "b"))])
+    spine = spine.select(F.explode(F.expr("sequence(a, b, interval 7 day)")).alias("week"))
     named = {f"{t}_mean": t for t in _TYPES}
     return rounded(spine.join(weekly, "week", "left").withColumnsRenamed(named))
 
