@@ -194,13 +194,17 @@ def station_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(hours.agg(F.count("*").alias("n"), F.percentile("value", 0.5).alias("station_value")))
 
 
-@query("""with s as (select unnest(generate_series(min(ts)::date::timestamp, max(ts), interval 1 day))::date as day from events), r(event_type) as (values ('view'), ('error')),
+@query("""with s as (select unnest(generate_series(least(timestamp '2024-01-01', min(ts)::date::timestamp), greatest(timestamp '2024-02-05', max(ts)), interval 1 day))::date as day from events), r(event_type) as (values ('view'), ('error')),
  e as (select ts::date as day, event_type, count(*) as n, count(*) filter (where value > 100) as n_ok from events where event_type in ('view', 'error') group by all)
  select s.day, r.event_type, coalesce(n, 0) as n, coalesce(n_ok, 0) as n_ok, n is not null as has_rows, case when coalesce(n_ok, 0) >= 5 then 'OK' else 'FAILED' end as status
  from s cross join r left join e on e.day = s.day and e.event_type = r.event_type""")
 def availability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each day of the spine and each reference, with counts, flags and a status."""
-    days = table(spark, sf_dir, "events").agg(F.to_date(F.min("ts")).alias("a"), F.to_date(F.max("ts")).alias("b")).select(F.explode(F.expr("sequence(a, b, interval 1 day)")).alias("day"))
+    """One row for each day of the spine and each reference, with counts, flags and a status.
+
+    The spine is the period asked for, wider where there are events outside it, so that days without any count as failed.
+    """
+    ends = [f(F.lit(day).cast("date"), F.to_date(g("ts"))).alias(n) for n, f, g, day in (("a", F.least, F.min, "2024-01-01"), ("b", F.greatest, F.max, "2024-02-05"))]
+    days = table(spark, sf_dir, "events").agg(*ends).select(F.explode(F.expr("sequence(a, b, interval 1 day)")).alias("day"))
     spine = days.select("day", F.explode(F.array(F.lit("view"), F.lit("error"))).alias("event_type"))
     counts = table(spark, sf_dir, "events").where("event_type in ('view', 'error')").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 100).alias("n_ok"))
     zero = F.lit(0).cast("long")
