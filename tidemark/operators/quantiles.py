@@ -5,46 +5,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import stored
+
 from .selection import finite
 
-#: Accuracy of the approximate quantiles that bracket the exact ones: ranks are right to 1 / ACCURACY of the rows.
-ACCURACY = 1_000
+#: Equal parts into which a bracket is cut by a pass over the rows.
+PARTS = 512
+#: A bracket of so many rows at most has its values ordered.
+INSIDE = 100_000
+#: Passes that cut brackets; each ends at values that occur, so a few do for any finite values.
+PASSES = 8
+#: Brackets of so many groups at most are broadcast.
+GROUPS = 20_000
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
     """``(keys, names of at)``: linearly interpolated quantiles of the finite values, as ``percentile`` gives them.
 
-    An aggregate that keeps all values of a group in one task cannot grow with the group. Here sketches
-    bracket each quantile first; a second pass counts what lies below the bracket and keeps the nearest
-    values outside it; and only values inside, some 4 / ACCURACY of a group, are ordered.
+    An aggregate that keeps all values of a group in one task cannot grow with the group. Here each
+    wanted rank has a bracket of values, at first from a group's least to its largest. A pass counts
+    the rows of its parts and the part with the rank is the next bracket, until few rows are in it;
+    these are ordered. Counts alone are shuffled, and each step's brackets are stored, so that every
+    row is held against the same ones. ``df`` is read once for each pass: a column that may come out
+    otherwise when it is computed again, as a mean of floats, must be stored before.
     """
     rows = df.where(finite(F.col(value))).select(*keys, F.col(value).alias("_v"))
-    margin = 2 / ACCURACY
-    cuts = F.percentile_approx("_v", [max(0.0, min(1.0, p + m)) for p in at.values() for m in (-margin, margin)], ACCURACY)
-    ends = rows.groupBy(*keys).agg(F.count("*").alias("_n"), cuts.alias("_cuts"))
-    ends = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n", "_cuts")
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    met = rows.join(ends, same) if keys else rows.join(F.broadcast(ends))
-    v, low, high = F.col("_v"), (lambda i: F.col("_cuts")[2 * i]), (lambda i: F.col("_cuts")[2 * i + 1])
-    outside = met.groupBy(*keys).agg(F.first("_n").alias("_n"), *[
-        f for i in range(len(at)) for f in (F.count_if(v < low(i)).alias(f"_below{i}"), F.max(F.when(v < low(i), v)).alias(f"_prev{i}"), F.min(F.when(v > high(i), v)).alias(f"_next{i}"))])
-    inside = F.filter(F.array(*[F.when(v.between(low(i), high(i)), F.lit(i)) for i in range(len(at))]), lambda x: x.isNotNull())
-    counted = met.select(*keys, "_v", F.explode(inside).alias("_i")).groupBy(*keys, "_i", "_v").agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    spans = counted.withColumn("_upto", upto)
-    ranked = spans.join(outside.withColumnsRenamed({k: f"_o{i}" for i, k in enumerate(keys)}), _equal(keys, "_o")) if keys else spans.join(F.broadcast(outside))
-    places = F.array(*map(F.lit, at.values()))[F.col("_i")] * (F.col("_n") - 1)
-    below, prev, next_ = (F.coalesce(*[F.when(F.col("_i") == i, F.col(f"{c}{i}")) for i in range(len(at))]) for c in ("_below", "_prev", "_next"))
-    ranked = ranked.select(*keys, "_i", "_v", places.alias("_at"), (below + F.col("_upto") - F.col("_c")).alias("_from"), (below + F.col("_upto")).alias("_to"), below.alias("_below"), prev.alias("_prev"), next_.alias("_next"))
-    found = ranked.groupBy(*keys, "_i").agg(
-        F.first("_at").alias("_at"), F.first("_below").alias("_below"), F.first("_prev").alias("_prev"), F.first("_next").alias("_next"),
-        *[F.max(F.when((F.col("_from") <= r) & (r < F.col("_to")), F.col("_v"))).alias(n) for n, r in (("_a", F.floor("_at")), ("_b", F.ceil("_at")))])
-    pick = lambda n, r: F.coalesce(F.col(n), F.when(r < F.col("_below"), F.col("_prev")).otherwise(F.col("_next")))
-    a, b = pick("_a", F.floor("_at")), pick("_b", F.ceil("_at"))
-    out = found.select(*keys, "_i", (a + (b - a) * (F.col("_at") - F.floor("_at"))).alias("_q"))
-    return out.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(name) for i, name in enumerate(at)])
+    ends = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    if not keys:
+        ends = ends.where("_n > 0")
+    places = [F.lit(p) * (F.col("_n") - 1) for p in at.values()]
+    ranks = F.array_distinct(F.array(*[f(x).cast("long") for x in places for f in (F.floor, F.ceil)]))
+    state = stored(ends.select(*keys, "_n", F.explode(ranks).alias("_rank"), F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_count"), "_lo", "_hi"), "ranks")
+    few = state.select(*keys).distinct().limit(GROUPS + 1).count() <= GROUPS
+    for _ in range(PASSES):
+        if state.where((F.col("_count") > INSIDE) & (F.col("_lo") < F.col("_hi"))).isEmpty():
+            break
+        share = F.try_divide(F.col("_v") / 2 - F.col("_lo") / 2, F.col("_hi") / 2 - F.col("_lo") / 2)
+        state = _narrowed(rows, state, keys, F.floor(F.coalesce(share, F.lit(0.0)) * PARTS), few)
+    state = _narrowed(rows, state, keys, F.col("_v"), few)
+    held = F.map_from_entries(F.collect_list(F.struct("_rank", "_lo")))
+    found = state.groupBy(*keys).agg(F.first("_n").alias("_n"), held.alias("_held"))
+    low, high = ([F.col("_held")[f(x).cast("long")] for x in places] for f in (F.floor, F.ceil))
+    return found.select(*keys, *[(a + (b - a) * (x - F.floor(x))).alias(name) for name, x, a, b in zip(at, places, low, high, strict=True)])
+
+
+def _narrowed(rows: DataFrame, state: DataFrame, keys: list[str], part: Column, few: bool) -> DataFrame:
+    """The ranks of ``state`` with their brackets narrowed to one ``part``, which rises with the values."""
+    done, wide = state.where(F.col("_lo") >= F.col("_hi")), state.where(F.col("_lo") < F.col("_hi"))
+    brackets = wide.groupBy(*keys).agg(F.collect_set(F.struct("_lo", "_hi")).alias("_brackets")).withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    met = rows.join(F.broadcast(brackets) if few else brackets, _equal(keys, "_k"))
+    own = F.filter("_brackets", lambda b: F.col("_v").between(b["_lo"], b["_hi"]))
+    placed = met.select(*keys, "_v", F.explode(own).alias("_b")).select(*keys, "_v", "_b._lo", "_b._hi").withColumn("_part", part)
+    counted = placed.groupBy(*keys, "_lo", "_part").agg(F.count("*").alias("_c"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_lo").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0))
+    spans = counted.withColumn("_upto", upto).withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)} | {"_lo": "_of"})
+    held = spans.join(F.broadcast(wide) if few else wide, _equal(keys, "_k") & (F.col("_lo") == F.col("_of")))
+    end = F.col("_below") + F.col("_upto")
+    held = held.where((end - F.col("_c") <= F.col("_rank")) & (F.col("_rank") < end))
+    held = held.select(*keys, "_n", "_rank", (end - F.col("_c")).alias("_below"), F.col("_c").alias("_count"), F.col("_from").alias("_lo"), F.col("_to").alias("_hi"))
+    return stored(done.unionByName(held), "ranks")
 
 
 def _equal(keys: list[str], prefix: str) -> Column:
