@@ -38,6 +38,17 @@ def test_word_ids_equal_the_library():
             assert np.frombuffer(encoder.encode(t), "<u4").tolist() == ids(WORD, t), repr(t)
 
 
+def test_frequent_words_outlive_a_full_cache(monkeypatch):
+    monkeypatch.setattr(tokens, "CUTS", 20)
+    monkeypatch.setattr(tokens, "WORDS", 20)
+    encoder, asked = tokens.WordIds(WORD), []
+    model = encoder.model
+    encoder.model = type("Model", (), {"tokenize": staticmethod(lambda w: asked.append(w) or model.tokenize(w))})
+    text = " ".join(f"the$$$ river, {chr(97 + k // 26 % 26)}{chr(97 + k % 26)}x" for k in range(200))
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids(WORD, text)
+    assert asked.count("river") == 1 and asked.count("the") == 1 and asked.count("$$$") == 1
+
+
 @pytest.mark.parametrize("frequent", [{}, {"the": 1}])
 def test_counts_equal_the_library(frequent):
     counter = tokens.TieredCounts(BYTE, frequent)

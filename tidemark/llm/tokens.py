@@ -8,6 +8,7 @@ not meet a fast path's conditions take a slower path with the same result.
 from __future__ import annotations
 
 import re
+import string
 from array import array
 from itertools import chain
 
@@ -16,11 +17,14 @@ from tokenizers import Tokenizer, pre_tokenizers
 from .common import worker_cache
 
 #: Entries of a worker's caches before they start anew, some 200 bytes each; the longest text cut that they hold.
-CUTS = 200_000
+#: Both of ``WordIds`` have ``CUTS`` and hold the last full lot beside the new one, so frequent entries are not made again.
+CUTS = 300_000
 WORDS = 160_000
 CACHE_CHARS = 64
 #: Marks that may end a word and form one pre-token there.
 _TAIL = ".,;:!?"
+#: All such marks of a tokenizer whose pre-tokens are letters, a digit or a run of marks; an apostrophe may be more.
+_MARKS = string.punctuation.replace("'", "")
 _UNITS = re.compile(r"\s*\S+|\s+")
 _BLANK = re.compile(r"[ \t\r\n]+")
 
@@ -45,21 +49,27 @@ class WordIds(dict):
         self.model = self.library.model
         self.spelling = _byte_level()
         self.words: dict[str, bytes] = {}
+        self.last: dict[str, bytes] = {}
+        self.last_words: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        core = chunk.rstrip(_TAIL)
-        if not chunk:
-            found = b""
-        elif core.isalpha() and self._plain(core):
-            found = self._word(core)
-            if len(core) < len(chunk):
-                found += self._word(chunk[len(core):])
-        else:
-            found = array("I", self.library.encode(chunk, add_special_tokens=False).ids).tobytes()
-        if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CUTS:
-                self.clear()
-            self[chunk] = found
+        found = self.last.get(chunk)
+        if found is None:
+            core = chunk.rstrip(_MARKS)
+            if not chunk:
+                found = b""
+            elif core.isalpha() and self._plain(core):
+                found = self._word(core)
+                if len(core) < len(chunk):
+                    found += self._word(chunk[len(core):])
+            else:
+                found = array("I", self.library.encode(chunk, add_special_tokens=False).ids).tobytes()
+            if len(chunk) > CACHE_CHARS:
+                return found
+        if len(self) >= CUTS:
+            self.last = dict(self)
+            self.clear()
+        self[chunk] = found
         return found
 
     @staticmethod
@@ -70,11 +80,15 @@ class WordIds(dict):
     def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            found = array("I", [t.id for t in self.model.tokenize(word.translate(self.spelling))]).tobytes()
-            if len(word) <= CACHE_CHARS:
-                if len(self.words) >= WORDS:
-                    self.words.clear()
-                self.words[word] = found
+            found = self.last_words.get(word)
+            if found is None:
+                spelt = word if word.isascii() else word.translate(self.spelling)
+                found = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+                if len(word) > CACHE_CHARS:
+                    return found
+            if len(self.words) >= CUTS:
+                self.last_words, self.words = self.words, {}
+            self.words[word] = found
         return found
 
     def encode(self, text: str | None) -> bytes:
