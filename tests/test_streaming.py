@@ -75,3 +75,38 @@ def test_arcs_are_filtered_once_they_close(spark, tmp_path):
     assert len(set().union(*batches.values())) > 1
     left = spark.read.format("statestore").option("stateVarName", "samples").load(f"{tmp_path}/out/checkpoint")
     assert left.count() == 0
+
+
+def test_a_batch_of_a_series_takes_few_calls_on_its_state():
+    calls, kept, timers = [], {"samples": [], "timer": None}, set()
+
+    class Kept:
+        def __init__(self, name): self.name = name
+        def get(self): calls.append("get"); return iter(kept["samples"]) if self.name == "samples" else kept["timer"]
+        def exists(self): calls.append("exists"); return bool(kept[self.name])
+        def appendList(self, rows): calls.append("append"); kept["samples"] += rows
+        def put(self, rows): calls.append("put"); kept["samples"] = list(rows)
+        def update(self, row): calls.append("update"); kept["timer"] = row
+        def clear(self): calls.append("clear"); kept[self.name] = [] if self.name == "samples" else None
+
+    class Handle:
+        def getListState(self, *_): return Kept("samples")
+        def getValueState(self, *_): return Kept("timer")
+        def registerTimer(self, at): calls.append("register"); timers.add(at)
+        def deleteTimer(self, at): calls.append("delete"); timers.discard(at)
+
+    class At:
+        def __init__(self, ms): self.ms = ms
+        def getExpiryTimeInMs(self): return self.ms
+        def getCurrentWatermarkInMs(self): return 10_000
+
+    closing = st._Closing(1_000_000, 1.0, 0.1, 6, 60)
+    closing.init(Handle())
+    arcs = [[k * 3_000_000, k * 3_000_000 + 500_000] for k in range(20)]
+    frame = st.pd.DataFrame({"t": sum(arcs, [])[::-1], "value": 1.0})
+    list(closing.handleInputRows(("a",), iter([frame]), At(0)))
+    assert timers == {1501} and len(calls) <= 4
+    calls.clear()
+    (out,) = closing.handleExpiredTimer(("a",), At(0), At(timers.pop()))
+    assert out["t_us"].tolist() == sum(arcs[:3], []) and out["arc_begin_us"].nunique() == 3
+    assert [r[0] for r in kept["samples"]] == sum(arcs[3:], []) and timers == {10_501} and len(calls) <= 4

@@ -80,7 +80,10 @@ FILTERED = "series string, arc_begin_us long, t_us long, value double, filtered
 
 
 class _Closing(StatefulProcessor):
-    """Samples of a series until their arc is over: a list of them, and timers at which an arc may be over."""
+    """Samples of a series until their arc is over: a list of them, and one timer, not after the time at which the first arc may be over.
+
+    Each call on the state is a round trip to the JVM, so a batch of a series takes two or four of them whatever its arcs are.
+    """
 
     def __init__(self, gap_us: int, fs: float, cutoff: float, order: int, least: int) -> None:
         self.gap, self.filter = gap_us, (fs, cutoff, order, least)
@@ -88,56 +91,58 @@ class _Closing(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.samples = handle.getListState("samples", "t long, value double")
-        self.ends = handle.getValueState("ends", "last long, timer long")
+        self.timer = handle.getValueState("timer", "at long")
 
-    def _wait(self, last: int) -> int:
-        """Set the timer at which nothing can go on an arc that ends with ``last``; timers count milliseconds."""
-        at = (last + self.gap) // 1000 + 1
+    def _closes(self, last: int) -> int:
+        """Milliseconds at which nothing can go on an arc that ends with ``last``."""
+        return (last + self.gap) // 1000 + 1
+
+    def _wait(self, at: int) -> None:
         self.handle.registerTimer(at)
-        return at
+        self.timer.update((at,))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        known = self.ends.get() if self.ends.exists() else None
-        last, timer = (known[0], known[1]) if known else (None, None)
-        for frame in rows:
-            if key[0] is None or not len(frame):
-                continue
-            times = np.sort(frame["t"].to_numpy())
-            self.samples.appendList([(int(t), None if pd.isna(v) else float(v)) for t, v in zip(frame["t"], frame["value"], strict=True)])
-            for t in times[:-1][np.diff(times) > self.gap].tolist():
-                self._wait(t)
-            newest = int(times[-1])
-            if last is None or newest > last:
-                # an arc that goes on has its old timer taken back
-                if last is not None and times[0] - last <= self.gap:
-                    self.handle.deleteTimer(timer)
-                last, timer = newest, self._wait(newest)
-            else:
-                self._wait(newest)
-            self.ends.update((last, timer))
+        frames = [f for f in rows if len(f)]
+        if key[0] is None or not frames:
+            return iter(())
+        for frame in frames:
+            self.samples.appendList([(t, None if v != v else v) for t, v in zip(frame["t"].tolist(), frame["value"].tolist(), strict=True)])
+        times = np.sort(np.concatenate([f["t"].to_numpy() for f in frames]))
+        ends = times[:-1][np.diff(times) > self.gap]
+        at = self._closes(int(ends[0] if len(ends) else times[-1]))
+        known = self.timer.get()
+        if known is None or at < known[0]:
+            if known is not None:
+                self.handle.deleteTimer(known[0])
+            self._wait(at)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        over = expiredTimerInfo.getExpiryTimeInMs()
-        held = sorted(((r[0], r[1]) for r in self.samples.get()), key=lambda r: (r[0], r[1] is None, r[1] or 0.0)) if self.samples.exists() else []
+        over = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        held = sorted(((r[0], r[1]) for r in self.samples.get()), key=lambda r: (r[0], r[1] is None, r[1] or 0.0))
+        if not held:
+            return iter(())
         times = np.array([r[0] for r in held], dtype=np.int64)
-        first = np.r_[True, np.diff(times) > 0] if len(times) else np.empty(0, dtype=bool)
+        first = np.r_[True, np.diff(times) > 0]
         times, values = times[first], np.array([np.nan if r[1] is None else r[1] for r in held])[first]
         cuts = np.flatnonzero(np.diff(times) > self.gap) + 1
-        begins, stops = np.r_[0, cuts] if len(times) else cuts, np.r_[cuts, len(times)] if len(times) else cuts
-        out, rest = [], 0
-        for a, b in zip(begins.tolist(), stops.tolist(), strict=True):
-            if (int(times[b - 1]) + self.gap) // 1000 + 1 > over:
+        arcs, rest = [], 0
+        for a, b in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(times)].tolist(), strict=True):
+            at = self._closes(int(times[b - 1]))
+            if at > over:
+                self._wait(at)
                 break
-            high, ratio = highrate.high_and_ratio(values[a:b], *self.filter)
-            out.append(pd.DataFrame({"series": pd.Series([key[0]] * (b - a), dtype=object), "arc_begin_us": times[a], "t_us": times[a:b], "value": values[a:b], "filtered": high, "ratio": ratio}))
+            arcs.append((np.full(b - a, times[a]), *highrate.high_and_ratio(values[a:b], *self.filter)))
             rest = b
         if rest == len(times):
             self.samples.clear()
-            self.ends.clear()
+            self.timer.clear()
         elif rest:
-            self.samples.put([(int(t), None if np.isnan(v) else float(v)) for t, v in zip(times[rest:], values[rest:], strict=True)])
-        return iter(out)
+            self.samples.put([(t, None if v != v else v) for t, v in zip(times[rest:].tolist(), values[rest:].tolist(), strict=True)])
+        if not rest:
+            return iter(())
+        begins, high, ratio = map(np.concatenate, zip(*arcs, strict=True))
+        return iter([pd.DataFrame({"series": pd.Series([key[0]] * rest, dtype=object), "arc_begin_us": begins, "t_us": times[:rest], "value": values[:rest], "filtered": high, "ratio": ratio})])
 
     def close(self) -> None:
         pass
