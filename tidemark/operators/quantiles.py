@@ -49,6 +49,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, at: dict[str, fl
     return found.select(*keys, *[(a + (b - a) * (x - F.floor(x))).alias(name) for name, x, a, b in zip(at, places, low, high, strict=True)])
 
 
+def with_quantiles(found: DataFrame, df: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """``found``, one row a group of ``keys``, with the exact quantiles of ``df``; a null key is a group like any other."""
+    own = exact_quantiles(df, keys, value, at).withColumnsRenamed({k: f"_q{i}" for i, k in enumerate(keys)})
+    return found.join(own, _equal(keys, "_q"), "left").select(*found.columns, *at)
+
+
 def _narrowed(rows: DataFrame, state: DataFrame, keys: list[str], part: Column, few: bool) -> DataFrame:
     """The ranks of ``state`` with their brackets narrowed to one ``part``, which rises with the values."""
     done, wide = state.where(F.col("_lo") >= F.col("_hi")), state.where(F.col("_lo") < F.col("_hi"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import align, paired, segments, stats
-from tidemark.operators.quantiles import exact_quantiles
+from tidemark.operators.quantiles import with_quantiles
 
 from .registry import ORACLES, QUERIES, micros, query, rounded, table
 
@@ -153,7 +153,7 @@ def coverage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bin_median_2h(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("bin", F.floor(micros("ts") / 7_200_000_000))
     counts = events.groupBy("event_type", "bin").agg(F.count("*").alias("n"))
-    return rounded(counts.join(exact_quantiles(events, ["event_type", "bin"], "value", {"median": 0.5}), ["event_type", "bin"], "left"))
+    return rounded(with_quantiles(counts, events, ["event_type", "bin"], "value", {"median": 0.5}))
 
 
 @query("""select ts::date as day, round(max(value), 6) as most, round(min(value), 6) as least, round(avg(value), 6) as mean, round(median(value), 6) as median,

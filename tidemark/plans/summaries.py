@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import align, paired
-from tidemark.operators.quantiles import exact_quantiles
+from tidemark.operators.quantiles import with_quantiles
 
 from .registry import query, rounded, table
 
@@ -76,7 +76,7 @@ def column_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "lineitem").select(F.trunc("l_shipdate", "month").alias("month"), *[F.expr(_DERIVED.get(c, c)).cast("double").alias(c) for c in _TEN])
     long = v.unpivot(["month"], _TEN, "metric", "v")
     moments = long.groupBy("month", "metric").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
-    return rounded(moments.join(exact_quantiles(long, ["month", "metric"], "v", {"median": 0.5}), ["month", "metric"], "left").withColumn("median", F.col("median") + 1.3e-8), 3)
+    return rounded(with_quantiles(moments, long, ["month", "metric"], "v", {"median": 0.5}).withColumn("median", F.col("median") + 1.3e-8), 3)
 
 
 _TYPES = ("click", "error", "view")
@@ -132,4 +132,4 @@ def pooled_single_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = long.select("g.level", "g.name", "ship_year", "res")
     keys = ["level", "name", "ship_year"]
     pooled = long.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("res").alias("bias32"))
-    return rounded(pooled.join(exact_quantiles(long, keys, "res", {"median32": 0.5}), keys, "left"), 4)
+    return rounded(with_quantiles(pooled, long, keys, "res", {"median32": 0.5}), 4)
