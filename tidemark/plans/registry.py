@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[to_digits(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def to_digits(value: Column, digits: int) -> Column:
+    """Halves away from zero as in SQL, which looks at the scaled double; ``F.round`` looks at its shortest decimal."""
+    scaled = value * 10.0**digits
+    return F.when(F.abs(scaled) < math.inf, F.round(scaled) / 10.0**digits).otherwise(value)
 
 
 def micros(ts: str) -> Column:
